@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def log_factorial(n: Column) -> Column:
@@ -96,7 +97,7 @@ def student_t_two_sided(t: float, dof: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Vector form of `student_t_two_sided`, for one row per fitted model."""
     out = [student_t_two_sided(a, b) for a, b in zip(t, dof)]
@@ -124,7 +125,7 @@ def binomial_quantiles(u: np.ndarray, n: int, k: int) -> np.ndarray:
     return lo + np.minimum(np.searchsorted(cdf, u, side="left"), hi - lo).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_draw(u: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
     """Binomial(n, k/n) draw from a uniform; one CDF table per distinct (n, k)."""
     out = np.empty(len(u))

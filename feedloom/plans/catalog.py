@@ -1,4 +1,4 @@
 """All registered queries; importing this module fills the registry."""
 
-from feedloom.plans import review_queries  # noqa: F401
+from feedloom.plans import alert_queries, review_queries  # noqa: F401
 from feedloom.plans.registry import BUILDERS, STATEMENTS  # noqa: F401

@@ -61,8 +61,10 @@ def statement(body: str) -> str:
     add_dependencies(body)
     if not order:
         return body.strip()
+    own = body.strip()
+    own = ",\n" + own[5:] if own.startswith("with ") else "\n" + own
     recursive = "recursive " if "recursive_steps" in order else ""
-    return f"with {recursive}" + ",\n".join(f"{n} as (\n{RELATIONS[n]}\n)" for n in order) + "\n" + body.strip()
+    return f"with {recursive}" + ",\n".join(f"{n} as (\n{RELATIONS[n]}\n)" for n in order) + own
 
 
 relation("raw_reviews", """
