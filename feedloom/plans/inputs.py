@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.columns import stable_round
 from feedloom.operators import marts, staging
 from feedloom.plans import fixtures as fx
 
@@ -31,4 +32,4 @@ def adoption(spark: SparkSession, d: str, min_reviews: int = 200) -> DataFrame:
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Doubles cut to `digits` decimals, so summation order cannot show."""
-    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
+    return df.withColumns({n: stable_round(F.col(n), digits) for n in names})
