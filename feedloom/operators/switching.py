@@ -166,12 +166,13 @@ def _pairs(counts: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def net_flow(counts: DataFrame, tracked: list[str]) -> DataFrame:
     """Difference of the two directed rates for every pair of tracked apps."""
     pairs = _pairs(counts, [(a, b) for i, a in enumerate(tracked) for b in tracked[i + 1:]])
-    forward = (F.col("source") == F.col("a")) & (F.col("dest") == F.col("b"))
-    backward = (F.col("source") == F.col("b")) & (F.col("dest") == F.col("a"))
-    both = pairs.join(counts.select("source", "dest", "per_10k"), forward | backward, "left")
+    ways = F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("dest"), F.lit(True).alias("forward")),
+                   F.struct(F.col("b").alias("source"), F.col("a").alias("dest"), F.lit(False).alias("forward")))
+    directed = pairs.withColumn("_w", F.explode(ways)).select("a", "b", "_w.*")
+    both = directed.join(counts.select("source", "dest", "per_10k"), ["source", "dest"], "left")
     rates = both.groupBy("a", "b").agg(
-        F.coalesce(F.sum(F.when(forward, F.col("per_10k"))), F.lit(0.0)).alias("a_to_b"),
-        F.coalesce(F.sum(F.when(backward, F.col("per_10k"))), F.lit(0.0)).alias("b_to_a"))
+        F.coalesce(F.sum(F.when(F.col("forward"), F.col("per_10k"))), F.lit(0.0)).alias("a_to_b"),
+        F.coalesce(F.sum(F.when(~F.col("forward"), F.col("per_10k"))), F.lit(0.0)).alias("b_to_a"))
     toward_b = F.col("a_to_b") - F.col("b_to_a") > 0
     return (rates.withColumn("net_per_10k", F.abs(F.col("a_to_b") - F.col("b_to_a")))
             .withColumn("direction", F.when(toward_b, F.concat_ws("->", "a", "b")).otherwise(F.concat_ws("->", "b", "a"))))

@@ -63,7 +63,7 @@ def statement(body: str) -> str:
         return body.strip()
     own = body.strip()
     own = ",\n" + own[5:] if own.startswith("with ") else "\n" + own
-    recursive = "recursive " if "recursive_steps" in order else ""
+    recursive = "recursive " if any(n.endswith("recursive_steps") for n in order) else ""
     return f"with {recursive}" + ",\n".join(f"{n} as (\n{RELATIONS[n]}\n)" for n in order) + own
 
 
