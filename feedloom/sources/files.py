@@ -15,9 +15,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
-def read_label_batches(spark: SparkSession, paths, schema: str = schemas.TOPIC_LABEL_BATCH) -> DataFrame:
-    """JSON arrays of label records; a path may be a glob or a list of files."""
-    return spark.read.schema(schema).option("multiLine", "true").json(paths)
+def read_label_batches(spark: SparkSession, paths, schema: str = schemas.TOPIC_LABEL_BATCH,
+                       arrays: bool = True) -> DataFrame:
+    """Label records from JSON arrays (or from JSON lines); a path may be a glob or a list of files."""
+    return spark.read.schema(schema).option("multiLine", str(arrays).lower()).json(paths)
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
