@@ -51,3 +51,8 @@ def literal_map(values: dict) -> Column:
 
 def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+def bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

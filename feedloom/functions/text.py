@@ -7,8 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ignore case for all scripts, Unicode word classes, and only "\n" ends a line.
-FLAGS = "(?iuUd)"
+# For folded text: Unicode word classes, and only "\\n" ends a line.
+FLAGS = "(?Ud)"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the four letters that case folding maps onto ASCII replaced.
+
+    A case-sensitive pattern on folded text then finds what a case-insensitive
+    one finds on the text itself, several times faster.
+    """
+    for letter, ascii_letter in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(letter), F.lit(ascii_letter))
+    return F.lower(text)
 
 
 def escape(text: str) -> str:
@@ -17,12 +28,20 @@ def escape(text: str) -> str:
 
 
 def any_of(variants) -> str:
-    return "|".join(escape(v) for v in variants)
+    """Alternation of the variants for folded text."""
+    return "|".join(escape(v.lower()) for v in variants)
 
 
 def mentions_any(text: Column, variants) -> Column:
-    """True when a variant occurs and no Latin letter touches it."""
-    return text.rlike(f"{FLAGS}(?<![a-z])(?:{any_of(variants)})(?![a-z])")
+    """True when folded text has a variant that no Latin letter touches.
+
+    A plain substring test goes first; most texts name no product at all.
+    """
+    found = None
+    for v in variants:
+        hit = F.contains(text, F.lit(v.lower()))
+        found = hit if found is None else found | hit
+    return found & text.rlike(f"(?<![a-z])(?:{any_of(variants)})(?![a-z])")
 
 
 def labels_matching(text: Column, patterns: dict[str, str], flags: str = "") -> Column:

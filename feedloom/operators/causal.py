@@ -236,26 +236,21 @@ def prior_versions(adoption: DataFrame, focus: str) -> DataFrame:
                     latest["review_version"].alias("prior_version")))
 
 
-def rollout_cells(reviews: DataFrame, focus: str) -> DataFrame:
-    """Rating sums per day and version: all the rollout comparison needs."""
-    rating = F.col("rating").cast("double")
-    return (reviews.filter((F.col("app_key") == focus) & F.col("review_version").isNotNull())
-            .groupBy("review_date", "review_version")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(rating).alias("s"), F.sum(rating * rating).alias("ss")))
-
-
-def rollout_overlap(reviews: DataFrame, adoption: DataFrame, focus: str,
+def rollout_overlap(cells: DataFrame, adoption: DataFrame, focus: str,
                     days: tuple[int, int] = (-3, 10)) -> DataFrame:
     """Old against new version on the same days: rating ~ is_new + day.
 
-    Centring inside days reduces the fit to sums over (day, version) cells.
+    Centring inside days reduces the fit to sums over the (app, day, version)
+    cells of `marts.day_cells`.
     """
+    own = (cells.filter((F.col("app_key") == focus) & F.col("review_version").isNotNull())
+           .select("review_date", "review_version", "n", "s", "ss"))
     releases = prior_versions(adoption, focus).filter(F.col("prior_version").isNotNull())
     window = event_days(releases, "adoption_date", list(range(days[0], days[1] + 1)))
-    cells = (window.join(rollout_cells(reviews, focus), "review_date")
+    pairs = (window.join(own, "review_date")
              .filter(F.col("review_version").isin(F.col("version"), F.col("prior_version"))))
     new = F.col("review_version") == F.col("version")
-    per_day = cells.groupBy("version", "prior_version", "review_date").agg(
+    per_day = pairs.groupBy("version", "prior_version", "review_date").agg(
         F.sum(F.when(new, F.col("n")).otherwise(0)).cast("double").alias("n1"),
         F.sum(F.when(~new, F.col("n")).otherwise(0)).cast("double").alias("n0"),
         F.sum(F.when(new, F.col("s")).otherwise(0.0)).alias("s1"),

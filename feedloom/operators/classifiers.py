@@ -17,7 +17,7 @@ THRESHOLD = 0.5
 FEATURES = "features"
 
 
-def text_encoder(text: str = "review_text", n_features: int = 1 << 14) -> Pipeline:
+def text_encoder(text: str = "review_text", n_features: int = 1 << 12) -> Pipeline:
     """Default encoder: hashed words weighted by rarity, unit length."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
@@ -73,7 +73,7 @@ def fit_binary(train: DataFrame, label: Column, counts: tuple[int, int] | None =
     up = n / (2.0 * positive) if positive else 1.0
     down = n / (2.0 * (n - positive)) if positive and n > positive else 1.0
     weighted = marked.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(up)).otherwise(F.lit(down)))
-    return LogisticRegression(featuresCol=FEATURES, labelCol="label", weightCol="weight", maxIter=max_iter, tol=1e-6,
+    return LogisticRegression(featuresCol=FEATURES, labelCol="label", weightCol="weight", maxIter=max_iter, tol=1e-4,
                               regParam=1.0 / max(n, 1), standardization=False, family="binomial").fit(weighted)
 
 

@@ -69,13 +69,14 @@ def topic_cooccurrence(topics: DataFrame, topic: str) -> DataFrame:
     """
     per_review = topics.groupBy("review_id", "topic").agg(F.count(F.lit(1)).alias("n"))
     anchor = F.sum(F.when(F.col("topic") == topic, F.col("n")).otherwise(0)).over(Window.partitionBy("review_id"))
-    together = per_review.withColumn("n_anchor", anchor)
-    totals = topics.filter(F.col("topic") == topic).agg(F.count(F.lit(1)))
-    return (together.filter((F.col("topic") != topic) & (F.col("n_anchor") > 0))
-            .groupBy(F.col("topic").alias("co_occurring_topic"))
-            .agg(F.sum(F.col("n") * F.col("n_anchor")).alias("n_co_occurrences"))
-            .withColumn("pct_of_topic_reviews",
-                        stable_round(100.0 * F.col("n_co_occurrences") / totals.scalar(), 2)))
+    counts = (per_review.withColumn("n_anchor", anchor).groupBy(F.col("topic").alias("co_occurring_topic"))
+              .agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("n_anchor")).alias("n_co_occurrences")))
+    # One row per topic is left here; the anchor's own row holds the denominator.
+    total = F.sum(F.when(F.col("co_occurring_topic") == topic, F.col("_n"))).over(Window.partitionBy(F.lit(0)))
+    return (counts.withColumn("_total", total)
+            .filter((F.col("co_occurring_topic") != topic) & (F.col("n_co_occurrences") > 0))
+            .select("co_occurring_topic", "n_co_occurrences",
+                    stable_round(100.0 * F.col("n_co_occurrences") / F.col("_total"), 2).alias("pct_of_topic_reviews")))
 
 
 def impact_leaderboard(impact: DataFrame) -> DataFrame:

@@ -17,12 +17,27 @@ def is_complete(last_date: Column, date: Column, days: int = INCOMPLETE_DAYS) ->
     return date <= F.date_sub(last_date, days)
 
 
+def day_cells(reviews: DataFrame) -> DataFrame:
+    """Counts and rating sums per app, day and version.
+
+    The daily mart, the release dates and the rollout comparison all follow
+    from these rows, so one pass over the reviews serves the three.
+    """
+    rating = F.col("rating").cast("double")
+    return reviews.groupBy("app_key", "review_date", "review_version").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(rating).alias("s"), F.sum(rating * rating).alias("ss"),
+        F.count_if("is_negative").alias("n_negative"))
+
+
 def daily_app_metrics(reviews: DataFrame) -> DataFrame:
     """Volume, mean rating, negative share and 7-row trailing mean per app and day."""
-    days = reviews.groupBy("app_key", "review_date").agg(
-        F.count(F.lit(1)).alias("n_reviews"),
-        F.avg("rating").alias("avg_rating"),
-        share_of(F.col("is_negative")).alias("negative_share"))
+    return daily_from_cells(day_cells(reviews))
+
+
+def daily_from_cells(cells: DataFrame) -> DataFrame:
+    days = cells.groupBy("app_key", "review_date").agg(
+        F.sum("n").alias("n_reviews"), (F.sum("s") / F.sum("n")).alias("avg_rating"),
+        (F.sum("n_negative") / F.sum("n")).alias("negative_share"))
     app = Window.partitionBy("app_key")
     trailing = app.orderBy("review_date").rowsBetween(-6, Window.currentRow)
     return days.select(
@@ -36,12 +51,16 @@ def version_adoption(reviews: DataFrame, min_share: float = 0.05, min_reviews: i
     """Release dates inferred from the reviews.
 
     A version counts as adopted on the first complete day it holds `min_share`
-    of its app's versioned reviews. One pass over the reviews: the cutoff comes
-    from the day-level counts, which keep the versionless rows until then.
+    of its app's versioned reviews.
     """
-    counts = reviews.groupBy("app_key", "review_date", "review_version").agg(F.count(F.lit(1)).alias("n"))
+    return adoption_from_cells(day_cells(reviews), min_share, min_reviews, incomplete_days)
+
+
+def adoption_from_cells(cells: DataFrame, min_share: float = 0.05, min_reviews: int = 200,
+                        incomplete_days: int = INCOMPLETE_DAYS) -> DataFrame:
+    # The cutoff counts versionless reviews, the share does not.
     last = F.max("review_date").over(Window.partitionBy("app_key"))
-    complete = (counts.withColumn("_last", last)
+    complete = (cells.withColumn("_last", last)
                 .filter(F.col("review_version").isNotNull()
                         & is_complete(F.col("_last"), F.col("review_date"), incomplete_days)))
     day_total = F.sum("n").over(Window.partitionBy("app_key", "review_date"))

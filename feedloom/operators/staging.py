@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Decides between copies scraped at the same instant, so reruns agree.
-TIE_BREAK = ("at", "score", "thumbsUpCount", "app_key", "reviewCreatedVersion",
-             "content", "user_hash", "replyContent")
+# Decides between copies scraped at the same instant. Only narrow columns: a text
+# here would be read and shuffled by every query that stages reviews.
+TIE_BREAK = ("reviewed_at", "rating", "thumbs_up", "app_key", "review_version")
 
 
-def latest_copy(raw: DataFrame, key: str = "reviewId", recency: str = "scraped_at",
+def latest_copy(rows: DataFrame, key: str = "review_id", recency: str = "scraped_at",
                 tie_break: tuple[str, ...] = TIE_BREAK) -> DataFrame:
     """Most recent row per key.
 
@@ -20,33 +20,36 @@ def latest_copy(raw: DataFrame, key: str = "reviewId", recency: str = "scraped_a
     """
     newest_first = Window.partitionBy(key).orderBy(
         F.col(recency).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in tie_break])
-    return (raw.withColumn("_copy", F.row_number().over(newest_first))
+    return (rows.withColumn("_copy", F.row_number().over(newest_first))
             .filter(F.col("_copy") == 1).drop("_copy"))
 
 
 def stage_reviews(raw: DataFrame, tie_break: tuple[str, ...] = TIE_BREAK) -> DataFrame:
-    """One typed row per review with text; the latest scrape wins."""
+    """One typed row per review with text; the latest scrape wins.
+
+    Columns are derived before the deduplication, so a query that needs only
+    the length of a text or whether there is one never shuffles the text.
+    """
     text = F.trim("content")
     rating = F.col("score").cast("int")
     at = F.col("at").cast("timestamp_ntz")
-    # The text test stays above the window: an empty latest copy hides older ones.
-    return (latest_copy(raw, tie_break=tie_break)
-            .filter(F.col("content").isNotNull() & (F.length(text) > 0))
-            .select(
-                F.col("reviewId").alias("review_id"),
-                "app_key",
-                "user_hash",
-                text.alias("review_text"),
-                rating.alias("rating"),
-                F.col("thumbsUpCount").alias("thumbs_up"),
-                F.col("reviewCreatedVersion").alias("review_version"),
-                at.alias("reviewed_at"),
-                at.cast("date").alias("review_date"),
-                F.date_trunc("hour", at).cast("timestamp_ntz").alias("review_hour"),
-                F.col("replyContent").isNotNull().alias("has_dev_reply"),
-                F.length(text).alias("text_length"),
-                (rating <= 2).alias("is_negative"),
-                "scraped_at"))
+    typed = raw.select(
+        F.col("reviewId").alias("review_id"),
+        "app_key",
+        "user_hash",
+        text.alias("review_text"),
+        rating.alias("rating"),
+        F.col("thumbsUpCount").alias("thumbs_up"),
+        F.col("reviewCreatedVersion").alias("review_version"),
+        at.alias("reviewed_at"),
+        at.cast("date").alias("review_date"),
+        F.date_trunc("hour", at).cast("timestamp_ntz").alias("review_hour"),
+        F.col("replyContent").isNotNull().alias("has_dev_reply"),
+        F.length(text).alias("text_length"),
+        (rating <= 2).alias("is_negative"),
+        "scraped_at")
+    # Tested after the deduplication: an empty latest copy hides older ones.
+    return latest_copy(typed, tie_break=tie_break).filter(F.col("text_length") > 0)
 
 
 def stage_topics(topics: DataFrame, reviews: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.columns import ratio
+from feedloom.functions.columns import bind, ratio
 from feedloom.functions.seeded import seeded_uniform
 from feedloom.functions.stats import binomial_draw
-from feedloom.functions.text import FLAGS, any_of, mentions_any
+from feedloom.functions.text import FLAGS, any_of, folded, mentions_any
 
 AWAY, ARRIVED, COMPARED, NONE = "switching_away", "switched_from_competitor", "comparison_only", "none"
 
@@ -68,8 +68,10 @@ def relation_regex(relation: str, variants) -> str:
 
 def mentioned(text: Column, aliases: dict[str, list[str]]) -> Column:
     """Products named in the text, in dictionary order."""
-    hits = [F.when(mentions_any(text, variants), F.lit(app)) for app, variants in aliases.items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    def named(t: Column) -> Column:
+        return F.array(*[F.when(mentions_any(t, variants), F.lit(app)) for app, variants in aliases.items()])
+
+    return F.filter(bind(folded(text), named), lambda x: x.isNotNull())
 
 
 def mention_candidates(reviews: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -84,14 +86,16 @@ def mention_candidates(reviews: DataFrame, aliases: dict[str, list[str]]) -> Dat
 
 def relation_of(text: Column, other_app: Column, aliases: dict[str, list[str]]) -> Column:
     """First relation whose phrases occur, in the order away, arrived, compared."""
-    by_app = None
-    for app, variants in aliases.items():
-        kind = F.lit(NONE)
-        for relation in reversed(list(RELATION_PATTERNS)):
-            kind = F.when(text.rlike(FLAGS + "(?:" + relation_regex(relation, variants) + ")"),
-                          F.lit(relation)).otherwise(kind)
-        by_app = F.when(other_app == app, kind) if by_app is None else by_app.when(other_app == app, kind)
-    return by_app.otherwise(F.lit(NONE))
+    def by_app(t: Column) -> Column:
+        case = F.when(F.lit(False), F.lit(NONE))
+        for app, variants in aliases.items():
+            kind = F.lit(NONE)
+            for relation in reversed(list(RELATION_PATTERNS)):
+                kind = F.when(t.rlike(f"{FLAGS}(?:{relation_regex(relation, variants)})"), F.lit(relation)).otherwise(kind)
+            case = case.when(other_app == app, kind)
+        return case.otherwise(F.lit(NONE))
+
+    return bind(folded(text), by_app)
 
 
 def relations(candidates: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:

@@ -101,7 +101,8 @@ class _Backlog:
     """Shared frames: staged reviews and labels, with the fit's cells checkpointed."""
 
     def __init__(self, s, d):
-        self.reviews, self.topics, self.flags = inputs.reviews(s, d), fx.raw_topics(s, d), fx.raw_flags(s, d)
+        self.reviews = inputs.shared_reviews(s, d, "review_hour", "review_text", "text_length", "rating")
+        self.topics, self.flags = fx.raw_topics(s, d), fx.raw_flags(s, d)
 
     def cells(self):
         return backlog.review_cells(self.reviews, self.topics, _T)

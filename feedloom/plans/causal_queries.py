@@ -76,13 +76,13 @@ select i.*, q.q_value, coalesce(q.q_value <= 0.10, false) as is_significant from
 
 
 class _Study:
-    """The frames all release queries share; the day-level mart is checkpointed."""
+    """The frames all release queries share; one pass over the reviews feeds them."""
 
     def __init__(self, s, d):
-        reviews = inputs.reviews(s, d)
-        self.reviews = reviews
-        self.daily = cut_lineage(marts.daily_app_metrics(reviews))
-        self.adoption = cut_lineage(marts.version_adoption(reviews))
+        self.reviews = inputs.reviews(s, d)
+        self.cells = cut_lineage(marts.day_cells(self.reviews))
+        self.daily = marts.daily_from_cells(self.cells)
+        self.adoption = marts.adoption_from_cells(self.cells)
         self.windows = causal.release_windows(self.daily, self.adoption, _F)
 
     def tested(self):
@@ -168,7 +168,7 @@ select version, topic, {dec("pre_share", 6)} as pre_share, {dec("post_share", 6)
 
 def _rollout(s, d):
     study = _Study(s, d)
-    return rounded(causal.rollout_overlap(study.reviews, study.adoption, _F), "mean_new", "mean_old", "effect", "se", "p_value")
+    return rounded(causal.rollout_overlap(study.cells, study.adoption, _F), "mean_new", "mean_old", "effect", "se", "p_value")
 
 
 # The t tail comes from numeric integration of cos^(dof-1), Simpson's rule.

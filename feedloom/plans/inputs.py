@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from feedloom.functions.columns import stable_round
 from feedloom.operators import marts, staging
 from feedloom.plans import fixtures as fx
+from feedloom.session import cut_lineage
 
 
 def reviews(spark: SparkSession, d: str) -> DataFrame:
     return staging.stage_reviews(fx.raw_reviews(spark, d))
 
 
+def shared_reviews(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Staged reviews for queries that read them more than once: deduplicated once, narrow."""
+    return cut_lineage(reviews(spark, d).select("review_id", "app_key", "review_date", *columns))
+
+
 def topics(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return staging.stage_topics(fx.raw_topics(spark, d), reviews(spark, d), extra)
 
@@ -22,8 +28,15 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     return marts.daily_app_metrics(reviews(spark, d))
 
 
+def both_dailies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Topic mart and app mart over one staging of the reviews."""
+    staged = shared_reviews(spark, d, "review_hour", "review_version", "rating", "is_negative")
+    app_daily = cut_lineage(marts.daily_app_metrics(staged))
+    return marts.daily_topic_metrics(staging.stage_topics(fx.raw_topics(spark, d), staged), app_daily), app_daily
+
+
 def topic_daily(spark: SparkSession, d: str) -> DataFrame:
-    return marts.daily_topic_metrics(topics(spark, d), daily(spark, d))
+    return both_dailies(spark, d)[0]
 
 
 def adoption(spark: SparkSession, d: str, min_reviews: int = 200) -> DataFrame:

@@ -88,7 +88,7 @@ select review_key as review_id, app_key, user_hash, trim(content) as review_text
        score <= 2 as is_negative, scraped_at
 from (select *, row_number() over (partition by review_key order by scraped_at desc nulls last,
              at_time desc nulls last, score desc nulls last, thumbs desc nulls last, app_key desc nulls last,
-             version desc nulls last, content desc nulls last, user_hash desc nulls last, reply desc nulls last) as copy_no
+             version desc nulls last) as copy_no
       from raw_reviews)
 where copy_no = 1 and content is not null and length(trim(content)) > 0""")
 

@@ -21,7 +21,7 @@ _ALL_TOPICS = fx.TYPE_TOPICS + fx.NOUN_TOPICS
 
 
 def _dq_report(s, d):
-    reviews = cut_lineage(inputs.reviews(s, d))
+    reviews = inputs.shared_reviews(s, d, "review_hour", "reviewed_at", "review_version", "review_text", "rating", "is_negative")
     topics = staging.stage_topics(fx.raw_topics(s, d), reviews)
     flags = staging.stage_flags(fx.raw_flags(s, d), reviews)
     daily = cut_lineage(marts.daily_app_metrics(reviews))
@@ -87,7 +87,7 @@ select app_key, {dec("a", 6)} as avg_rating_30d, {dec("b", 6)} as avg_rating_pri
   from (select *, date_diff('day', review_date, (select max(review_date) from daily)) as age from daily) group by 1)""")
 
 register("topic_share_measure", lambda s, d: rounded(
-    measures.topic_share(inputs.topic_daily(s, d), inputs.daily(s, d)), "topic_share"), f"""
+    measures.topic_share(*inputs.both_dailies(s, d)), "topic_share"), f"""
 select t.app_key, t.topic, t.topic_reviews, a.total_reviews, {dec(ratio("t.topic_reviews", "a.total_reviews"), 6)} as topic_share
 from (select app_key, topic, cast(sum(n_topic_reviews) as bigint) as topic_reviews from topic_daily group by 1, 2) t
 join (select app_key, cast(sum(n_reviews) as bigint) as total_reviews from daily group by 1) a on a.app_key = t.app_key""")
@@ -95,7 +95,7 @@ join (select app_key, cast(sum(n_reviews) as bigint) as total_reviews from daily
 
 def _category_share(s, d):
     return rounded(measures.category_share(
-        inputs.topic_daily(s, d), inputs.daily(s, d), marts.dim_app(s, fx.DIM_APP_ROWS),
+        *inputs.both_dailies(s, d), marts.dim_app(s, fx.DIM_APP_ROWS),
         marts.dim_topic(s, fx.DIM_TOPIC_ROWS)), "share")
 
 

@@ -78,7 +78,7 @@ where rk <= 8""")
 
 # ---------------------------------------------------------------- exploration
 
-register("top_weekly_risers", lambda s, d: explore.top_weekly_risers(inputs.topic_daily(s, d), inputs.daily(s, d)), f"""
+register("top_weekly_risers", lambda s, d: explore.top_weekly_risers(*inputs.both_dailies(s, d)), f"""
 select app_key, wk, topic, {dec("share", 4)} as share, {dec("change", 4)} as wow_change from (
   select *, row_number() over (partition by app_key order by change desc nulls last, topic) as rk from (
     select w.app_key, w.wk, w.topic, {ratio("w.n", "t.total")} as share,
@@ -178,7 +178,12 @@ select app_key, min(review_date) as first_day, max(review_date) as last_day,
        date_diff('day', min(review_date), max(review_date)) + 1 - count(distinct review_date) as n_missing
 from stg_reviews group by app_key""")
 
-register("topic_prevalence", lambda s, d: explore.topic_prevalence(inputs.topics(s, d), inputs.reviews(s, d)), f"""
+def _topic_prevalence(s, d):
+    staged = inputs.shared_reviews(s, d, "review_hour")
+    return explore.topic_prevalence(staging.stage_topics(fx.raw_topics(s, d), staged), staged)
+
+
+register("topic_prevalence", _topic_prevalence, f"""
 select topic, count(*) as n, {dec("100.0 * count(*) / (select count(*) from stg_reviews)", 1)} as pct
 from stg_topics group by topic""")
 
