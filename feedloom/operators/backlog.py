@@ -28,47 +28,65 @@ def topic_wide(reviews: DataFrame, topics: DataFrame, vocabulary: list[str]) ->
 
 
 def review_cells(reviews: DataFrame, topics: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Rating sums per combination of app, month, topic set and text length.
+    """Sums per app, month and topic set that a least-squares fit and its robust errors need.
 
-    Every regressor is constant inside a cell, so these sums are all a least
-    squares fit and its robust errors need: the reviews are read once and the
-    fit works on far fewer rows. The topic set is a bit mask, which keeps the
-    per-review step a plain hash aggregation.
+    All regressors but the log length are constant inside a cell, so the sums
+    of products of rating (y) and log length (l) below carry everything: column
+    `y1l2` is the sum of y * l^2. The reviews are read once; the cells number
+    apps x months x topic sets, however many reviews there are. The topic set
+    is a bit mask, which keeps the per-review step a plain hash aggregation.
     """
     if len(vocabulary) > 62:
         raise ValueError("at most 62 topics fit the topic mask")
     bits = literal_map({t: 1 << i for i, t in enumerate(vocabulary)})
     masks = (topics.filter(F.col("topic").isin(*vocabulary)).groupBy("review_id")
              .agg(F.bit_or(bits[F.col("topic")].cast("bigint")).alias("mask")))
-    rating = F.col("rating").cast("double")
+    powers = [F.sum(_power("y", i) * _power("l", j)).alias(f"y{i}l{j}") for i, j in _MOMENTS]
     return (reviews.select("review_id", "app_key", F.date_format("review_date", "yyyy-MM").alias("month"),
-                           "text_length", rating.alias("rating"))
+                           F.log1p(F.col("text_length").cast("double")).alias("l"), F.col("rating").cast("double").alias("y"))
             .join(masks, "review_id", "left")
-            .groupBy("app_key", "month", F.coalesce("mask", F.lit(0)).alias("mask"), "text_length")
-            .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("rating").alias("sy"),
-                 F.sum(F.col("rating") * F.col("rating")).alias("syy")))
+            .groupBy("app_key", "month", F.coalesce("mask", F.lit(0)).alias("mask")).agg(*powers))
+
+
+_MOMENTS = [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]
+
+
+def _power(name: str, exponent: int) -> Column:
+    out = F.lit(1.0)
+    for _ in range(exponent):
+        out = out * F.col(name)
+    return out
 
 
 def _entries(vocabulary: list[str]) -> Column:
-    """Non-zero regressors of a cell as (name, value) pairs."""
-    def pair(name: Column, value: Column) -> Column:
-        return F.struct(name.alias("k"), value.alias("x"))
+    """Non-zero regressors of a cell: name, and 1 if it stands for the log length."""
+    def entry(name: Column, power: int = 0) -> Column:
+        return F.struct(name.alias("k"), F.lit(power).alias("p"))
 
-    one = F.lit(1.0)
-    marks = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, pair(F.lit(f"topic={t}"), one))
+    marks = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, entry(F.lit(f"topic={t}")))
              for i, t in enumerate(vocabulary)]
-    fixed = F.array(pair(F.lit(INTERCEPT), one), pair(F.concat(F.lit("app="), "app_key"), one),
-                    pair(F.concat(F.lit("month="), "month"), one),
-                    pair(F.lit(LOG_LENGTH), F.log1p(F.col("text_length").cast("double"))))
+    fixed = F.array(entry(F.lit(INTERCEPT)), entry(F.concat(F.lit("app="), "app_key")),
+                    entry(F.concat(F.lit("month="), "month")), entry(F.lit(LOG_LENGTH), 1))
     return F.concat(fixed, F.filter(F.array(*marks), lambda e: e.isNotNull()))
 
 
-def _products(cells: DataFrame, weight: Column) -> DataFrame:
-    """Weighted sums of products of regressor pairs: the non-zero cells of X'WX."""
-    left = cells.withColumn("_w", weight).withColumn("_a", F.explode("e"))
+def _products(cells: DataFrame, by_power: list[Column]) -> DataFrame:
+    """Sums of products of regressor pairs; `by_power[q]` is the cell's weighted sum of l^q."""
+    left = cells.withColumn("_w", F.array(*by_power)).withColumn("_a", F.explode("e"))
     both = left.withColumn("_b", F.explode("e")).filter(F.col("_a.k") <= F.col("_b.k"))
     return both.groupBy("g", F.col("_a.k").alias("i"), F.col("_b.k").alias("j")).agg(
-        F.sum(F.col("_w") * F.col("_a.x") * F.col("_b.x")).alias("v"))
+        F.sum(F.element_at("_w", F.col("_a.p") + F.col("_b.p") + 1)).alias("v"))
+
+
+def _squared_error(q: int) -> Column:
+    """Cell sum of (y - f - b l)^2 * l^q from the moments; f fits the constants, b the length."""
+    f, b = F.col("_f"), F.col("_b")
+
+    def m(i: int, j: int) -> Column:
+        return F.col(f"y{i}l{j + q}")
+
+    return (m(2, 0) + f * f * m(0, 0) + b * b * m(0, 2) - 2.0 * f * m(1, 0) - 2.0 * b * m(1, 1)
+            + 2.0 * f * b * m(0, 1))
 
 
 def _matrix(rows: list, names: list[str]) -> np.ndarray:
@@ -93,11 +111,11 @@ def rating_penalties(cells: DataFrame, vocabulary: list[str], by: str | None = N
     prepared = cut_lineage(cells.withColumn("g", group).withColumn("e", _entries(vocabulary)))
 
     gram: dict[str, list] = {}
-    for row in _products(prepared, F.col("n")).collect():
+    for row in _products(prepared, [F.col("y0l0"), F.col("y0l1"), F.col("y0l2")]).collect():
         gram.setdefault(row["g"], []).append(row)
     moments: dict[str, dict[str, float]] = {}
     xy = prepared.withColumn("_a", F.explode("e")).groupBy("g", F.col("_a.k").alias("k")).agg(
-        F.sum(F.col("_a.x") * F.col("sy")).alias("v"))
+        F.sum(F.when(F.col("_a.p") == 1, F.col("y1l1")).otherwise(F.col("y1l0"))).alias("v"))
     for row in xy.collect():
         moments.setdefault(row["g"], {})[row["k"]] = row["v"]
 
@@ -116,11 +134,13 @@ def rating_penalties(cells: DataFrame, vocabulary: list[str], by: str | None = N
         coefficients.update({f"{g}\u0001{k}": float(b) for k, b in zip(names, beta)})
 
     known = literal_map(coefficients)
-    fitted = F.aggregate("e", F.lit(0.0), lambda acc, t: acc + t["x"] * F.coalesce(
+    constants = F.aggregate(F.filter("e", lambda t: t["p"] == 0), F.lit(0.0), lambda acc, t: acc + F.coalesce(
         known[F.concat(F.col("g"), F.lit("\u0001"), t["k"])], F.lit(0.0)))
-    squared_error = F.col("syy") - 2.0 * F.col("_fit") * F.col("sy") + F.col("n") * F.col("_fit") * F.col("_fit")
+    slope = F.coalesce(known[F.concat(F.col("g"), F.lit(f"\u0001{LOG_LENGTH}"))], F.lit(0.0))
+    errors = prepared.withColumn("_f", constants).withColumn("_b", slope)
+    weighted = errors.select("g", "e", *[_squared_error(q).alias(f"e{q}") for q in range(3)])
     meat: dict[str, list] = {}
-    for row in _products(prepared.withColumn("_fit", fitted), squared_error).collect():
+    for row in _products(weighted, [F.col("e0"), F.col("e1"), F.col("e2")]).collect():
         meat.setdefault(row["g"], []).append(row)
 
     out = []

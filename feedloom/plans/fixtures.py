@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.sources.reviews import spread
+
 APPS = ["app_a", "app_n", "app_r"]
 FOCUS, CONTROLS = "app_a", ["app_n", "app_r"]
 
@@ -49,6 +51,9 @@ TEXT_TOPIC_PATTERNS = {
     "blocked": r"(account.*(blocked|suspended|frozen)|blocked.*account)"}
 CHURN_PATTERN = r"(uninstall|switch(ing)? to|switching|never use.*again|moving to|shifting to)"
 
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag",
+                "l_linestatus", "l_shipdate"]
+
 BIN_HOURS = {"app_0": 1, "app_1": 3, "app_2": 3}
 INCIDENT_ROWS = [
     ("INC1", "app_0;app_1;app_2", "2024-01-17 19:45", "2024-01-17 20:15", "outage"),
@@ -60,7 +65,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn(
         "review_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"))
@@ -115,11 +120,12 @@ def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, whole text, with a remark appended, as reviews of three brands."""
-    remark = F.element_at(F.array(*[F.lit(r) for r in REMARKS]), (F.floor(F.col("doc_id") / 3) % 12 + 1).cast("int"))
+    """Documents, whole text, every fourth group with a remark appended, as reviews of three brands."""
+    pick = F.element_at(F.array(*[F.lit(r) for r in REMARKS]), (F.floor(F.col("doc_id") / 12) % 12 + 1).cast("int"))
+    remark = F.when(F.floor(F.col("doc_id") / 3) % 4 == 0, pick).otherwise("")
     brand = F.element_at(F.array(*[F.lit(b) for b in BRANDS]), (F.col("doc_id") % 3 + 1).cast("int"))
     text = F.concat_ws(" ", "text", remark)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("doc_id").cast("string").alias("review_id"), brand.alias("app_key"),
         (F.col("doc_id") % 5 + 1).cast("int").alias("rating"), text.alias("review_text"),
         F.length(text).alias("text_length"),

@@ -145,11 +145,12 @@ select cast(event_id as varchar) as review_id, 'app_' || cast(user_id % 3 as var
 from events""")
 
 _remarks = "[" + sql_list(fx.REMARKS) + "]"
+_remark = f"case when (doc_id // 3) % 4 = 0 then {_remarks}[cast((doc_id // 12) % 12 + 1 as integer)] else '' end"
 _brands = "[" + sql_list(fx.BRANDS) + "]"
 relation("text_reviews", f"""
 select cast(doc_id as varchar) as review_id, {_brands}[cast(doc_id % 3 + 1 as integer)] as app_key,
-       cast(doc_id % 5 + 1 as integer) as rating, concat_ws(' ', text, {_remarks}[cast((doc_id // 3) % 12 + 1 as integer)]) as review_text,
-       cast(length(concat_ws(' ', text, {_remarks}[cast((doc_id // 3) % 12 + 1 as integer)])) as integer) as text_length,
+       cast(doc_id % 5 + 1 as integer) as rating, concat_ws(' ', text, {_remark}) as review_text,
+       cast(length(concat_ws(' ', text, {_remark})) as integer) as text_length,
        cast(date '2024-01-01' + cast(doc_id % 180 as integer) as date) as review_date
 from documents""")
 
