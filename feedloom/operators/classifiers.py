@@ -73,8 +73,11 @@ def fit_binary(train: DataFrame, label: Column, counts: tuple[int, int] | None =
     up = n / (2.0 * positive) if positive else 1.0
     down = n / (2.0 * (n - positive)) if positive and n > positive else 1.0
     weighted = marked.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(up)).otherwise(F.lit(down)))
-    return LogisticRegression(featuresCol=FEATURES, labelCol="label", weightCol="weight", maxIter=max_iter, tol=1e-4,
-                              regParam=1.0 / max(n, 1), standardization=False, family="binomial").fit(weighted)
+    model = LogisticRegression(featuresCol=FEATURES, labelCol="label", weightCol="weight", maxIter=max_iter, tol=1e-4,
+                               regParam=1.0 / max(n, 1), standardization=False, family="binomial").fit(weighted)
+    # The training summary refers to the session, which cannot follow the model to executors.
+    model._call_java("setSummary", train.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def fit_topics(train: DataFrame, vocabulary: list[str], topics: str = "topics") -> dict[str, LogisticRegressionModel]:
