@@ -230,13 +230,13 @@ def issue_examples(topics: DataFrame, issues: DataFrame, per_issue: int = 2, max
                    seed: int = 54) -> DataFrame:
     """Random negative example texts for each listed app and topic.
 
-    `topics` carries `rating` and `review_text`. The issue list is one row per
-    listed app and topic, so the join settles on a broadcast by its real size.
+    `topics` carries `rating` and `review_text`. The dense rank limits rows
+    before the shuffle; a pair that is listed twice shares its rank, so the
+    duplicates go when only the few chosen rows are left.
     """
     order = Window.partitionBy("app_key", "topic").orderBy(
         seeded_digest(seed, F.col("review_id"), F.col("topic")), "review_id")
     return (topics.filter(F.col("rating") <= max_rating)
             .join(issues.select("app_key", "topic"), ["app_key", "topic"], "left_semi")
-            .select("app_key", "topic", "review_id", "review_text").distinct()
-            .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_issue)
-            .drop("_rank"))
+            .withColumn("_rank", F.dense_rank().over(order)).filter(F.col("_rank") <= per_issue)
+            .select("app_key", "topic", "review_id", "review_text").distinct())

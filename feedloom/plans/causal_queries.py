@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.operators import causal, explore, marts
+from feedloom.operators import causal, explore, marts, staging
 from feedloom.plans import fixtures as fx
 from feedloom.plans import inputs
 from feedloom.plans.inputs import rounded
@@ -93,7 +93,7 @@ class _Study:
 
     def impact(self):
         effects, placebo = self.tested()
-        return causal.release_impact(self.windows, effects, placebo)
+        return staging.stage_release_impact(causal.release_impact(self.windows, effects, placebo))
 
 
 register("did_effects", lambda s, d: rounded(_Study(s, d).tested()[0], "effect"), f"""

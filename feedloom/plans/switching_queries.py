@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import any_of
-from feedloom.operators import switching
+from feedloom.operators import staging, switching
 from feedloom.plans import fixtures as fx
 from feedloom.plans.inputs import rounded
 from feedloom.plans.reference_sql import dec, ratio, relation, sql_list, uniform, values
@@ -97,7 +97,7 @@ select other_app, count(*) filter (where relation = 'switching_away') as switchi
 from relation_rows group by 1""")
 
 register("switching_matrix", lambda s, d: rounded(
-    switching.bootstrap_ci(_flows(s, d)), "per_10k", "per_10k_ci_low", "per_10k_ci_high"), f"""
+    staging.stage_switching(switching.bootstrap_ci(_flows(s, d))), "per_10k", "per_10k_ci_low", "per_10k_ci_high"), f"""
 select f.source, f.dest, f.n, f.source_total_reviews, {dec("f.per_10k", 6)} as per_10k, {dec("i.low", 6)} as per_10k_ci_low, {dec("i.high", 6)} as per_10k_ci_high
 from flow_rows f left join flow_intervals i on f.source = i.source and f.dest = i.dest""")
 

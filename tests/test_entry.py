@@ -28,3 +28,21 @@ def test_result_equals_sql(spark, sf_dir, name):
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(repr, ([r[c] for c in names] for r in df.collect()))) == sorted(repr(list(r)) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", ["daily_app_metrics", "daily_topic_metrics", "review_samples", "topic_cooccurrence", "relations",
+                                  "keyword_sample", "release_impact", "net_flow", "incident_match"])
+def test_plans_have_no_nested_loop_or_cartesian_join(spark, sf_dir, name):
+    plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_top_k_queries_limit_rows_before_the_shuffle(spark, sf_dir):
+    for name in ("stg_reviews", "review_samples", "keyword_sample"):
+        assert "WindowGroupLimit" in contract.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_counts_do_not_shuffle_texts(spark, sf_dir):
+    df = contract.queries()["rating_distribution"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "review_text" not in plan.split("Exchange hashpartitioning(review_id")[0]

@@ -75,3 +75,12 @@ def test_floor_to_bin_per_row_width(spark):
     df = spark.sql("select timestamp_ntz'2024-01-05 19:45:30' t, 3 h union all select timestamp_ntz'2024-01-05 19:45:30', 1")
     got = {r.h: str(r.b) for r in df.select("h", columns.floor_to_bin(F.col("t"), F.col("h")).alias("b")).collect()}
     assert got == {3: "2024-01-05 18:00:00", 1: "2024-01-05 19:00:00"}
+
+
+def test_word_count_one_line_and_dictionary(spark, tmp_path):
+    from feedloom.sources.files import read_dictionary
+    df = spark.createDataFrame([("a b  c",), ("one\ntwo",)], "t string")
+    out = df.select(text.word_count(F.col("t")).alias("n"), text.one_line(F.col("t")).alias("l")).collect()
+    assert [tuple(r) for r in out] == [(4, "a b  c"), (1, "one two")]
+    (tmp_path / "aliases.yaml").write_text("alphapay:\n  - alphapay\n  - alpha pay\n")
+    assert read_dictionary(str(tmp_path / "aliases.yaml")) == {"alphapay": ["alphapay", "alpha pay"]}
