@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   input folder (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
-BENCH_QUERIES  comma-separated names (default: all registered queries)
+BENCH_QUERIES  comma-separated names, or "all" (default: the headline queries)
 BENCH_REPEATS  timed runs per query, the median counts (default 1)
 
 Every query runs in full: the result goes to the no-op sink, so nothing is
@@ -20,6 +20,14 @@ import time
 from feedloom.plans import catalog
 from feedloom.session import build_session
 
+HEADLINE = [
+    "stg_reviews", "load_audit", "daily_app_metrics", "version_adoption", "daily_topic_metrics", "review_samples",
+    "top_weekly_risers", "length_percentiles", "first_topic_cohort", "topic_cooccurrence", "marker_share",
+    "alert_detectors", "alert_episodes", "incident_match", "did_effects", "release_impact", "topic_shift",
+    "rollout_overlap", "mention_candidates", "relations", "switching_matrix", "flow_reasons", "rating_penalties",
+    "issue_cost", "rice_stability", "stratified_sample", "keyword_sample", "label_agreement", "topic_scores",
+    "dq_report", "kpi_30d"]
+
 
 def run(spark, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
@@ -31,7 +39,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES")
-    names = chosen.split(",") if chosen else list(catalog.BUILDERS)
+    names = list(catalog.BUILDERS) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = build_session("feedloom-bench", f"local[{cpus}]", int(cpus), **{
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),

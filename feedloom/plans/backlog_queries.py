@@ -98,22 +98,25 @@ group by 1, 2""")
 
 
 class _Backlog:
-    """Shared frames: staged reviews and labels, with the fit's cells checkpointed."""
+    """Shared frames of the backlog queries; reviews are staged once, with the columns asked for."""
 
-    def __init__(self, s, d):
-        self.reviews = inputs.shared_reviews(s, d, "review_hour", "review_text", "text_length", "rating")
+    def __init__(self, s, d, *extra):
+        self.reviews = inputs.shared_reviews(s, d, "text_length", "rating", *extra)
         self.topics, self.flags = fx.raw_topics(s, d), fx.raw_flags(s, d)
 
-    def cells(self):
-        return backlog.review_cells(self.reviews, self.topics, _T)
-
     def costs(self):
-        return backlog.issue_cost(self.reviews, self.topics, self.flags, backlog.rating_penalties(self.cells(), _T))
+        cells = backlog.review_cells(self.reviews, self.topics, _T)
+        return backlog.issue_cost(self.reviews, self.topics, self.flags, backlog.rating_penalties(cells, _T))
 
     def scored(self):
         return cut_lineage(backlog.rice(self.costs(), fx.DOWNLOADS, fx.TOPIC_F1, fx.EFFORT_WEEKS))
 
 
+def _cells(s, d):
+    """Regression cells straight from the staged reviews, which the fit reads only once."""
+    return backlog.review_cells(inputs.reviews(s, d), fx.raw_topics(s, d), _T)
+
+
 _PENALTY = ("penalty", "penalty_se", "penalty_p", "penalty_ci_low", "penalty_ci_high")
 _COST = ("prevalence", "churn_intent_rate", "penalty", "penalty_ci_low", "penalty_ci_high", "rating_lift_if_fixed", "churn_exposure")
 _COST_SQL = "app_key, topic, n_topic_reviews_90d, n_total_reviews_90d, " + ", ".join(f"{dec(c, 6)} as {c}" for c in _COST)
@@ -136,10 +139,10 @@ def _penalty_sql(prefix: str, extra: str = "") -> str:
 
 
 register("rating_penalties", lambda s, d: rounded(
-    backlog.rating_penalties(_Backlog(s, d).cells(), _T), *_PENALTY), _penalty_sql("pooled"))
+    backlog.rating_penalties(_cells(s, d), _T), *_PENALTY), _penalty_sql("pooled"))
 
 register("app_rating_penalties", lambda s, d: rounded(backlog.rating_penalties(
-    _Backlog(s, d).cells(), _T, by="app_key").filter(f"app_key = '{fx.FOCUS}'"), *_PENALTY), _penalty_sql("focus", f"'{fx.FOCUS}' as app_key, "))
+    _cells(s, d), _T, by="app_key").filter(f"app_key = '{fx.FOCUS}'"), *_PENALTY), _penalty_sql("focus", f"'{fx.FOCUS}' as app_key, "))
 
 register("issue_cost", lambda s, d: rounded(_Backlog(s, d).costs(), *_COST), f"select {_COST_SQL} from costs")
 
@@ -155,7 +158,7 @@ from (select {_RICE_SQL} from rice_rows) r join stability s on s.app_key = r.app
 
 
 def _issue_examples(s, d):
-    shared = _Backlog(s, d)
+    shared = _Backlog(s, d, "review_hour", "review_text")
     staged = staging.stage_topics(shared.topics, shared.reviews, ("rating", "review_text"))
     return backlog.issue_examples(staged, backlog.top_issues(shared.scored()))
 
