@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Ship the few Arrow helpers with the tasks: workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def log_factorial(n: Column) -> Column:
     """ln(n!) for a non-negative whole number; exact below 15, Stirling series above."""
