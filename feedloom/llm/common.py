@@ -224,3 +224,119 @@ def merged_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
     first = np.r_[True, starts[1:] > ends[:-1]]
     return starts[first], ends[np.r_[np.flatnonzero(first)[1:] - 1, len(ends) - 1]]
+
+
+# ---------------------------------------------------------------- windows over many texts at once
+
+CHUNK_BYTES = 1 << 20
+
+
+def chunks(batches: Iterable[pa.RecordBatch], least: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(doc, crc, texts) of some `keyed` rows at a time, about `least` bytes or one longer text."""
+    doc, crcs, held, size = [], [], [], 0
+    for batch in batches:
+        for d, c, text in texts(batch):
+            if held and size + len(text) > least:
+                yield np.array(doc, np.int64), np.array(crcs, np.uint32), held
+                doc, crcs, held, size = [], [], [], 0
+            doc.append(d)
+            crcs.append(c)
+            held.append(text)
+            size += len(text)
+    if held:
+        yield np.array(doc, np.int64), np.array(crcs, np.uint32), held
+
+
+def words_of(held: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the text each one stands in."""
+    hashes, owner = [], []
+    joined = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+    if fold:
+        joined = np.where((joined >= 65) & (joined <= 90), joined + np.uint8(32), joined)
+    ends_of_texts = np.cumsum([len(t) + 1 for t in held])
+    at = 0
+    while at < len(joined):  # long texts by pieces that end in white space
+        end = min(at + CHUNK_BYTES, len(joined))
+        if end < len(joined):
+            back = np.flatnonzero(_white(joined[at:end]))
+            while not len(back):
+                end = min(end + CHUNK_BYTES, len(joined))
+                back = np.flatnonzero(_white(joined[at:end]))
+            end = at + int(back[-1]) + 1
+        starts, ends = word_spans(joined[at:end])
+        hashes.append(word_hashes(joined[at:end], starts, ends))
+        owner.append(np.searchsorted(ends_of_texts, starts + at, "right"))
+        at = end
+    return np.concatenate(hashes), np.concatenate(owner)
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+POSITION = np.uint64((1 << 24) - 1)
+SEGMENT = 1 << 22
+
+
+def minimizers(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of `width` values: the position and the hash of its smallest gram.
+
+    The choice rests on the window's content alone (the leftmost of equal grams), so equal
+    windows choose the same gram wherever they stand. At most SEGMENT + width values.
+    """
+    grams = window_hashes(values, gram)
+    low = (grams & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
+    span, have = width - gram + 1, 1
+    while have < span:
+        step = min(have, span - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    at = (low & POSITION).astype(np.int64)
+    return at, grams[at]
+
+
+def window_runs(values: np.ndarray, owner: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first start, last start, anchor position, anchor hash) of runs of windows with one anchor.
+
+    Windows that reach into another text are left out.
+    """
+    for base in range(0, max(len(values) - width + 1, 0), SEGMENT):
+        part, own = values[base:base + SEGMENT + width - 1], owner[base:base + SEGMENT + width - 1]
+        at, h = minimizers(part, width, gram)
+        inside = own[:len(at)] == own[width - 1:]
+        change = np.r_[True, (at[1:] != at[:-1]) | (own[1:len(at)] != own[:len(at) - 1]) | (inside[1:] != inside[:-1])]
+        first = np.flatnonzero(change)
+        last = np.r_[first[1:] - 1, len(at) - 1]
+        keep = inside[first]
+        first, last = first[keep], last[keep]
+        yield first + base, last + base, at[first] + base, h[first]
+
+
+def per_document(packed: DataFrame, dtype: np.dtype) -> DataFrame:
+    """Packed runs (doc, crc, first, end), bucketed by doc -> one row per document with its runs as pairs of int32."""
+    schema = arrow("doc long, crc long, runs binary")
+
+    def task(batches):
+        for _, r in by_bucket(batches, dtype):
+            r = r[np.lexsort((r["first"], r["crc"], r["doc"]))]
+            new = np.flatnonzero(np.r_[True, (r["doc"][1:] != r["doc"][:-1]) | (r["crc"][1:] != r["crc"][:-1])])
+            pairs = np.column_stack([r["first"], r["end"]]).astype(np.int32)
+            for lo in range(0, len(new), 4096):
+                own = new[lo:lo + 4096]
+                ends = np.r_[new[lo + 1:lo + 4096 + 1], len(r)][:len(own)]
+                yield rows_out(schema, [r["doc"][own], r["crc"][own].astype(np.int64), [pairs[a:b].tobytes() for a, b in zip(own, ends, strict=True)]])
+
+    return mapped(gathered(packed), task, "doc long, crc long, runs binary")
+
+
+RUN = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("first", "<u4"), ("end", "<u4")])
+
+
+def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
+    return spread(mix(doc.view(np.uint64) if doc.flags.c_contiguous else doc.astype(np.uint64)), n)
+
+
+def pack_runs(doc: np.ndarray, crcs: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty(len(doc), RUN)
+    out["doc"], out["crc"], out["first"], out["end"] = doc, crcs, first, end
+    return out

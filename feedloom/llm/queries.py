@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import mixing, tokencount
+from feedloom.llm import mixing, substrings, tokencount, tokenfile
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ def op1(spark, sf_dir):
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    return tokenfile.encoded_index(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    return substrings.dedup_windows(table(spark, sf_dir, "documents"))
