@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import mixing, substrings, tokencount, tokenfile
+from feedloom.llm import mixing, substrings, suffixes, tokencount, tokenfile
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op5(spark, sf_dir):
 @query("op7_substring_dedup")
 def op7(spark, sf_dir):
     return substrings.dedup_windows(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
