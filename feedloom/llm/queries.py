@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import mixing, substrings, suffixes, tokencount, tokenfile
+from feedloom.llm import mixing, substrings, suffixes, tokencount, tokenfile, vectors
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,24 @@ def op7(spark, sf_dir):
 @query("op6_suffix_dedup")
 def op6(spark, sf_dir):
     return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+COSINE_SQL = """
+with recursive given as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from given a join given b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93),
+reach as (select vec_id as id, vec_id as low from embeddings union select l.b, r.low from reach r join links l on l.a = r.id),
+low as (select id, min(low) as component_id from reach group by id),
+degree as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(d.n, 0)::bigint as n_links, low.component_id, e.vec_id = low.component_id as kept
+from embeddings e join low on low.id = e.vec_id left join degree d on d.a = e.vec_id
+"""
+
+
+@query("op10_vector_near_dups", COSINE_SQL)
+def op10(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
