@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import mixing, substrings, suffixes, tokencount, tokenfile, vectors
+from feedloom.llm import langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ from embeddings e join low on low.id = e.vec_id left join degree d on d.a = e.ve
 @query("op10_vector_near_dups", COSINE_SQL)
 def op10(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
