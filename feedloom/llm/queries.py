@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
+from feedloom.llm import jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,22 @@ def op10(spark, sf_dir):
 @query("op2_language_id")
 def op2(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = r"""
+with recursive worded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from worded),
+tokens as (select doc_id, unnest(s) as t from sets),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from tokens a join tokens b on a.t = b.t and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select a, b from shared join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+reach as (select doc_id as id, doc_id as low from sets union select l.b, r.low from reach r join links l on l.a = r.id)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.low) as component_id from sets s join reach r on r.id = s.doc_id group by 1, 2
+"""
+
+
+@query("op9_jaccard_components", JACCARD_SQL)
+def op9(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
