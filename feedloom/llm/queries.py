@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
+from feedloom.llm import decontamination, jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ select s.doc_id, len(s.s)::bigint as n_shingles, min(r.low) as component_id from
 @query("op9_jaccard_components", JACCARD_SQL)
 def op9(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination")
+def op3(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
