@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontamination, jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
+from feedloom.llm import decontamination, extraction, jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op9(spark, sf_dir):
 @query("op3_decontamination")
 def op3(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages"))
