@@ -1,13 +1,61 @@
-"""The corpus pipeline: raw documents to token-id files."""
+"""The corpus pipeline: raw documents to token-id files, each stage one operator of feedloom.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All stages but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedloom.llm import decontamination, jaccard, langid, mixing, tokenfile
+from feedloom.llm.common import table, written
+from feedloom.llm.queries import tokenizer
+
+#: No language: no text, no letter, or no language ahead of chance (of four languages).
+LEAST_SCORE = 0.25
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language, as learnt from the labels of those that aren't held out."""
+    model = langid.train(docs.where(~langid.held_out()))
+    known = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    found = jaccard.near_duplicates(docs)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no item of the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The index of the token-id files: doc_id, start, n_tokens, ids_crc32."""
+    return tokenfile.encoded_index(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language_id), ("near duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix_sources), ("token files", token_files)]
+
+#: The string-kernel classifier and the tokenizer can't be stated in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -98,8 +98,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, in their own columns."""
-    chosen = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.min("copies").alias("_copies"))
-    keyed = docs.withColumn("_turns", F.lit(None).cast("int")).drop("_turns")
-    joined = keyed.alias("d").join(chosen.withColumnRenamed("doc_id", "_id").alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")))
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select([F.col(f"d.`{c}`") for c in docs.columns])
+    """The documents themselves, each as often as the mix takes it, in their own columns.
+
+    Rows that share an id are taken as often as the least of them.
+    """
+    chosen = mix(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0").select(F.col("doc_id").alias("_id"), "_copies")
+    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
+    turns = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_turn")
+    return joined.select(*docs.columns, turns).select(*docs.columns)
