@@ -130,6 +130,8 @@ def shared_counts(rows: DataFrame, words: int) -> DataFrame:
         if not kept:
             return
         bucket, heads, tokens = (np.concatenate(x) for x in zip(*kept, strict=True))
+        if not len(bucket):
+            return
         size = heads["k"].astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         tokens = tokens[_take_runs((np.cumsum(size) - size)[order], size[order])]

@@ -103,7 +103,9 @@ HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("first", "<u4"),
 def _sorted_runs(head: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
     """Runs to remove among stretches (head rows over data, in any order)."""
     order = np.lexsort((head["first"], head["crc"], head["doc"], head["h"]))
-    head, offset = head[order], (np.cumsum(head["size"]) - head["size"])[order].astype(np.int64)
+    head, offset = head[order], (np.cumsum(head["size"].astype(np.int64)) - head["size"])[order]
+    once = np.r_[True, np.any([head[k][1:] != head[k][:-1] for k in ("h", "doc", "crc", "first")], axis=0)][:len(head)]
+    head, offset = head[once], offset[once]     # rows that repeat doc and text are one document
     new = np.r_[True, head["h"][1:] != head["h"][:-1]]
     group = np.cumsum(new) - 1
     found = []
@@ -171,10 +173,14 @@ def repeated_runs(rows: DataFrame, depth: int, gram: int) -> DataFrame:
         stretch = [bytes(view[e - s:e]) for s, e in zip(head["size"].tolist(), end.tolist(), strict=True)]
         # a stretch that the task holds twice goes once; the later ones are marked as they are
         order = np.lexsort((head["first"], head["crc"], head["doc"]))
-        seen, keep, later = set(), [], []
+        seen, keep, later = {}, [], []
+        place = list(zip(head["doc"].tolist(), head["crc"].tolist(), head["first"].tolist(), strict=True))
         for i, name in zip(order.tolist(), [(stretch[i], int(head["h"][i])) for i in order.tolist()], strict=True):
-            (later if name in seen else keep).append(i)
-            seen.add(name)
+            if name not in seen:
+                seen[name] = place[i]
+                keep.append(i)
+            elif place[i] != seen[name]:
+                later.append(i)
         keep = np.array(keep, np.int64)
         bucket = spread(head["h"], n)
         keep = keep[np.argsort(bucket[keep], kind="stable")]
