@@ -164,8 +164,14 @@ def bins_near_incidents(bins: DataFrame, incidents: DataFrame, hours: int,
 
 def overlapping_episodes(found: DataFrame, windows: DataFrame) -> DataFrame:
     """Episodes that overlap a candidate window (app_key, lo, hi) of the same app."""
-    return (found.join(windows, "app_key")
-            .filter((F.col("start") <= F.col("hi")) & (F.col("end") >= F.col("lo"))))
+    def days(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.to_date(lo), F.greatest(F.to_date(hi), F.to_date(lo)))).alias("_day")
+
+    # The first day that both cover names a pair once.
+    left, right = found.select("*", days("start", "end")), windows.select("*", days("lo", "hi"))
+    return (left.join(right, ["app_key", "_day"])
+            .filter((F.col("start") <= F.col("hi")) & (F.col("end") >= F.col("lo"))
+                    & (F.col("_day") == F.greatest(F.to_date("start"), F.to_date("lo")))).drop("_day"))
 
 
 # ------------------------------------------------------- planned variants
@@ -177,7 +183,12 @@ def topic_share_bins(reviews: DataFrame, baseline_days: int = BASELINE_DAYS) ->
     before the current hour.
     """
     hour = floor_to_bin(F.col("reviewed_at"), F.lit(1)).alias("bin_start")
-    counts = reviews.groupBy("app_key", hour, "topic").agg(F.count(F.lit(1)).alias("topic_reviews"))
+    seen = reviews.groupBy("app_key", hour, "topic").agg(F.count(F.lit(1)).alias("topic_reviews"))
+    # Every hour of an app counts for each of its topics, also hours without the topic.
+    topics = seen.groupBy("app_key").agg(F.collect_set("topic").alias("_topics"))
+    hours = seen.groupBy("app_key", "bin_start").agg(F.map_from_entries(F.collect_list(F.struct("topic", "topic_reviews"))).alias("_n"))
+    counts = (hours.join(topics, "app_key").withColumn("topic", F.explode("_topics"))
+              .select("app_key", "bin_start", "topic", F.coalesce(F.col("_n")[F.col("topic")], F.lit(0)).alias("topic_reviews")))
     total = F.sum("topic_reviews").over(Window.partitionBy("app_key", "bin_start"))
     second = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("bin_start"))
     earlier = (Window.partitionBy("app_key", "topic").orderBy("_sec")
@@ -220,7 +231,8 @@ def scorecard(found: DataFrame, incidents: DataFrame, before_hours: int = 2, aft
         "incident_id", "app_key", "first_public_report_ist",
         F.expr(f"timestampadd(HOUR, -{before_hours}, start_time_ist)").alias("lo"),
         F.expr(f"timestampadd(HOUR, {after_hours}, start_time_ist)").alias("hi"))
-    paired = found.join(watch, "app_key", "left")
+    watch = watch.select("*", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("_day"))
+    paired = found.withColumn("_day", F.to_date("start")).join(watch, ["app_key", "_day"], "left")
     inside = F.coalesce((F.col("start") >= F.col("lo")) & (F.col("start") <= F.col("hi")), F.lit(False))
     per_episode = paired.groupBy(*keys, "app_key", "start").agg(F.max(inside).alias("matched"))
     caught = (paired.filter(inside).groupBy(*keys, "incident_id")
@@ -229,8 +241,11 @@ def scorecard(found: DataFrame, incidents: DataFrame, before_hours: int = 2, aft
         F.count(F.lit(1)).alias("n_episodes"), F.count_if("matched").alias("n_matched"))
     hits = caught.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_caught"), F.median("lead").alias("median_lead_hours"))
     n_incidents = incidents.agg(F.countDistinct("incident_id")).scalar()
-    joined = alerts.join(hits, list(keys), "left") if keys else alerts.withColumn("_k", F.lit(1)).join(
-        hits.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    if keys:
+        joined = alerts.join(hits, list(keys), "left")
+    else:   # one row each: stacked and folded, without a join
+        both = alerts.unionByName(hits, allowMissingColumns=True)
+        joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return (joined.fillna(0, ["n_caught"]).withColumn("n_incidents", n_incidents)
             .withColumn("event_recall", ratio(F.col("n_caught"), F.col("n_incidents")))
             .withColumn("alert_precision", ratio(F.col("n_matched"), F.col("n_episodes"))))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,11 @@ from feedloom.functions.columns import literal_map, ratio
 from feedloom.functions.seeded import seeded_digest, seeded_uniform
 from feedloom.session import cut_lineage
 
+# The solvers go to the executors with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TRAILING_DAYS = 90
-MAX_REGRESSORS = 4000
+RIGHT_SIDE = "="      # stands for the rating in the sums of products
 
 INTERCEPT, LOG_LENGTH = "intercept", "log_len"
 PENALTY_SCHEMA = """topic string, penalty double, penalty_se double, penalty_p double,
@@ -34,18 +40,15 @@ def review_cells(reviews: DataFrame, topics: DataFrame, vocabulary: list[str]) -
     of products of rating (y) and log length (l) below carry everything: column
     `y1l2` is the sum of y * l^2. The reviews are read once; the cells number
     apps x months x topic sets, however many reviews there are. The topic set
-    is a bit mask, which keeps the per-review step a plain hash aggregation.
+    is a sorted array, so a vocabulary may have any size.
     """
-    if len(vocabulary) > 62:
-        raise ValueError("at most 62 topics fit the topic mask")
-    bits = literal_map({t: 1 << i for i, t in enumerate(vocabulary)})
-    masks = (topics.filter(F.col("topic").isin(*vocabulary)).groupBy("review_id")
-             .agg(F.bit_or(bits[F.col("topic")].cast("bigint")).alias("mask")))
+    sets = (topics.filter(F.col("topic").isin(*vocabulary)).groupBy("review_id")
+            .agg(F.array_sort(F.collect_set("topic")).alias("topic_set")))
     powers = [F.sum(_power("y", i) * _power("l", j)).alias(f"y{i}l{j}") for i, j in _MOMENTS]
     return (reviews.select("review_id", "app_key", F.date_format("review_date", "yyyy-MM").alias("month"),
                            F.log1p(F.col("text_length").cast("double")).alias("l"), F.col("rating").cast("double").alias("y"))
-            .join(masks, "review_id", "left")
-            .groupBy("app_key", "month", F.coalesce("mask", F.lit(0)).alias("mask")).agg(*powers))
+            .join(sets, "review_id", "left")
+            .groupBy("app_key", "month", F.coalesce("topic_set", F.array().cast("array<string>")).alias("topic_set")).agg(*powers))
 
 
 _MOMENTS = [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]
@@ -58,16 +61,14 @@ def _power(name: str, exponent: int) -> Column:
     return out
 
 
-def _entries(vocabulary: list[str]) -> Column:
+def _entries() -> Column:
     """Non-zero regressors of a cell: name, and 1 if it stands for the log length."""
     def entry(name: Column, power: int = 0) -> Column:
         return F.struct(name.alias("k"), F.lit(power).alias("p"))
 
-    marks = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, entry(F.lit(f"topic={t}")))
-             for i, t in enumerate(vocabulary)]
     fixed = F.array(entry(F.lit(INTERCEPT)), entry(F.concat(F.lit("app="), "app_key")),
                     entry(F.concat(F.lit("month="), "month")), entry(F.lit(LOG_LENGTH), 1))
-    return F.concat(fixed, F.filter(F.array(*marks), lambda e: e.isNotNull()))
+    return F.concat(fixed, F.transform("topic_set", lambda t: entry(F.concat(F.lit("topic="), t))))
 
 
 def _products(cells: DataFrame, by_power: list[Column]) -> DataFrame:
@@ -89,69 +90,70 @@ def _squared_error(q: int) -> Column:
             + 2.0 * f * b * m(0, 1))
 
 
-def _matrix(rows: list, names: list[str]) -> np.ndarray:
+def _matrix(rows: pd.DataFrame, names: list[str]) -> np.ndarray:
     at = {name: pos for pos, name in enumerate(names)}
     out = np.zeros((len(names), len(names)))
-    for row in rows:
-        if row["i"] in at and row["j"] in at:
-            out[at[row["i"]], at[row["j"]]] = out[at[row["j"]], at[row["i"]]] = row["v"]
+    for a, b, v in zip(rows["i"], rows["j"], rows["v"]):
+        if a in at and b in at:
+            out[at[a], at[b]] = out[at[b], at[a]] = v
     return out
 
 
+def _solve(rows: pd.DataFrame) -> pd.DataFrame:
+    """Coefficients of one group from its sums of products; minimum norm if columns depend on each other."""
+    right = rows[rows["j"] == RIGHT_SIDE].set_index("i")["v"]
+    seen = sorted(right.index)
+    # The first app and the first month are the base levels.
+    base = {min(k for k in seen if k.startswith(p)) for p in ("app=", "month=")}
+    names = [k for k in seen if k not in base]
+    gram = _matrix(rows, names)
+    value, vector = np.linalg.eigh(gram)
+    keep = value > value.max() * len(names) * np.finfo(float).eps
+    inverse = (vector[:, keep] / value[keep]) @ vector[:, keep].T
+    beta = inverse @ right[names].to_numpy()
+    at = names.index(INTERCEPT)
+    return pd.DataFrame({"g": [rows["g"].iloc[0]], "names": [names], "beta": [beta.tolist()], "inverse": [inverse.ravel().tolist()],
+                         "n": [gram[at, at]], "rank": [int(keep.sum())]})
+
+
+def _robust(model: pd.DataFrame, meat: pd.DataFrame) -> pd.DataFrame:
+    """Penalties of one group with HC1 errors; the degrees of freedom count the rank."""
+    out = []
+    for _, m in model.iterrows():
+        names, beta, n, rank = list(m["names"]), m["beta"], m["n"], m["rank"]
+        inverse = np.array(m["inverse"]).reshape(len(names), len(names))
+        cov = inverse @ _matrix(meat, names) @ inverse * (n / (n - rank) if n > rank else np.nan)
+        for pos, name in enumerate(names):
+            if name.startswith("topic="):
+                b, se = float(beta[pos]), float(math.sqrt(max(cov[pos, pos], 0.0)))
+                p = math.erfc(abs(b / se) / math.sqrt(2.0)) if se > 0 else None
+                out.append((m["g"], name[len("topic="):], b, se, p, b - 1.96 * se, b + 1.96 * se))
+    return pd.DataFrame(out, columns=["g", "topic", "penalty", "penalty_se", "penalty_p", "penalty_ci_low", "penalty_ci_high"])
+
+
 def rating_penalties(cells: DataFrame, vocabulary: list[str], by: str | None = None) -> DataFrame:
     """rating ~ topics + app + month + log1p(length) by least squares, HC1 errors.
 
-    Both passes run on the cells in Spark and return one number per pair of
-    regressors; only that square of the regressor count reaches the driver,
-    where the small system is solved (minimum norm if columns depend on each
-    other). `by` fits one model per value of a column.
+    Both passes run on the cells and return one number per pair of regressors and
+    group. Each group's small system is solved by a task; `by` fits one model per
+    value of a column. Nothing reaches the driver.
     """
-    spark = cells.sparkSession
-    group = F.col(by) if by else F.lit("all")
-    prepared = cut_lineage(cells.withColumn("g", group).withColumn("e", _entries(vocabulary)))
-
-    gram: dict[str, list] = {}
-    for row in _products(prepared, [F.col("y0l0"), F.col("y0l1"), F.col("y0l2")]).collect():
-        gram.setdefault(row["g"], []).append(row)
-    moments: dict[str, dict[str, float]] = {}
-    xy = prepared.withColumn("_a", F.explode("e")).groupBy("g", F.col("_a.k").alias("k")).agg(
+    wanted = cells.withColumn("topic_set", F.filter("topic_set", lambda t: t.isin(*vocabulary)))
+    prepared = cut_lineage(wanted.withColumn("g", F.col(by).cast("string") if by else F.lit("all")).withColumn("e", _entries()))
+    right = prepared.withColumn("_a", F.explode("e")).groupBy("g", F.col("_a.k").alias("i"), F.lit(RIGHT_SIDE).alias("j")).agg(
         F.sum(F.when(F.col("_a.p") == 1, F.col("y1l1")).otherwise(F.col("y1l0"))).alias("v"))
-    for row in xy.collect():
-        moments.setdefault(row["g"], {})[row["k"]] = row["v"]
-
-    models, coefficients = {}, {}
-    for g, rows in gram.items():
-        seen = sorted(moments[g])
-        if len(seen) > MAX_REGRESSORS:
-            raise ValueError(f"{len(seen)} regressors in group {g}: the fit is meant for topics, apps and months")
-        # The first app and the first month are the base levels.
-        base = {min(k for k in seen if k.startswith(p)) for p in ("app=", "month=")}
-        names = [k for k in seen if k not in base]
-        n = next(r["v"] for r in rows if r["i"] == INTERCEPT and r["j"] == INTERCEPT)
-        inverse = np.linalg.pinv(_matrix(rows, names), hermitian=True)
-        beta = inverse @ np.array([moments[g][k] for k in names])
-        models[g] = (names, inverse, beta, n)
-        coefficients.update({f"{g}\u0001{k}": float(b) for k, b in zip(names, beta)})
-
-    known = literal_map(coefficients)
-    constants = F.aggregate(F.filter("e", lambda t: t["p"] == 0), F.lit(0.0), lambda acc, t: acc + F.coalesce(
-        known[F.concat(F.col("g"), F.lit("\u0001"), t["k"])], F.lit(0.0)))
-    slope = F.coalesce(known[F.concat(F.col("g"), F.lit(f"\u0001{LOG_LENGTH}"))], F.lit(0.0))
-    errors = prepared.withColumn("_f", constants).withColumn("_b", slope)
+    gram = _products(prepared, [F.col("y0l0"), F.col("y0l1"), F.col("y0l2")])
+    models = cut_lineage(gram.unionByName(right).groupBy("g").applyInPandas(
+        _solve, "g string, names array<string>, beta array<double>, inverse array<double>, n double, rank int"))
+
+    known = models.select("g", F.map_from_arrays("names", "beta").alias("_known"))
+    constants = F.aggregate(F.filter("e", lambda t: t["p"] == 0), F.lit(0.0),
+                            lambda acc, t: acc + F.coalesce(F.col("_known")[t["k"]], F.lit(0.0)))
+    errors = (prepared.join(known, "g").withColumn("_f", constants)
+              .withColumn("_b", F.coalesce(F.col("_known")[LOG_LENGTH], F.lit(0.0))))
     weighted = errors.select("g", "e", *[_squared_error(q).alias(f"e{q}") for q in range(3)])
-    meat: dict[str, list] = {}
-    for row in _products(weighted, [F.col("e0"), F.col("e1"), F.col("e2")]).collect():
-        meat.setdefault(row["g"], []).append(row)
-
-    out = []
-    for g, (names, inverse, beta, n) in models.items():
-        cov = inverse @ _matrix(meat[g], names) @ inverse * (n / (n - len(names)) if n > len(names) else np.nan)
-        for pos, name in enumerate(names):
-            if name.startswith("topic="):
-                b, se = float(beta[pos]), float(math.sqrt(max(cov[pos, pos], 0.0)))
-                p = math.erfc(abs(b / se) / math.sqrt(2.0)) if se > 0 else None
-                out.append((g, name[len("topic="):], b, se, p, b - 1.96 * se, b + 1.96 * se))
-    result = spark.createDataFrame(out, "g string, " + PENALTY_SCHEMA)
+    meat = _products(weighted, [F.col("e0"), F.col("e1"), F.col("e2")])
+    result = models.groupBy("g").cogroup(meat.groupBy("g")).applyInPandas(_robust, "g string, " + PENALTY_SCHEMA)
     return result.withColumnRenamed("g", by) if by else result.drop("g")
 
 
@@ -166,8 +168,10 @@ def issue_cost(reviews: DataFrame, topics: DataFrame, flags: DataFrame, penaltie
               .select("review_id", "app_key"))
     totals = recent.groupBy("app_key").agg(F.count(F.lit(1)).alias("n_total_reviews_90d"))
     churned = flags.select("review_id", "churn_intent")
-    marked = topics.join(penalties.select("topic"), "topic", "left_semi").select("review_id", "topic").distinct()
-    counts = (recent.join(churned, "review_id", "left").join(marked, "review_id")
+    # Only the trailing days' topics are made distinct.
+    marked = (topics.select("review_id", "topic").join(recent, "review_id")
+              .join(penalties.select("topic"), "topic", "left_semi").distinct())
+    counts = (marked.join(churned, "review_id", "left")
               .groupBy("app_key", "topic").agg(
                   F.count(F.lit(1)).alias("n_topic_reviews_90d"),
                   F.avg(F.coalesce(F.col("churn_intent"), F.lit(False)).cast("double")).alias("churn_intent_rate")))

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+
+from feedloom.functions.seeded import seeded_uniform
 
 THRESHOLD = 0.5
+TRAINING_ROWS = 200_000     # labelled rows that a fit reads, about
 FEATURES = "features"
 
 
-def text_encoder(text: str = "review_text", n_features: int = 1 << 12) -> Pipeline:
-    """Default encoder: hashed words weighted by rarity, unit length."""
+def text_encoder(text: str = "review_text", n_features: int = 1 << 18) -> Pipeline:
+    """Default encoder: words hashed to `n_features` columns, weighted by rarity, unit length."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=n_features),
@@ -35,22 +34,6 @@ def use_embeddings(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(FEATURES, array_to_vector(F.col(column).cast("array<double>")))
 
 
-def sentence_encoder(load: Callable[[], Callable[[list[str]], object]], batch: int = 512):
-    """Slot for a sentence model: `load` runs once per Python worker and returns
-    a function from texts to a matrix. Batches stream through Arrow."""
-
-    @F.pandas_udf(ArrayType(FloatType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = load()
-        for texts in batches:
-            out = []
-            for at in range(0, len(texts), batch):
-                out.extend(encoder(texts.iloc[at:at + batch].fillna("").tolist()))
-            yield pd.Series(out, index=texts.index)
-
-    return encode
-
-
 def assemble_training(parts: list[DataFrame], test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Union of the training parts, and a check that no test review is among them."""
     train = parts[0]
@@ -80,26 +63,35 @@ def fit_binary(train: DataFrame, label: Column, counts: tuple[int, int] | None =
     return model
 
 
-def fit_topics(train: DataFrame, vocabulary: list[str], topics: str = "topics") -> dict[str, LogisticRegressionModel]:
-    """One model per topic that has both positive and negative training rows."""
+def bounded(train: DataFrame, key: str, size: int = TRAINING_ROWS, seed: int = 11) -> DataFrame:
+    """About `size` labelled rows at most: a row stays if the seeded draw of its key is below size / n."""
+    n = train.agg(F.count(F.lit(1))).scalar()
+    return train.filter(seeded_uniform(seed, F.col(key)) * n <= size)
+
+
+def fit_topics(train: DataFrame, vocabulary: list[str], topics: str = "topics") -> dict[str, LogisticRegressionModel | float]:
+    """One model per topic; a topic that all rows or no rows have gets its share (1 or 0) as a constant."""
     cached = train.select(FEATURES, topics).persist()
     try:
         marks = [F.count_if(F.array_contains(topics, t)).alias(f"n{i}") for i, t in enumerate(vocabulary)]
         n, *positives = cached.agg(F.count(F.lit(1)).alias("n"), *marks).first()
-        return {t: fit_binary(cached, F.array_contains(topics, t), (n, k))
-                for t, k in zip(vocabulary, positives) if 0 < k < n}
+        return {t: fit_binary(cached, F.array_contains(topics, t), (n, k)) if 0 < k < n else float(n > 0 and k == n)
+                for t, k in zip(vocabulary, positives)}
     finally:
         cached.unpersist()
 
 
-def topic_probabilities(models: dict[str, LogisticRegressionModel], df: DataFrame, keep: tuple[str, ...] = ("review_id",)) -> DataFrame:
+def topic_probabilities(models: dict[str, LogisticRegressionModel | float], df: DataFrame, keep: tuple[str, ...] = ("review_id",)) -> DataFrame:
     """Long (keep..., topic, probability): every model scores each row in one pass."""
-    scored = df
-    for i, model in enumerate(models.values()):
+    scored, chances = df, []
+    for i, (t, model) in enumerate(models.items()):
+        if isinstance(model, float):
+            chances.append((t, F.lit(model)))
+            continue
         scored = (model.copy().setPredictionCol(f"_y{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}")
                   .transform(scored).drop(f"_y{i}", f"_r{i}"))
-    cells = F.array(*[F.struct(F.lit(t).alias("topic"), vector_to_array(f"_p{i}")[1].alias("probability"))
-                      for i, t in enumerate(models)])
+        chances.append((t, vector_to_array(f"_p{i}")[1]))
+    cells = F.array(*[F.struct(F.lit(t).alias("topic"), p.alias("probability")) for t, p in chances])
     return scored.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.*")
 
 

@@ -112,9 +112,9 @@ def text_stats(reviews: DataFrame, short_words: int = 5) -> DataFrame:
 
 
 def word_histogram(reviews: DataFrame, max_words: int = 40) -> DataFrame:
-    words = reviews.select("app_key", word_count(F.col("review_text")).alias("n_words"))
-    return words.filter(F.col("n_words") <= max_words).groupBy("app_key", "n_words").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Reviews per app and word count; the bin `max_words` + 1 holds all longer ones."""
+    words = F.least(word_count(F.col("review_text")), F.lit(max_words + 1)).alias("n_words")
+    return reviews.select("app_key", words).groupBy("app_key", "n_words").agg(F.count(F.lit(1)).alias("n"))
 
 
 def missing_version(reviews: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.columns import literal_array, ratio, stable_round
 
 MIN_SUPPORT = 5
+# The notes of unscored and weakly supported topics.
 LOW_SUPPORT = "LOW SUPPORT -- interpret cautiously"
 NOT_SCOREABLE = "no positive examples in either -- not scoreable"
 

@@ -78,6 +78,21 @@ def shuffled_index(df: DataFrame, key: str, seed: int, name: str = "i") -> DataF
             .withColumn(name, F.col("_offset") + F.col("_r") - 1).drop("_d", "_b", "_n", "_offset", "_r"))
 
 
+# The keyword patterns of rare topics and of leaving language, matched on lower-case text.
+RARE_TOPIC_PATTERNS = {
+    "ads_spam": r"(too many ads|advertisement|notification.*spam|ads everywhere|pop.?up)",
+    "investments_gold": r"(digital gold|digital silver|mutual fund|gold locker|sip\b|gold saving|silver saving)",
+    "travel_booking": r"(bus ticket|flight ticket|train ticket|bus operator|irctc|ticket booking|ticket cancel)",
+    "autopay_mandates": r"(autopay|auto.?pay|mandate|auto.?debit|recurring payment)",
+    "bank_linking": r"(link.*bank account|add.*bank account|bank account.*link|cannot link)",
+    "refund_delay": r"(refund.*(not|nahi|delay|pending)|reversal.*(pending|delay))",
+    "bills_recharge": r"(recharge (failed|not|plan)|bill payment (failed|not)|electricity bill|dth recharge)",
+    "account_blocked": r"(account.*(blocked|suspended|frozen)|blocked.*account)",
+    "fees_charges": r"(platform fee|convenience fee|hidden charge|extra charge|service charge)",
+}
+CHURN_PATTERN = r"(uninstall|switch(ing)? to|switching|never use.*again|done with this app|deleting the app|delete this app|moving to|shifting to)"
+
+
 def keyword_sample(reviews: DataFrame, used: DataFrame, patterns: dict[str, str], per_topic: int = PER_TOPIC,
                    seed: int = 99) -> DataFrame:
     """Up to `per_topic` unused reviews per keyword pattern; a review keeps its first topic.

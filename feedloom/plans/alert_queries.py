@@ -136,14 +136,17 @@ where e.start_time <= i.start_time_ist + interval 48 hour and e.end_time >= i.st
 
 register("topic_share_alerts", lambda s, d: rounded(
     alerts.topic_share_bins(fx.event_reviews(s, d)), "baseline_share", "expected", "poisson_p"), f"""
-with hourly as (select app_key, date_trunc('hour', reviewed_at) as bin_start, topic, count(*) as topic_reviews from event_reviews group by 1, 2, 3),
+with given as (select app_key, date_trunc('hour', reviewed_at) as bin_start, topic, count(*) as n from event_reviews group by 1, 2, 3),
+     hourly as (select h.app_key, h.bin_start, t.topic, coalesce(g.n, 0) as topic_reviews
+                from (select distinct app_key, bin_start from given) h join (select distinct app_key, topic from given) t on t.app_key = h.app_key
+                left join given g on g.app_key = h.app_key and g.bin_start = h.bin_start and g.topic = t.topic),
      totals as (select *, cast(sum(topic_reviews) over (partition by app_key, bin_start) as bigint) as total_reviews from hourly),
      shares as (select *, {ratio("sum(topic_reviews) over w", "sum(total_reviews) over w")} as baseline_share from totals
                 window w as (partition by app_key, topic order by bin_start
                              range between interval 14 day preceding and interval 1 second preceding)),
      rated as (select *, case when baseline_share is not null then greatest(total_reviews * baseline_share, 0.5) end as expected from shares),
-     tested as (select *, case when expected is not null then greatest(0, 1 - list_sum(list_transform(range(0, topic_reviews),
-                          lambda k: exp(k * ln(expected) - expected - lgamma(k + 1))))) end as poisson_p from rated)
+     tested as (select *, case when expected is not null then greatest(0, 1 - coalesce(list_sum(list_transform(range(0, topic_reviews),
+                          lambda k: exp(k * ln(expected) - expected - lgamma(k + 1)))), 0)) end as poisson_p from rated)
 select app_key, bin_start, topic, topic_reviews, total_reviews, {_r("baseline_share", "expected", "poisson_p")},
        coalesce(poisson_p < cast(0.01 as double) and topic_reviews >= 3, false) as alert from tested""")
 

@@ -61,8 +61,9 @@ from (select substr(n.k, 7) as topic, b.b as penalty, sqrt(s.v * (select count(d
 
 
 _fit("pooled", "design")
-relation("focus_design", f"select * from design where app_key = '{fx.FOCUS}'")
-_fit("focus", "focus_design")
+for _app in fx.APPS:
+    relation(f"{_app}_design", f"select * from design where app_key = '{_app}'")
+    _fit(_app, f"{_app}_design")
 
 relation("recent", "select review_id, app_key from stg_reviews where review_date >= (select max(review_date) from stg_reviews) - 90")
 
@@ -141,8 +142,9 @@ def _penalty_sql(prefix: str, extra: str = "") -> str:
 register("rating_penalties", lambda s, d: rounded(
     backlog.rating_penalties(_cells(s, d), _T), *_PENALTY), _penalty_sql("pooled"))
 
-register("app_rating_penalties", lambda s, d: rounded(backlog.rating_penalties(
-    _cells(s, d), _T, by="app_key").filter(f"app_key = '{fx.FOCUS}'"), *_PENALTY), _penalty_sql("focus", f"'{fx.FOCUS}' as app_key, "))
+register("app_rating_penalties", lambda s, d: rounded(
+    backlog.rating_penalties(_cells(s, d), _T, by="app_key"), *_PENALTY),
+    "\nunion all ".join(_penalty_sql(app, f"'{app}' as app_key, ") for app in fx.APPS))
 
 register("issue_cost", lambda s, d: rounded(_Backlog(s, d).costs(), *_COST), f"select {_COST_SQL} from costs")
 

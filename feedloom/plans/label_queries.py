@@ -93,6 +93,13 @@ order by {digest(123, "review_id")}, review_id limit 150""")
 # ---------------------------------------------------------------- labels
 
 
+def _faulty_batch(s, d):
+    """The sample, and a batch for it that lost every eleventh record and holds every seventh twice."""
+    indexed = cut_lineage(sampling.shuffled_index(_split(fx.text_reviews(s, d)), "review_id", 42))
+    kept = _label_batch(s, d, indexed).filter("i % 11 <> 3")
+    return indexed, kept.unionByName(kept.filter("i % 7 = 2"))
+
+
 def _label_batch(s, d, indexed):
     """Label records for the sample, as a labelling pass would return them."""
     topics = fx.table(s, d, "documents").select(
@@ -122,15 +129,28 @@ register("label_merge", lambda s, d: _gold(s, d)[1].select(*_GOLD), f"select {',
 
 
 def _integrity(s, d):
-    batch, gold = _gold(s, d)
-    return labels.batch_integrity(batch, gold.count())
+    """The checks on a whole batch and on one with lost and doubled records."""
+    indexed, faulty = _faulty_batch(s, d)
+    whole = _label_batch(s, d, indexed)
+    expected = indexed.agg(F.count(F.lit(1))).scalar()
+    return (labels.batch_integrity(whole, expected).withColumn("batch", F.lit("whole"))
+            .unionByName(labels.batch_integrity(faulty, expected).withColumn("batch", F.lit("faulty"))))
+
 
+relation("faulty_batch", """
+select i from gold where i % 11 <> 3 union all select i from gold where i % 11 <> 3 and i % 7 = 2""")
 
-register("label_batch_integrity", _integrity, """
-select c as "check", v as n_violations, v = 0 as passed from (
+
+def _integrity_sql(batch: str, rows: str) -> str:
+    return f"""
+select '{batch}' as batch, c as "check", v as n_violations, v = 0 as passed from (
   select unnest(['expected_count', 'unique_index', 'contiguous_index']) as c,
-         unnest([cast(count(*) - count(*) as bigint), count(*) - count(distinct i), cast(case when min(i) = 0 and max(i) = count(distinct i) - 1 then 0 else 1 end as bigint)]) as v
-  from gold)""")
+         unnest([cast(abs(count(*) - (select count(*) from text_indexed)) as bigint), count(*) - count(distinct i),
+                 cast(case when min(i) = 0 and max(i) = count(distinct i) - 1 then 0 else 1 end as bigint)]) as v
+  from {rows})"""
+
+
+register("label_batch_integrity", _integrity, _integrity_sql("whole", "gold") + " union all " + _integrity_sql("faulty", "faulty_batch"))
 
 register("label_frequency", lambda s, d: rounded(labels.label_frequency(_gold(s, d)[0]), "pct"), f"""
 select topic, count(*) as n, {dec("100.0 * count(*) / (select count(*) from gold)", 6)} as pct
@@ -209,12 +229,13 @@ select count(*) as n_scoreable, {dec("avg(kappa)", 6)} as macro_kappa, {dec("avg
 
 
 def _merge_check(s, d):
-    return labels.merge_checked(*_both_labels(s, d), "doc_id")[1]
+    """All documents against the labelled ones, which are fewer: rows are lost."""
+    return labels.merge_checked(fx.table(s, d, "documents").select("doc_id"), fx.table(s, d, "labels"), "doc_id")[1]
 
 
 register("merge_check", _merge_check, """
-select count(*) as n_left, count(*) as n_merged, cast(0 as bigint) as n_violations, true as passed
-from labels l join documents d on l.doc_id = d.doc_id""")
+select n_left, n_merged, abs(n_left - n_merged) as n_violations, n_left = n_merged as passed
+from (select (select count(*) from documents) as n_left, (select count(*) from labels l join documents d on l.doc_id = d.doc_id) as n_merged)""")
 
 register("evaluation", lambda s, d: labels.evaluation(labels.confusion(_grid(s, d))), f"""
 select topic, tp + fn as support_test, {dec("coalesce(pr, 0)", 3)} as "precision", {dec("coalesce(rc, 0)", 3)} as recall, {dec("coalesce(ff, 0)", 3)} as f1,
@@ -264,7 +285,7 @@ def _vectors(s, d):
         F.array(F.concat(F.lit("topic_"), F.col("label").cast("string"))).alias("topics"),
         F.col("label").isin(0, 1).alias("churn_intent"), (F.col("vec_id") % 4 == 0).alias("is_test"))
     featured = classifiers.use_embeddings(vectors, "embedding").drop("embedding")
-    return featured, featured.filter(~F.col("is_test")), featured.filter("is_test")
+    return featured, classifiers.bounded(featured.filter(~F.col("is_test")), "review_id"), featured.filter("is_test")
 
 
 _LABELS = [f"topic_{i}" for i in range(10)]
@@ -303,7 +324,7 @@ def _text_topics(s, d):
     """Language of each document from hashed words, trained on three quarters."""
     documents = fx.table(s, d, "documents").select(
         F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_text"), F.array("lang").alias("topics"))
-    train = documents.filter(F.col("review_id").cast("bigint") % 4 != 0)
+    train = classifiers.bounded(documents.filter(F.col("review_id").cast("bigint") % 4 != 0), "review_id")
     encoder = classifiers.text_encoder().fit(train)
     models = classifiers.fit_topics(classifiers.encode_text(encoder, train), ["de", "en", "es", "fr"])
     return classifiers.positive_topics(classifiers.topic_probabilities(models, classifiers.encode_text(encoder, documents)))

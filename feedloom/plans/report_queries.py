@@ -54,6 +54,8 @@ def _unique(table: str, rel: str, c: str) -> list[str]:
     return _checks(table, f"(select {c} from {rel} where {c} is not null group by 1 having count(*) > 1)", [("unique", c, "count(*)")])
 
 
+relation("dates", "select cast(d as date) as date from generate_series((select min(review_date) from stg_reviews), (select max(review_date) from stg_reviews), interval 1 day) as t(d)")
+
 _DQ = (
     _checks("stg_reviews", "stg_reviews", _nulls("review_id", "rating", "app_key", "review_text", "reviewed_at") + [
         ("accepted_values", "rating", "count(*) filter (where rating not in (1, 2, 3, 4, 5))"),
@@ -66,8 +68,7 @@ _DQ = (
     + _checks("fct_daily_app_metrics", "daily", _nulls("app_key", "review_date", "n_reviews", "negative_share", "avg_rating", "is_complete_day") + [
         ("in_range", "avg_rating", "count(*) filter (where avg_rating < 1 or avg_rating > 5)"),
         ("in_range", "negative_share", "count(*) filter (where negative_share < 0 or negative_share > 1)")])
-    + [f"select 'dim_date', 'not_null', 'date', 0 from stg_reviews having count(*) > 0",
-       f"select 'dim_date', 'unique', 'date', 0 from stg_reviews having count(*) > 0"]
+    + _checks("dim_date", "dates", _nulls("date")) + _unique("dim_date", "dates", "date")
     + _checks("fct_daily_app_metrics", "daily", [("relationships", "app_key", f"count(*) filter (where app_key not in ({sql_list(fx.APPS)}))")]))
 
 register("dq_report", _dq_report, "select *, n_violations = 0 as passed from (" + "\nunion all ".join(_DQ) + ")")

@@ -146,8 +146,7 @@ register("text_stats", lambda s, d: explore.text_stats(inputs.reviews(s, d)), _t
 register("long_text_stats", lambda s, d: explore.text_stats(fx.text_reviews(s, d)), _text_stats_sql("text_reviews"))
 
 register("word_histogram", lambda s, d: explore.word_histogram(fx.text_reviews(s, d)), """
-select app_key, cast(len(string_split(review_text, ' ')) as integer) as n_words, count(*) as n from text_reviews
-where len(string_split(review_text, ' ')) <= 40 group by 1, 2""")
+select app_key, cast(least(len(string_split(review_text, ' ')), 41) as integer) as n_words, count(*) as n from text_reviews group by 1, 2""")
 
 register("missing_version", lambda s, d: explore.missing_version(inputs.reviews(s, d)), f"""
 select app_key, {dec("100.0 * avg(case when review_version is null then cast(1 as double) else 0 end)", 1)} as pct_missing_version

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,40 +36,33 @@ def build_session(app_name: str = "feedloom", master: str | None = None,
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, from `spark.checkpoint.dir`.
 
-    A local session without the setting gets a temporary folder; a cluster
-    without it gets None, because a machine-local folder is lost with its host.
+    A session in one process that has none gets a temporary folder of its own, as
+    in tests. On a cluster the setting is required: a folder of one machine would
+    be lost with it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="feedloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return None
+    if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        configured = tempfile.mkdtemp(prefix="feedloom-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a frame that several jobs read.
+    """A frame that several jobs read, written once as Parquet below the shared folder.
 
-    Without a shared folder the frame comes back unchanged: later jobs then
-    recompute it, which is slower but still right.
+    Readers of the result prune columns and push filters as with any table.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "frame")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, below the shared folder."""
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(folder, "feedloom", f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/feedloom/{name}-{uuid.uuid4().hex}"

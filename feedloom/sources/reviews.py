@@ -34,16 +34,6 @@ def read_pages(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores when an input has fewer splits than cores.
-
-    A few large row groups would otherwise keep parsing, hashing and pattern
-    matching in as many tasks. Inputs with enough splits are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def load_audit(raw: DataFrame) -> DataFrame:
     """Rows, distinct reviews, time span and share of missing versions per app."""
     return raw.groupBy("app_key").agg(
