@@ -64,6 +64,7 @@ class Block:
     table: np.ndarray
     need: np.ndarray
     half: np.ndarray
+    starts: list[tuple[np.ndarray, int, int]]
 
     @classmethod
     def build(cls, items: list[tuple], span: int, step: int, budget: float, least: int) -> Block:
@@ -90,27 +91,41 @@ class Block:
         unique, first = np.unique(keys, return_index=True)
         need = np.array([p[0][1] - Q + 1 - p[0][2] * Q for p in passages], np.int64)
         half = np.array([2 * p[0][2] + 1 for p in passages], np.int64)
-        return cls(ids, codes, passages, unique, np.r_[first, len(keys)], item, place, table, need, half)
-
-
-def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int] | None:
-    """(edits, end) of the passage's best place in the text, on the diagonals low to high only; None beyond the budget."""
-    width = high - low + 1
-    cost = np.zeros(width, np.int64)
-    shift = np.arange(width)
-    padded = np.full(len(passage) + width + max(0, -low), 0xFFFFFFFF, np.uint32)
-    begin = max(0, low)
-    part = text[begin:max(begin, low + len(passage) + width)]
-    padded[begin - low:begin - low + len(part)] = part[:len(padded) - (begin - low)]
-    cost[:max(0, -low)] = edits + 1      # before the text
-    for i, c in enumerate(passage.tolist()):
-        step = cost + (padded[i:i + width] != c)
-        step[:-1] = np.minimum(step[:-1], cost[1:] + 1)
-        cost = np.minimum.accumulate(step - shift) + shift
-        if cost.min() > edits:
-            return None
-    best = int(cost.argmin())
-    return int(cost[best]), low + best + len(passage)
+        starts = [(np.array([x[0] for x in p]), p[0][1], p[0][2]) for p in passages]
+        return cls(ids, codes, passages, unique, np.r_[first, len(keys)], item, place, table, need, half, starts)
+
+
+def align(passages: np.ndarray, bands: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edits and end of each passage's best place in its band; edits + 1 beyond the budget.
+
+    A row of `bands` holds the text of a band, as long as the passage and the band's width
+    less one; cell (i, b) of the alignment has read i characters of the passage and stands at
+    i + b in the row, so only the band's diagonals are computed, for all rows at once.
+    """
+    size = passages.shape[1]
+    width = bands.shape[1] - size + 1
+    shift = np.arange(width, dtype=np.int16)
+    best, end = np.full(len(passages), edits + 1, np.int64), np.zeros(len(passages), np.int64)
+    alive, cost = np.arange(len(passages)), np.zeros((len(passages), width), np.int16)
+    for i in range(size):
+        step = cost + (bands[:, i:i + width] != passages[:, i:i + 1])
+        np.minimum(step[:, :-1], cost[:, 1:] + 1, out=step[:, :-1])
+        step -= shift
+        np.minimum.accumulate(step, axis=1, out=step)
+        cost = step + shift
+        if i % 8 == 7:
+            on = cost.min(1) <= edits
+            if not on.all():
+                alive, cost, bands, passages = alive[on], cost[on], bands[on], passages[on]
+            if not len(alive):
+                return best, end
+    at = cost.argmin(1)
+    least = cost[np.arange(len(alive)), at]
+    best[alive], end[alive] = np.minimum(least, edits + 1), at + size
+    return best, end
+
+
+ALIGNED = 2048      # candidates aligned at once
 
 
 def find(codes: np.ndarray, owner: np.ndarray, begins: np.ndarray, block: Block) -> list[tuple[int, int, int, int, int, int]]:
@@ -129,30 +144,45 @@ def find(codes: np.ndarray, owner: np.ndarray, begins: np.ndarray, block: Block)
     hit = np.repeat(block.first[key] - np.cumsum(many) + many, many) + np.arange(many.sum())
     at = np.repeat(at, many)
     item, place, text = block.item[hit], block.place[hit], owner[at]
-    diagonal = at - place - begins[text] + OVERLAP * 4       # from the text's start, never negative
+    pair, pair_of = np.unique(text.astype(np.int64) * len(block.ids) + item, return_inverse=True)
     half = block.half[item]
-    found: dict[tuple[int, int], list] = {}
+    low = -int(place.max())      # the least diagonal
+    base = low // half           # halves are numbered from here, so none is negative
+    half_of = (at - begins[text] - place) // half - base
+    places = int(place.max()) + 1
+    bands = int(half_of.max()) // 2 + 2
+    waiting: dict[tuple[int, int], list] = {}
     for odd in (0, 1):      # bands of two halves, once from even and once from odd ones
-        band = (diagonal // half + odd) // 2
-        order = np.lexsort((band, item, text))
-        t, i, b = text[order], item[order], band[order]
-        cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
-        end = np.r_[cut[1:], len(t)]
-        full = end - cut >= block.need[i[cut]]
-        for a, z in zip(cut[full].tolist(), end[full].tolist(), strict=True):
-            own, k = order[a:z], int(i[a])
-            low = int(2 * b[a] - odd) * int(block.half[k]) - OVERLAP * 4
-            where = np.sort(place[own])
-            doc = codes[begins[t[a]]:]
-            for start, size, edits in block.passages[k]:
-                if np.searchsorted(where, start + size - Q, "right") - np.searchsorted(where, start) < block.need[k]:
-                    continue
-                passage = block.codes[k][start:start + size]
-                region_end = int(np.searchsorted(owner, t[a], "right") - begins[t[a]])
-                got = align(passage, doc[:region_end], start + low, start + low + 2 * int(block.half[k]) - 1, edits)
-                if got is not None:
-                    found.setdefault((int(t[a]), k), []).append((got[1] - size, got[1], got[0], start))
-    return [(t, k, max(0, min(x[0] for x in own)) + int(begins[t]), max(x[1] for x in own) + int(begins[t]), min(x[2] for x in own), len({x[3] for x in own}))
+        cell = np.unique((pair_of * bands + (half_of + odd) // 2) * places + place)     # a place of the item counts once in a band
+        where, cell = cell % places, cell // places
+        cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        stop = np.r_[cut[1:], len(cell)]
+        k = pair[cell[cut] // bands] % len(block.ids)
+        full = stop - cut >= block.need[k]
+        for a, z, k in zip(cut[full].tolist(), stop[full].tolist(), k[full].tolist(), strict=True):
+            starts, size, edits = block.starts[k]
+            own = where[a:z]
+            enough = np.searchsorted(own, starts + size - Q, "right") - np.searchsorted(own, starts) >= block.need[k]
+            if enough.any():
+                t, h_ = int(pair[cell[a] // bands]) // len(block.ids), int(block.half[k])
+                first = (2 * int(cell[a] % bands) - odd + low // h_) * h_
+                waiting.setdefault((size, edits), []).extend((t, k, s, s + first) for s in starts[enough].tolist())
+    found: dict[tuple[int, int], list] = {}
+    ends = np.searchsorted(owner, np.arange(len(begins)), "right")
+    for (size, edits), todo in waiting.items():
+        width = 2 * (2 * edits + 1)
+        for lo in range(0, len(todo), ALIGNED):
+            part = todo[lo:lo + ALIGNED]
+            t = np.array([x[0] for x in part])
+            start = np.array([x[3] for x in part]) + begins[t]
+            spot = start[:, None] + np.arange(size + width - 1)
+            inside = (spot >= begins[t][:, None]) & (spot < ends[t][:, None])
+            rows = np.where(inside, codes[np.clip(spot, 0, len(codes) - 1)], np.uint32(0xFFFFFFFF))
+            best, end = align(np.stack([block.codes[k][s:s + size] for _, k, s, _ in part]), rows, edits)
+            for n in np.flatnonzero(best <= edits).tolist():
+                close = int(start[n] + end[n])
+                found.setdefault((part[n][0], part[n][1]), []).append((close - size, close, int(best[n]), part[n][2]))
+    return [(t, k, max(int(begins[t]), min(x[0] for x in own)), max(x[1] for x in own), min(x[2] for x in own), len({x[3] for x in own}))
             for (t, k), own in found.items()]
 
 
