@@ -14,11 +14,12 @@ are one class, named by a 64-bit digest of the set. For the links between classe
    boxes of LEAF such boxes, are compared before points. Pairs survive if the bound allows
    the threshold.
 3. Of the surviving pairs every class has its best one verified by its whole sets. Where
-   that leaves the parts of a bundle of surviving pairs unconnected, all its pairs between
-   different parts are verified. Pairs inside a part change no component.
+   that leaves the parts of a bundle of surviving pairs unconnected, one more tree over
+   the bundle finds the pairs between different parts, and they are verified until the
+   parts are connected or no pair is left. Pairs inside a part change no component.
 
-Components come from the verified links. No task returns the pairs of a cell, only best
-partners and a star forest, until step 3's rest. Shared counts of 255 and more go to an overflow
+Components come from the verified links. No task returns the pairs of a cell or a bundle,
+only best partners, star forests and the links that connect parts. Shared counts of 255 and more go to an overflow
 coordinate, so the bound holds for long texts.
 
 A null or blank text has no shingle and is its own component. A null doc_id sorts last;
@@ -211,19 +212,23 @@ def class_sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
 # ---------------------------------------------------------------- points and trees
 
-def _points(cls: list[int], part: list[int], tokens: list[bytes], t: float) -> np.ndarray:
-    """One record for each token of the prefix of each set: cell, class and point."""
-    out = []
-    for c, p, raw in zip(cls, part, tokens, strict=True):
-        h = np.frombuffer(raw, np.uint64)
+def _point_rows(cls: list[int], part: list[int], sets: list[np.ndarray]) -> np.ndarray:
+    """One record for each set, without a cell."""
+    out = np.zeros(len(sets), POINT)
+    for k, h in enumerate(sets):
         count = np.bincount((mix(h) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-        prefix = h[:len(h) - math.ceil(t * len(h) - 1e-9) + 1]
-        rec = np.empty(len(prefix), POINT)
-        rec["cls"], rec["part"], rec["n"], rec["at"] = c, p, len(h), np.minimum(count, 255)
-        rec["over"] = np.maximum(count - 255, 0).sum()
-        rec["tok"] = mix(prefix ^ PRIME).astype("<u4")
-        out.append((rec, mix(prefix)))
-    return np.concatenate([r for r, _ in out]), np.concatenate([h for _, h in out])
+        out[k] = (0, cls[k], part[k], len(h), np.maximum(count - 255, 0).sum(), np.minimum(count, 255))
+    return out
+
+
+def _points(cls: list[int], part: list[int], tokens: list[bytes], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """One record for each token of the prefix of each set, and the tokens' hashes."""
+    sets = [np.frombuffer(raw, np.uint64) for raw in tokens]
+    prefix = [h[:len(h) - math.ceil(t * len(h) - 1e-9) + 1] for h in sets]
+    rec = np.repeat(_point_rows(cls, part, sets), [len(p) for p in prefix])
+    h = np.concatenate(prefix)
+    rec["tok"] = mix(h ^ PRIME).astype("<u4")
+    return rec, mix(h)
 
 
 def tree_pairs(cell: np.ndarray, t: float):
@@ -233,36 +238,42 @@ def tree_pairs(cell: np.ndarray, t: float):
     sizes of its points; two nodes are opened if the smaller of their largest coordinates
     sum up to the intersection that their smallest sizes call for.
     """
-    n, over, at = cell["n"].astype(np.int64), cell["over"].astype(np.int64), cell["at"]
+    n, over, at = cell["n"].astype(np.float64), cell["over"].astype(np.float64), np.ascontiguousarray(cell["at"])
     need = t / (1 + t)
 
     def boxes(width):
         cut = np.arange(0, len(n), width)
-        return (np.maximum.reduceat(at, cut, axis=0), np.maximum.reduceat(over, cut), n[cut], np.r_[n[cut[1:] - 1], n[-1]])
+        return np.maximum.reduceat(at, cut, axis=0), np.maximum.reduceat(over, cut), n[cut], np.r_[n[cut[1:] - 1], n[-1]]
 
-    def meet(a, b, i, j):
-        top = np.minimum(a[0][i], b[0][j]).sum(1, dtype=np.int64) + np.minimum(a[1][i], b[1][j])
-        return (top >= need * (a[2][i] + b[2][j]) - 1e-6) & (a[3][i] >= t * b[2][j] - 1e-6)
+    def overlap(a, over_a, b, over_b):
+        out = np.empty((len(a), len(b)))
+        for lo in range(0, len(b), 256):    # GROUPS times 255 fits 16 bits
+            out[:, lo:lo + 256] = np.minimum(a[:, None, :], b[None, lo:lo + 256, :]).sum(2, dtype=np.uint16)
+        return out + np.minimum(over_a[:, None], over_b[None, :])
+
+    def meet(a, b):
+        sizes = a[2][:, None] + b[2][None, :]
+        return (overlap(a[0], a[1], b[0], b[1]) >= need * sizes - 1e-2) & (a[3][:, None] >= t * b[2][None, :] - 1e-2)
 
     outer, inner = boxes(LEAF * LEAF), boxes(LEAF)
+    leaves = np.arange(len(inner[2]))
     for i in range(len(outer[2])):
-        js = np.arange(i, len(outer[2]))
-        for j in js[meet(outer, outer, np.full(len(js), i), js)].tolist():
-            a = np.arange(i * LEAF, min((i + 1) * LEAF, len(inner[2])))
-            b = np.arange(j * LEAF, min((j + 1) * LEAF, len(inner[2])))
-            p, q = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
-            p, q = p[p <= q], q[p <= q]
-            ok = meet(inner, inner, p, q)
-            for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
-                u, v = slice(x * LEAF, (x + 1) * LEAF), slice(y * LEAF, (y + 1) * LEAF)
-                both = np.minimum(at[u][:, None, :], at[v][None, :, :]).sum(2, dtype=np.int64) + np.minimum(over[u][:, None], over[v][None, :])
-                sizes = n[u][:, None] + n[v][None, :]
-                fits = (both >= need * sizes - 1e-6) & (n[u][:, None] >= t * n[v][None, :] - 1e-6)
-                if x == y:
-                    fits &= np.tri(*fits.shape, -1, dtype=bool).T
-                i_, j_ = np.nonzero(fits)
-                if len(i_):
-                    yield i_ + u.start, j_ + v.start, both[i_, j_] / (sizes[i_, j_] - both[i_, j_]).clip(1)
+        near = i + np.flatnonzero(meet([x[i:i + 1] for x in outer], [x[i:] for x in outer])[0])
+        js = leaves[np.isin(leaves // LEAF, near)]
+        own = leaves[i * LEAF:(i + 1) * LEAF]
+        opened = meet([x[own] for x in inner], [x[js] for x in inner]) & (own[:, None] <= js[None, :])
+        for x, row in zip(own.tolist(), opened, strict=True):
+            u = slice(x * LEAF, (x + 1) * LEAF)
+            v = (js[row][:, None] * LEAF + np.arange(LEAF)).ravel()
+            for lo in range(0, len(v), 32 * LEAF):
+                w = v[lo:lo + 32 * LEAF]
+                w = w[w < len(n)]
+                both = overlap(at[u], over[u], at[w], over[w])
+                sizes = n[u][:, None] + n[w][None, :]
+                fits = (both >= need * sizes - 1e-2) & (n[u][:, None] >= t * n[w][None, :] - 1e-2) & (np.arange(len(n))[u][:, None] < w[None, :])
+                p, q = np.nonzero(fits)
+                if len(p):
+                    yield p + u.start, w[q], (both[p, q] / np.maximum(sizes[p, q] - both[p, q], 1)).astype(np.float32)
 
 
 def _cells(records: np.ndarray):
@@ -298,29 +309,33 @@ def best_partners(sets: DataFrame, t: float) -> DataFrame:
     def search(batches):
         packer = Packer(2 * n)
         for _, records in by_bucket(batches, POINT):
-            best, far = [], []
+            best, far, forests = [], [], []
             for cell in _cells(records):
-                top, who = np.zeros(len(cell), np.float64), np.full(len(cell), -1)
+                top, who = np.zeros(len(cell), np.float32), np.full(len(cell), -1)
                 for i, j, bound in tree_pairs(cell, t):
-                    far.append(star_forest(cell["cls"][i], cell["cls"][j]))
-                    # the later point of a pair asks the earlier one
-                    order = np.lexsort((i, -bound, j))
-                    first = order[np.r_[True, j[order][1:] != j[order][:-1]]]
-                    better = bound[first] > top[j[first]]
-                    top[j[first[better]]], who[j[first[better]]] = bound[first[better]], i[first[better]]
+                    # the later point of a pair asks the earlier one; the first of equals stays
+                    np.maximum.at(top, j, bound)
+                    hits = bound == top[j]
+                    order = np.lexsort((-i[hits], bound[hits]))
+                    who[j[hits][order]] = i[hits][order]
+                    far.append((i.astype(np.int32), j.astype(np.int32)))
+                    if sum(len(x) for x, _ in far) > 1 << 20:
+                        far = [tuple(x.astype(np.int32) for x in star_forest(*(np.concatenate(y) for y in zip(*far, strict=True))))]
+                if far:
+                    u, v = star_forest(*(np.concatenate(x) for x in zip(*far, strict=True)))
+                    forests.append((cell["cls"][u], cell["cls"][v]))
+                    far = []
                 hit = np.flatnonzero(who >= 0)
                 rec = np.empty(len(hit), BEST)
                 rec["cls"], rec["other"], rec["bound"] = cell["cls"][hit], cell["cls"][who[hit]], top[hit]
                 best.append(rec)
-                if len(far) > 256:
-                    far = [star_forest(*(np.concatenate(x) for x in zip(*far, strict=True)))]
             if best:
                 best = np.concatenate(best)
                 best = best[np.lexsort((best["other"], -best["bound"], best["cls"]))]
                 best = best[np.r_[True, best["cls"][1:] != best["cls"][:-1]][:len(best)]]
                 yield from packer.add(np.frombuffer(best.tobytes(), "u1").reshape(-1, BEST.itemsize), spread(mix(best["cls"].copy().view(np.uint64)), n))
-            if far:
-                u, v = star_forest(*(np.concatenate(x) for x in zip(*far, strict=True)))
+            if forests:
+                u, v = star_forest(*(np.concatenate(x) for x in zip(*forests, strict=True)))
                 rec = np.zeros((len(u), BEST.itemsize), np.uint8)
                 rec[:, :star.itemsize] = np.column_stack([u, v]).astype("<i8").view(np.uint8)
                 yield from packer.add(rec, n + spread(mix(u.view(np.uint64)), n))
@@ -342,24 +357,70 @@ def best_partners(sets: DataFrame, t: float) -> DataFrame:
     return mapped(gathered(found), choose, "kind int, a long, b long")
 
 
-def cross_pairs(sets: DataFrame, t: float) -> DataFrame:
-    """(a, b): surviving pairs of classes of different parts."""
-    schema = arrow("a long, b long")
+TILE = 2048
 
-    def search(batches):
-        for _, records in by_bucket(batches, POINT):
-            found = []
-            for cell in _cells(records):
-                if (cell["part"] == cell["part"][0]).all():
-                    continue
-                for i, j, _ in tree_pairs(cell, t):
-                    far = cell["part"][i] != cell["part"][j]
-                    found.append(np.column_stack([cell["cls"][i[far]], cell["cls"][j[far]]]))
-            if found:
-                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-                yield rows_out(schema, [pairs[:, 0], pairs[:, 1]])
 
-    return mapped(_spread_points(sets, t), search, "a long, b long").distinct()
+def cross_links(sets: DataFrame, placed: DataFrame, t: float) -> DataFrame:
+    """(a, b): links that join different parts of a bundle.
+
+    `placed` holds (cls, part, bundle). A bundle's largest part is its major one, the rest
+    is minor; both are cut into tiles by a hash, and each pair of minor tiles, and each minor
+    tile with each major one, is a task with the sets at hand. So a part of any size is sent
+    once for each tile of what is not in it. A task verifies the pairs that one tree over all
+    its points lets through, the most promising first, unless they are connected already.
+    """
+    sizes = placed.groupBy("bundle", "part").agg(F.count(F.lit(1)).alias("n"))
+    plan = sizes.groupBy("bundle").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).select(
+        "bundle", F.col("top.part").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / TILE).cast("int").alias("minors"),
+        F.ceil(F.col("top.n") / TILE).cast("int").alias("majors"))
+    kind = "array<struct<i:int,kind:int,j:int>>"
+
+    def task_key(i, k, j) -> F.Column:
+        return F.struct(i.cast("int").alias("i"), F.lit(k).alias("kind"), j.cast("int").alias("j"))
+
+    def upto(n: str) -> F.Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    is_major, tile = F.col("part") == F.col("major"), F.col("tile")
+    minor = F.concat(F.transform(upto("minors"), lambda o: task_key(F.least(o, tile), 0, F.greatest(o, tile))).cast(kind),
+                     F.transform(upto("majors"), lambda o: task_key(tile, 1, o)).cast(kind))
+    major = F.transform(upto("minors"), lambda o: task_key(o, 1, tile)).cast(kind)
+    dealt = (placed.join(plan, "bundle")
+             .withColumn("tile", F.pmod(F.xxhash64("cls"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))))
+             .select("cls", "part", "bundle", F.explode(F.when(is_major, major).otherwise(minor)).alias("w"))
+             .select("cls", "part", "bundle", "w.i", "w.kind", "w.j"))
+    found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    percent = round(t * 100)
+
+    def join(table: pa.Table) -> pa.Table:
+        cls, part = (np.asarray(table.column(c)) for c in ("cls", "part"))
+        tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        order = np.lexsort((cls, [len(x) for x in tokens]))
+        cls, part, tokens = cls[order], part[order], [tokens[i] for i in order.tolist()]
+        points = _point_rows(cls.tolist(), part.tolist(), tokens)
+        names, at_part = np.unique(part, return_inverse=True)
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for i, j, bound in tree_pairs(points, t):
+            far = at_part[i] != at_part[j]
+            i, j, bound = i[far], j[far], bound[far]
+            for p, q in zip(*(x[np.argsort(-bound, kind="stable")].tolist() for x in (i, j)), strict=True):
+                a, b = find(int(at_part[p])), find(int(at_part[q]))
+                if a != b:
+                    both = len(np.intersect1d(tokens[p], tokens[q], assume_unique=True))
+                    if 100 * both >= percent * (len(tokens[p]) + len(tokens[q]) - both):
+                        root[max(a, b)] = min(a, b)
+                        links.append((int(cls[p]), int(cls[q])))
+        return pa.table([[a for a, _ in links], [b for _, b in links]], schema=found)
+
+    return (dealt.join(sets.select("cls", "tokens"), "cls").groupBy("bundle", "i", "kind", "j").applyInArrow(join, "a long, b long"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -397,8 +458,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
     bundles = written(components(found.where("kind = 1").select("a", "b")), "shingle-bundles")
     placed = bundles.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     split = placed.groupBy("component").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("component")
-    torn = placed.join(split, "component", "left_semi").select(F.col("id").alias("cls"), "part")
-    rest = written(verified(cross_pairs(sets.drop("part").join(torn, "cls"), threshold), sets, threshold), "shingle-rest")
+    torn = written(placed.join(split, "component", "left_semi").select(F.col("id").alias("cls"), "part", F.col("component").alias("bundle")), "shingle-torn")
+    rest = written(cross_links(sets, torn, threshold), "shingle-rest")
     whole = components(links.union(rest))
     joined = members.join(whole.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     low = joined.where("n > 0").groupBy("root").agg(F.min("doc").alias("low"))
