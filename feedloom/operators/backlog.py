@@ -232,9 +232,9 @@ def rice_stability(scored: DataFrame, runs: int = 1000, top: int = 3, seed: int
 
 def issue_examples(topics: DataFrame, issues: DataFrame, per_issue: int = 2, max_rating: int = 2,
                    seed: int = 54) -> DataFrame:
-    """Random negative example texts for each listed app and topic.
+    """Random negative examples for each listed app and topic.
 
-    `topics` carries `rating` and `review_text`. The dense rank limits rows
+    `topics` carries `rating`; texts are joined to the chosen ids. The dense rank limits rows
     before the shuffle; a pair that is listed twice shares its rank, so the
     duplicates go when only the few chosen rows are left.
     """
@@ -243,4 +243,4 @@ def issue_examples(topics: DataFrame, issues: DataFrame, per_issue: int = 2, max
     return (topics.filter(F.col("rating") <= max_rating)
             .join(issues.select("app_key", "topic"), ["app_key", "topic"], "left_semi")
             .withColumn("_rank", F.dense_rank().over(order)).filter(F.col("_rank") <= per_issue)
-            .select("app_key", "topic", "review_id", "review_text").distinct())
+            .select("app_key", "topic", "review_id").distinct())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.columns import ratio, share_of, stable_round
 from feedloom.functions.text import word_count
+from feedloom.session import cut_lineage
 
 
 def top_weekly_risers(topic_daily: DataFrame, app_daily: DataFrame, top: int = 3) -> DataFrame:
@@ -14,6 +15,7 @@ def top_weekly_risers(topic_daily: DataFrame, app_daily: DataFrame, top: int = 3
     week = F.to_date(F.date_trunc("week", "review_date"))
     weekly = (topic_daily.filter("is_complete_day").groupBy("app_key", "topic", week.alias("wk"))
               .agg(F.sum("n_topic_reviews").alias("n")))
+    weekly = cut_lineage(weekly)    # the last week and the shares read it
     totals = (app_daily.filter("is_complete_day").groupBy("app_key", week.alias("wk"))
               .agg(F.sum("n_reviews").alias("total")))
     series = Window.partitionBy("app_key", "topic").orderBy("wk")

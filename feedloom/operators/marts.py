@@ -128,8 +128,9 @@ def dim_version(adoption: DataFrame, impact: DataFrame) -> DataFrame:
 def review_samples(topics: DataFrame, per_group: int = 8, seed: int = 8) -> DataFrame:
     """Up to `per_group` example reviews per app, topic and month, worst ratings first.
 
-    `topics` carries `rating` and `review_text`. The rank limit runs before the
-    shuffle, so only `per_group` texts per group leave each map task.
+    `topics` carries `rating`; texts are joined afterwards, to the chosen ids only.
+    The rank limit runs before the shuffle, so only `per_group` rows per group
+    leave each map task.
     """
     month = F.date_format("review_date", "yyyy-MM")
     worst_first = Window.partitionBy("app_key", "topic", "year_month").orderBy(
@@ -137,4 +138,4 @@ def review_samples(topics: DataFrame, per_group: int = 8, seed: int = 8) -> Data
     return (topics.withColumn("year_month", month)
             .withColumn("_rank", F.row_number().over(worst_first))
             .filter(F.col("_rank") <= per_group)
-            .select("app_key", "topic", "year_month", "review_id", "rating", "review_text", "review_date"))
+            .select("app_key", "topic", "year_month", "review_id", "rating", "review_date"))

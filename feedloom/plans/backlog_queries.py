@@ -160,9 +160,9 @@ from (select {_RICE_SQL} from rice_rows) r join stability s on s.app_key = r.app
 
 
 def _issue_examples(s, d):
-    shared = _Backlog(s, d, "review_hour", "review_text")
-    staged = staging.stage_topics(shared.topics, shared.reviews, ("rating", "review_text"))
-    return backlog.issue_examples(staged, backlog.top_issues(shared.scored()))
+    shared = _Backlog(s, d, "review_hour")
+    staged = staging.stage_topics(shared.topics, shared.reviews, ("rating",))
+    return inputs.with_texts(s, d, backlog.issue_examples(staged, backlog.top_issues(shared.scored())))
 
 
 register("issue_examples", _issue_examples, f"""

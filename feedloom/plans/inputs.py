@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.columns import stable_round
@@ -15,7 +15,7 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
     return staging.stage_reviews(fx.raw_reviews(spark, d))
 
 
-def shared_reviews(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def shared_reviews(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
     """Staged reviews for queries that read them more than once: deduplicated once, narrow."""
     return cut_lineage(reviews(spark, d).select("review_id", "app_key", "review_date", *columns))
 
@@ -24,6 +24,14 @@ def topics(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return staging.stage_topics(fx.raw_topics(spark, d), reviews(spark, d), extra)
 
 
+def with_texts(spark: SparkSession, d: str, chosen: DataFrame) -> DataFrame:
+    """The chosen rows with their reviews' texts; only those reviews are staged with texts."""
+    chosen = cut_lineage(chosen)
+    raw = fx.raw_reviews(spark, d)
+    raw = raw.join(chosen.select(F.col("review_id").alias("reviewId")).distinct(), "reviewId", "left_semi")
+    return chosen.join(staging.stage_reviews(raw).select("review_id", "review_text"), "review_id")
+
+
 def daily(spark: SparkSession, d: str) -> DataFrame:
     return marts.daily_app_metrics(reviews(spark, d))
 

@@ -21,7 +21,9 @@ _ALL_TOPICS = fx.TYPE_TOPICS + fx.NOUN_TOPICS
 
 
 def _dq_report(s, d):
-    reviews = inputs.shared_reviews(s, d, "review_hour", "reviewed_at", "review_version", "review_text", "rating", "is_negative")
+    # The null test needs a marker, not the text.
+    marker = F.when(F.col("review_text").isNotNull(), F.lit("")).alias("review_text")
+    reviews = inputs.shared_reviews(s, d, "review_hour", "reviewed_at", "review_version", marker, "rating", "is_negative")
     topics = staging.stage_topics(fx.raw_topics(s, d), reviews)
     flags = staging.stage_flags(fx.raw_flags(s, d), reviews)
     daily = cut_lineage(marts.daily_app_metrics(reviews))

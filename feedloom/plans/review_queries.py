@@ -68,7 +68,7 @@ select cast(d as date) as date, cast(extract(year from d) as integer) as year, c
        extract(dow from d) in (0, 6) as is_weekend
 from generate_series((select min(review_date) from stg_reviews), (select max(review_date) from stg_reviews), interval 1 day) as t(d)""")
 
-register("review_samples", lambda s, d: marts.review_samples(inputs.topics(s, d, "rating", "review_text")), f"""
+register("review_samples", lambda s, d: inputs.with_texts(s, d, marts.review_samples(inputs.topics(s, d, "rating"))), f"""
 select app_key, topic, year_month, review_id, rating, review_text, review_date from (
   select *, strftime(review_date, '%Y-%m') as year_month,
          row_number() over (partition by app_key, topic, strftime(review_date, '%Y-%m')
