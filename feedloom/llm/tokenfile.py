@@ -14,8 +14,10 @@ null doc_id sorts last. Rows with equal doc_id stand in the order of their text'
 from __future__ import annotations
 
 import re
+import string
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,69 +28,83 @@ from feedloom.llm.common import arrow, buckets_of, doc_id, keyed, mapped, per_wo
 
 travels(__name__)
 
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 900_000
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNT_SLICES = 64
 
 
-class Encoder:
-    """Ids of texts by one tokenizers file; pre-tokens that recur are encoded once.
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(plain)))}
+
+
+class Encoder(dict):
+    """Ids of texts by one tokenizers file; maps pre-tokens it has met to their ids as bytes.
 
     A byte-level BPE pre-tokenizer never joins a character with a space that follows it,
     so texts may be cut there, unless white space stands before that space. Texts where
-    it does, or which hold an added token's string, are encoded whole.
+    it does, or which hold an added token's string, are encoded whole. A pre-token stands
+    for itself after a space; in a tuple, for itself with nothing before it. Letters alone
+    are one piece for the model, and so are closing marks after them, and a line feed
+    between two characters that aren't white space.
     """
 
+    MARKS = string.punctuation.replace("'", "")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype, self.code = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
         pre = repr(self.tokenizer.pre_tokenizer)
-        plain = pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.tokenizer.normalizer is None
-        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.whole = re.compile("|".join([f"[{SPACE}] ", *map(re.escape, added)]) if plain else "")
-        self.inner = re.compile(f"[{SPACE}]")
-        self.line = self._ids(["\n"])[0]
-        self.known: dict = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, rest: list) -> None:
-        """A pre-token stands for itself after a space; in a tuple, for itself at the start of a text."""
-        alone = [u for u in rest if isinstance(u, tuple) or not u or self.inner.search(u)]
-        for u, ids in zip(alone, self._ids([u[0] if isinstance(u, tuple) else " " + u for u in alone]), strict=True):
-            self.known[u] = ids.tobytes()
-        words = list(set(rest).difference(alone))
-        for at in range(0, len(words), 4096):  # a line feed between words is a token of its own
-            part = words[at:at + 4096]
-            ids = self._ids(["\n".join([" " + w for w in part]) + "\n"])[0]
-            raw, size, start = ids.tobytes(), ids.itemsize, 0
-            ends = np.flatnonzero(ids == self.line[0])
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = raw[start * size:end * size]
-                start = end + 1
+        self.plain = pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.tokenizer.normalizer is None
+        self.added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.runs = re.compile(f"[{SPACE}] ")
+        self.letters = _byte_letters()
+        self.merge = self.tokenizer.model.tokenize
+        self.feed = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, text: str) -> list[int]:
+        return [t.id for t in self.merge(text.encode().decode("latin-1").translate(self.letters))]
+
+    def __missing__(self, unit) -> bytes:
+        text, space = (unit[0], "") if isinstance(unit, tuple) else (unit, " ")
+        stem = text.rstrip(self.MARKS)
+        left, feed, right = text.partition("\n")
+        if stem.isalpha():
+            ids = self._piece(space + stem) + (self._piece(text[len(stem):]) if len(stem) < len(text) else [])
+            ids = array(self.code, ids).tobytes()
+        elif feed and left and right and not left[-1].isspace() and not right[0].isspace():
+            ids = self[left if space else (left,)] + self.feed + self[(right,)]
+        else:
+            ids = self._whole(space + text)
+        self[unit] = ids
+        return ids
+
+    def _cuts(self, text: str) -> bool:
+        if not self.plain or any(a in text for a in self.added):
+            return False
+        if text.isascii():
+            return not ("  " in text or "\n " in text or "\t " in text or "\r " in text or "\v " in text or "\f " in text)
+        return not self.runs.search(text)
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        out, units = [b""] * len(batch), []
-        for i, text in enumerate(batch):
-            if not text or self.whole.search(text):
-                out[i] = self._ids([text])[0].tobytes()
-                units.append(())
+        if len(self) > CACHE_UNITS:
+            self.clear()
+        out, find = [], self.__getitem__
+        for text in batch:
+            if self._cuts(text):
+                units = text.split(" ")
+                units[0] = (units[0],)
+                out.append(b"".join(map(find, units)))
             else:
-                parts = text.split(" ")
-                parts[0] = (parts[0],)
-                units.append(parts)
-        rest = list(set().union(*units).difference(self.known))
-        if len(self.known) + len(rest) > CACHE_UNITS:
-            self.known = {}
-            rest = list(set().union(*units))
-        self._learn(rest)
-        find = self.known.__getitem__
-        for i, own in enumerate(units):
-            if own:
-                out[i] = b"".join(map(find, own))
+                out.append(self._whole(text))
         return out
 
 
