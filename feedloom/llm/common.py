@@ -179,7 +179,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, base: int = 0xD1B54A32D192ED03) -> tuple[np.ndarray, np.ndarray]:
+BASE = 0xD1B54A32D192ED03
+
+
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**0..n and its inverses modulo 2**64, grown as needed and kept by the worker."""
     kept = per_worker(f"powers_{base}", lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
     while len(kept[0]) <= n:
@@ -197,14 +200,6 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * PRIME)
-
-
 def window_hashes(values: np.ndarray, width: int, base: int = 0xA0761D6478BD642F) -> np.ndarray:
     """Hash of every `width` consecutive values (none if there are fewer)."""
     n = len(values) - width + 1
@@ -248,32 +243,40 @@ def chunks(batches: Iterable[pa.RecordBatch], least: int = CHUNK_BYTES) -> Itera
 
 
 def words_of(held: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the text each one stands in."""
-    hashes, owner = [], []
+    """Hashes of the words of all texts in order, and the text each one stands in.
+
+    Read by pieces of CHUNK_BYTES; a word that reaches over pieces has its sum carried on.
+    """
     joined = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
-    if fold:
-        joined = np.where((joined >= 65) & (joined <= 90), joined + np.uint8(32), joined)
     ends_of_texts = np.cumsum([len(t) + 1 for t in held])
-    at = 0
-    while at < len(joined):  # long texts by pieces that end in white space
-        end = min(at + CHUNK_BYTES, len(joined))
-        if end < len(joined):
-            back = np.flatnonzero(_white(joined[at:end]))
-            while not len(back):
-                end = min(end + CHUNK_BYTES, len(joined))
-                back = np.flatnonzero(_white(joined[at:end]))
-            end = at + int(back[-1]) + 1
-        starts, ends = word_spans(joined[at:end])
-        hashes.append(word_hashes(joined[at:end], starts, ends))
-        owner.append(np.searchsorted(ends_of_texts, starts + at, "right"))
-        at = end
+    up, down = powers(CHUNK_BYTES)
+    hashes, owner = [], []
+    carried, length = np.zeros(1, np.uint64), 0      # of the word that the last piece broke off
+    for at in range(0, len(joined), CHUNK_BYTES):
+        piece = joined[at:at + CHUNK_BYTES]
+        if fold:
+            piece = np.where((piece >= 65) & (piece <= 90), piece + np.uint8(32), piece)
+        starts, ends = word_spans(piece)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[:len(piece)], out=total[1:])
+        sums, size = (total[ends] - total[starts]) * down[starts], ends - starts
+        first = np.searchsorted(ends_of_texts, starts + at, "right")
+        if length and len(starts) and starts[0] == 0:
+            sums[:1] = carried + sums[:1] * np.uint64(pow(BASE, length, 1 << 64))
+            size[0] += length
+            first[0] = np.searchsorted(ends_of_texts, at - 1, "right")
+        elif length:
+            hashes.append(mix(carried + np.array([length], np.uint64) * PRIME))
+            owner.append(np.searchsorted(ends_of_texts, [at - 1], "right"))
+        length = 0
+        if len(ends) and ends[-1] == len(piece) and at + CHUNK_BYTES < len(joined):
+            carried, length = sums[-1:], int(size[-1])
+            sums, size, first = sums[:-1], size[:-1], first[:-1]
+        hashes.append(mix(sums + size.astype(np.uint64) * PRIME))
+        owner.append(first)
     return np.concatenate(hashes), np.concatenate(owner)
 
 
-def _white(data: np.ndarray) -> np.ndarray:
-    return (data == 32) | ((data >= 9) & (data <= 13))
-
-
 POSITION = np.uint64((1 << 24) - 1)
 SEGMENT = 1 << 22
 
@@ -298,10 +301,12 @@ def minimizers(values: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, n
 def window_runs(values: np.ndarray, owner: np.ndarray, width: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first start, last start, anchor position, anchor hash) of runs of windows with one anchor.
 
-    Windows that reach into another text are left out.
+    Windows that reach into another text are left out. Values are hashes, or bytes.
     """
     for base in range(0, max(len(values) - width + 1, 0), SEGMENT):
         part, own = values[base:base + SEGMENT + width - 1], owner[base:base + SEGMENT + width - 1]
+        if part.dtype == np.uint8:
+            part = part.astype(np.uint64) + np.uint64(1)
         at, h = minimizers(part, width, gram)
         inside = own[:len(at)] == own[width - 1:]
         change = np.r_[True, (at[1:] != at[:-1]) | (own[1:len(at)] != own[:len(at) - 1]) | (inside[1:] != inside[:-1])]

@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from feedloom.llm import decontamination, extraction, jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
+from feedloom.llm import common, decontamination, extraction, jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
 from feedloom.llm.common import merged_runs, minimizers, window_hashes
 from feedloom.llm.components import components
 
@@ -78,6 +78,18 @@ def test_minimizers_depend_on_the_window_alone():
     assert top == at.tolist()
 
 
+def test_words_over_pieces_hash_alike(monkeypatch):
+    texts = [b"ab cde  f\ngh", b"", b"x" * 90, b" ", "\u00e9 ab".encode(), b"cde"]
+    whole = common.words_of(texts)
+    for size in (1, 2, 3, 7, 16):
+        monkeypatch.setattr(common, "CHUNK_BYTES", size)
+        got = common.words_of(texts)
+        assert got[0].tolist() == whole[0].tolist() and got[1].tolist() == whole[1].tolist()
+    names = [w for t in texts for w in t.split()]
+    assert whole[1].tolist() == [k for k, t in enumerate(texts) for _ in t.split()]
+    assert len(set(whole[0].tolist())) == len(set(names)) and [names.index(w) for w in names] == [whole[0].tolist().index(h) for h in whole[0].tolist()]
+
+
 def test_merged_runs():
     a, b = merged_runs(np.array([5, 0, 2, 9]), np.array([7, 3, 5, 10]))
     assert (a.tolist(), b.tolist()) == ([0, 9], [7, 10])
