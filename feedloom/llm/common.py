@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 NO_ID = (1 << 63) - 1        # stands for a null id inside the operators
 WORDS = r"[^\x20\x09-\x0D]+"
-FLUSH_BYTES = 48 << 20       # packed records a map task holds before it sends them
+FLUSH_BYTES = 24 << 20       # packed records a map task holds before it sends them
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
