@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import alerts, backlog, causal, classifiers, labels, marts, quality, sampling, staging, switching
+from feedloom.operators import alerts, backlog, causal, classifiers, explore, labels, marts, quality, sampling, staging, switching
 from feedloom.plans import fixtures as fx
 from feedloom.sources import files, reviews as landing, schemas
 
@@ -253,11 +253,57 @@ def test_classifier_learns_balanced_topics_and_refuses_leakage(spark):
     encoder = classifiers.text_encoder(n_features=256).fit(df)
     features = classifiers.encode_text(encoder, df)
     models = classifiers.fit_topics(features, ["t0", "t1", "t2", "absent"])
-    assert set(models) == {"t0", "t1", "t2"}
+    assert models["absent"] == 0.0 and set(models) == {"t0", "t1", "t2", "absent"}
+    scores = classifiers.topic_probabilities({**models, "always": 1.0}, features)
+    assert {(r.topic, r.probability) for r in scores.filter("topic in ('absent', 'always')").collect()} == {("absent", 0.0), ("always", 1.0)}
+    assert scores.count() == 5 * len(rows) and classifiers.bounded(df, "review_id", 1000).count() == 90
+    assert 5 < classifiers.bounded(df, "review_id", 30).count() < 60
     found = classifiers.positive_topics(classifiers.topic_probabilities(models, features)).collect()
     assert {(r.review_id, r.topic) for r in found} == {(r[0], r[2][0]) for r in rows}
     _, check = classifiers.assemble_training([df.filter("review_id < '5'"), df.limit(1)], df.filter("review_id >= '9'"))
     assert check.first().n_leaked == 0
+    _, check = classifiers.assemble_training([df.filter("review_id < '5'"), df.filter("review_id = '90' or review_id = '89'")], df.filter("review_id >= '9'"))
+    assert (check.first().n_leaked, check.first().passed) == (0, True)
+    _, check = classifiers.assemble_training([df.filter("review_id < '5'"), df.filter("review_id = '9'")], df.filter("review_id >= '9'"))
+    assert (check.first().n_leaked, check.first().passed) == (1, False)
+
+
+def test_word_histogram_has_a_bin_for_long_texts(spark):
+    df = spark.createDataFrame([("a", "one two three"), ("a", "w " * 59 + "w"), ("a", "w " * 99 + "w")], "app_key string, review_text string")
+    assert sorted((r.n_words, r.n) for r in explore.word_histogram(df).collect()) == [(3, 1), (41, 2)]
+
+
+def test_batch_checks_find_lost_and_doubled_records(spark):
+    df = spark.createDataFrame([(0,), (1,), (1,), (4,)], "i long")
+    assert {r.check: r.n_violations for r in labels.batch_integrity(df, 6).collect()} == {"expected_count": 2, "unique_index": 1, "contiguous_index": 1}
+    assert labels.merge_checked(df.distinct(), spark.createDataFrame([(0,), (0,), (4,), (9,)], "i long"), "i")[1].first().n_violations == 0
+    assert labels.merge_checked(df.distinct(), spark.createDataFrame([(0,)], "i long"), "i")[1].first().n_violations == 2
+
+
+def test_episodes_and_windows_meet_once(spark):
+    found = spark.createDataFrame([("a", at(0), at(5)), ("a", at(7), at(7, 1)), ("b", at(0), at(1))], "app_key string, start timestamp_ntz, end timestamp_ntz")
+    windows = spark.createDataFrame([("a", "i", at(1), at(9)), ("a", "j", at(6), at(6, 5)), ("b", "k", at(1), at(1))], "app_key string, incident_id string, lo timestamp_ntz, hi timestamp_ntz")
+    got = sorted((r.app_key, r.start, r.incident_id) for r in alerts.overlapping_episodes(found, windows).collect())
+    assert got == [("a", at(0), "i"), ("a", at(7), "i"), ("b", at(0), "k")]
+
+
+def test_penalties_with_many_topics_and_a_dependent_column(spark):
+    rng = np.random.default_rng(8)
+    n, vocabulary = 500, [f"t{i}" for i in range(70)]
+    hit = rng.random((n, 3)) < .4
+    y = rng.integers(1, 6, n).astype(float)
+    reviews = spark.createDataFrame([(str(i), "app", dt.date(2024, 1, 3), int(i % 50 + 1), int(y[i])) for i in range(n)],
+                                    "review_id string, app_key string, review_date date, text_length int, rating int")
+    names = ["t1", "t69", "t5"]       # t5 and t6 always stand together
+    rows = [(str(i), names[j]) for i in range(n) for j in range(3) if hit[i, j]] + [(str(i), "t6") for i in range(n) if hit[i, 2]]
+    out = {r.topic: r for r in backlog.rating_penalties(backlog.review_cells(reviews, spark.createDataFrame(rows, "review_id string, topic string"), vocabulary), vocabulary).collect()}
+    x = np.column_stack([np.ones(n), hit, hit[:, 2], np.log1p(np.arange(n) % 50 + 1)]).astype(float)
+    inv = np.linalg.pinv(x.T @ x)
+    beta = inv @ x.T @ y
+    cov = inv @ (x.T * (y - x @ beta) ** 2) @ x @ inv * n / (n - 5)
+    assert set(out) == {"t1", "t69", "t5", "t6"}
+    for j, t in enumerate(("t1", "t69", "t5", "t6")):
+        assert out[t].penalty == pytest.approx(beta[j + 1], abs=1e-8) and out[t].penalty_se == pytest.approx(math.sqrt(cov[j + 1, j + 1]), rel=1e-6)
 
 
 def test_balanced_fit_matches_its_objective(spark):
