@@ -7,7 +7,7 @@ that can have an equal are sorted, and only through `depth` bytes:
 1. Each suffix's first `depth` bytes choose an anchor, the smallest hash among their grams
    of `gram` bytes. Equal strings choose equal anchors, so the anchor is the first, most
    significant digit. Anchors that occur once in the corpus end here: a packed shuffle of
-   24 bytes per anchor (about one per 40 bytes of text) tells which occur again.
+   20 bytes per anchor (about one per 40 bytes of text) tells which occur again.
 2. The text around the others is sent by anchor, each stretch once per task (a stretch that
    an earlier document of the same task holds is marked at once).
 3. For each anchor, suffixes are told apart by passes over the next 8 bytes each, most
@@ -28,39 +28,43 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from feedloom.llm.common import RUN, Packer, arrow, buckets_of, by_bucket, chunks, doc_bucket, doc_id, gathered, keyed, mapped, mix, \
+from feedloom.llm.common import FLUSH_BYTES, RUN, Packer, arrow, buckets_of, by_bucket, chunks, doc_bucket, doc_id, gathered, keyed, mapped, mix, \
     pack_runs, per_document, rows_out, spread, texts, travels, window_runs
 
 travels(__name__)
 
-ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("first", "<u4"), ("end", "<u4")])
-REPLY = 1 << 18     # windows a sorting task handles at a time, if no anchor has more
+ANCHOR = np.dtype([("h", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("first", "<u4")])     # the bucket holds the hash's upper bits
+REPLY = 1 << 18     # suffixes a sorting task handles at a time, if no anchor has more
 
 
 def _bytes_of(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts in a row, the text each byte stands in, and where the texts start."""
     size = np.array([len(t) for t in held], np.int64)
-    return np.frombuffer(b"".join(held), np.uint8), np.repeat(np.arange(len(held)), size), np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), size) if len(held) > 1 else np.broadcast_to(np.int32(0), int(size.sum()))
+    return np.frombuffer(b"".join(held), np.uint8), owner, np.cumsum(size) - size
 
 
 def _anchors(held: list[bytes], depth: int, gram: int):
     data, owner, base = _bytes_of(held)
-    values = data.astype(np.uint64) + np.uint64(1)
-    for first, last, _, h in window_runs(values, owner, depth, gram):
+    for first, _, _, h in window_runs(data, owner, depth, gram):
         own = owner[first]
-        yield own, first - base[own], last - base[own] + 1, mix(h)
+        yield own, first - base[own], mix(h)
 
 
 def repeated_anchors(rows: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(doc, crc, runs): first and last start of the suffixes whose anchor occurs again."""
+    """(doc, crc, runs): the first suffix of each run whose anchor occurs again (twice in a pair).
+
+    A hash is cut to 32 bits and its bucket, so now and then an anchor passes that occurs
+    once; the sort finds it alone.
+    """
     n = buckets_of(rows.sparkSession)
 
     def send(batches):
         packer = Packer(n)
         for doc, crcs, held in chunks(batches):
-            for own, first, end, h in _anchors(held, depth, gram):
+            for own, first, h in _anchors(held, depth, gram):
                 out = np.empty(len(own), ANCHOR)
-                out["h"], out["doc"], out["crc"], out["first"], out["end"] = h, doc[own], crcs[own], first, end
+                out["h"], out["doc"], out["crc"], out["first"] = h.astype("<u4"), doc[own], crcs[own], first
                 yield from packer.add(out, spread(h, n))
         yield from packer.flush()
 
@@ -73,7 +77,7 @@ def repeated_anchors(rows: DataFrame, depth: int, gram: int) -> DataFrame:
             same[:-1] |= same[1:]
             hit = a[np.sort(order[same])]
             if len(hit):
-                yield from packer.add(pack_runs(hit["doc"], hit["crc"], hit["first"], hit["end"]), doc_bucket(hit["doc"].copy(), n))
+                yield from packer.add(pack_runs(hit["doc"], hit["crc"], hit["first"], hit["first"]), doc_bucket(hit["doc"].copy(), n))
         yield from packer.flush()
 
     return per_document(mapped(gathered(mapped(rows, send, "bucket int, blob binary")), again, "bucket int, blob binary"), RUN)
@@ -148,10 +152,10 @@ def repeated_runs(rows: DataFrame, depth: int, gram: int) -> DataFrame:
         for batch in batches:
             blobs = batch.column(batch.schema.get_field_index("runs")).to_pylist()
             for (doc, crcs, text), blob in zip(texts(batch), blobs, strict=True):
-                data, owner = np.frombuffer(text, np.uint8), np.zeros(len(text), np.int8)
+                data, owner = np.frombuffer(text, np.uint8), np.broadcast_to(np.int8(0), len(text))
                 pairs = np.frombuffer(blob, np.int32).reshape(-1, 2)
                 again = {int(x) for x in pairs[:, 0]}
-                for first, last, _, h in window_runs(data.astype(np.uint64) + np.uint64(1), owner, depth, gram):
+                for first, last, _, h in window_runs(data, owner, depth, gram):
                     keep = np.isin(first, pairs[:, 0]) if len(again) != len(first) else slice(None)
                     first, last, h = first[keep], last[keep], mix(h[keep])
                     head = np.empty(len(first), HEAD)
@@ -159,7 +163,7 @@ def repeated_runs(rows: DataFrame, depth: int, gram: int) -> DataFrame:
                     head["size"] = last - first + depth
                     held.append((head, b"".join([text[a:b + depth] for a, b in zip(first.tolist(), last.tolist(), strict=True)])))
                     size += len(held[-1][1])
-            if size > 32 << 20:
+            if size > FLUSH_BYTES:
                 yield from flush(held)
                 held, size = [], 0
         yield from flush(held)
