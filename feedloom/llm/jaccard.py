@@ -276,13 +276,31 @@ def tree_pairs(cell: np.ndarray, t: float):
                     yield p + u.start, w[q], (both[p, q] / np.maximum(sizes[p, q] - both[p, q], 1)).astype(np.float32)
 
 
-def _cells(records: np.ndarray):
-    order = np.lexsort((records["cls"], records["n"], records["tok"]))
-    records = records[order]
+def cell_pairs(records: np.ndarray, t: float):
+    """Blocks (i, j, bound) over all cells of records sorted by cell and size, like `tree_pairs`.
+
+    A cell of one leaf needs no boxes; such cells are compared together, by their size.
+    """
+    need = t / (1 + t)
     edge = np.flatnonzero(np.r_[True, records["tok"][1:] != records["tok"][:-1]])
-    end = np.r_[edge[1:], len(records)]
-    for a, b in zip(edge[end - edge > 1].tolist(), end[end - edge > 1].tolist(), strict=True):
-        yield records[a:b]
+    size = np.diff(np.r_[edge, len(records)])
+    n, over, at = records["n"].astype(np.float64), records["over"].astype(np.float64), np.ascontiguousarray(records["at"])
+    for m in range(2, LEAF + 1):
+        start = edge[size == m]
+        a, b = np.triu_indices(m, 1)
+        step = max(1, (1 << 18) // len(a))
+        for lo in range(0, len(start), step):
+            i, j = ((start[lo:lo + step, None] + x).ravel() for x in (a, b))
+            near = n[i] >= t * n[j] - 1e-2
+            i, j = i[near], j[near]
+            both = np.minimum(at[i], at[j]).sum(1, dtype=np.uint16) + np.minimum(over[i], over[j])
+            fits = both >= need * (n[i] + n[j]) - 1e-2
+            i, j, both = i[fits], j[fits], both[fits]
+            if len(i):
+                yield i, j, (both / np.maximum(n[i] + n[j] - both, 1)).astype(np.float32)
+    for a, m in zip(edge[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+        for i, j, bound in tree_pairs(records[a:a + m], t):
+            yield i + a, j + a, bound
 
 
 def _spread_points(sets: DataFrame, t: float) -> DataFrame:
@@ -300,6 +318,18 @@ def _spread_points(sets: DataFrame, t: float) -> DataFrame:
     return gathered(mapped(sets.select("cls", "part", "tokens"), send, "bucket int, blob binary"))
 
 
+def _top(best: np.ndarray) -> np.ndarray:
+    """The best partner of each class; of equals the smallest."""
+    best = best[np.lexsort((best["other"], -best["bound"], best["cls"]))]
+    return best[np.r_[True, best["cls"][1:] != best["cls"][:-1]][:len(best)]]
+
+
+def _forest(far: list[tuple[np.ndarray, np.ndarray]], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A star forest of earlier forests and more pairs."""
+    none = np.empty(0, np.int64)
+    return star_forest(np.concatenate([none, *(u for u, _ in far), *(r["cls"] for r in held)]), np.concatenate([none, *(v for _, v in far), *(r["other"] for r in held)]))
+
+
 def best_partners(sets: DataFrame, t: float) -> DataFrame:
     """(kind, a, b): the best partner of every class (kind 0) and star forests of all surviving pairs (kind 1)."""
     n = buckets_of(sets.sparkSession)
@@ -309,33 +339,20 @@ def best_partners(sets: DataFrame, t: float) -> DataFrame:
     def search(batches):
         packer = Packer(2 * n)
         for _, records in by_bucket(batches, POINT):
-            best, far, forests = [], [], []
-            for cell in _cells(records):
-                top, who = np.zeros(len(cell), np.float32), np.full(len(cell), -1)
-                for i, j, bound in tree_pairs(cell, t):
-                    # the later point of a pair asks the earlier one; the first of equals stays
-                    np.maximum.at(top, j, bound)
-                    hits = bound == top[j]
-                    order = np.lexsort((-i[hits], bound[hits]))
-                    who[j[hits][order]] = i[hits][order]
-                    far.append((i.astype(np.int32), j.astype(np.int32)))
-                    if sum(len(x) for x, _ in far) > 1 << 20:
-                        far = [tuple(x.astype(np.int32) for x in star_forest(*(np.concatenate(y) for y in zip(*far, strict=True))))]
-                if far:
-                    u, v = star_forest(*(np.concatenate(x) for x in zip(*far, strict=True)))
-                    forests.append((cell["cls"][u], cell["cls"][v]))
-                    far = []
-                hit = np.flatnonzero(who >= 0)
-                rec = np.empty(len(hit), BEST)
-                rec["cls"], rec["other"], rec["bound"] = cell["cls"][hit], cell["cls"][who[hit]], top[hit]
-                best.append(rec)
-            if best:
-                best = np.concatenate(best)
-                best = best[np.lexsort((best["other"], -best["bound"], best["cls"]))]
-                best = best[np.r_[True, best["cls"][1:] != best["cls"][:-1]][:len(best)]]
+            records = records[np.lexsort((records["cls"], records["n"], records["tok"]))]
+            cls = records["cls"]
+            best, far, held = np.empty(0, BEST), [], []
+            for i, j, bound in cell_pairs(records, t):
+                # the later point of a pair asks the earlier one
+                rec = np.empty(len(i), BEST)
+                rec["cls"], rec["other"], rec["bound"] = cls[j], cls[i], bound
+                held.append(rec)
+                if sum(map(len, held)) > 1 << 19:
+                    best, far, held = _top(np.concatenate([best, *held])), [_forest(far, held)], []
+            best, forest = _top(np.concatenate([best, *held])), _forest(far, held)
+            if len(best):
                 yield from packer.add(np.frombuffer(best.tobytes(), "u1").reshape(-1, BEST.itemsize), spread(mix(best["cls"].copy().view(np.uint64)), n))
-            if forests:
-                u, v = star_forest(*(np.concatenate(x) for x in zip(*forests, strict=True)))
+                u, v = forest
                 rec = np.zeros((len(u), BEST.itemsize), np.uint8)
                 rec[:, :star.itemsize] = np.column_stack([u, v]).astype("<i8").view(np.uint8)
                 yield from packer.add(rec, n + spread(mix(u.view(np.uint64)), n))
@@ -348,9 +365,7 @@ def best_partners(sets: DataFrame, t: float) -> DataFrame:
                 pairs = np.unique(raw[:, :star.itemsize].copy().view("<i8").reshape(-1, 2), axis=0)
                 yield rows_out(schema, [np.ones(len(pairs)), pairs[:, 0], pairs[:, 1]])
             else:
-                best = raw.copy().view(BEST).ravel()
-                best = best[np.lexsort((best["other"], -best["bound"], best["cls"]))]
-                best = best[np.r_[True, best["cls"][1:] != best["cls"][:-1]]]
+                best = _top(raw.copy().view(BEST).ravel())
                 yield rows_out(schema, [np.zeros(len(best)), best["cls"], best["other"]])
 
     found = mapped(_spread_points(sets, t), search, "bucket int, blob binary")
