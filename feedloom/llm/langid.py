@@ -66,17 +66,27 @@ class Model:
 
 
 def fit(bits: np.ndarray, languages: list[str], landmark: np.ndarray, ridge: float = 0.1) -> Model:
-    """One-versus-rest kernel ridge regression on Nystroem features of the landmarks."""
+    """One-versus-rest kernel ridge regression on Nystroem features of the landmarks.
+
+    `bits` holds one row of 0 and 1 per text; its products are taken by columns, so no
+    wider copy of it is made.
+    """
     names = sorted(set(languages))
-    unit = bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
-    marks = unit[landmark].astype(np.float64)
-    value, vector = np.linalg.eigh(marks @ marks.T)
+    blocks = [slice(at, at + 4096) for at in range(0, bits.shape[1], 4096)]
+    scale = 1 / np.sqrt(np.maximum(bits.sum(1, dtype=np.float64), 1))
+    shared = np.zeros((len(bits), int(landmark.sum())))
+    for b in blocks:
+        part = bits[:, b].astype(np.float32)
+        shared += part @ part[landmark].T
+    kernel = shared * scale[:, None] * scale[landmark]
+    value, vector = np.linalg.eigh(kernel[landmark])
     keep = value > 1e-8 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    features = (unit.astype(np.float64) @ marks.T) @ whiten
+    features = kernel @ whiten
     truth = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     dual = whiten @ np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ truth)
-    return Model(names, (marks.T @ dual).astype(np.float32))
+    folded = (dual * scale[landmark][:, None]).astype(np.float32)
+    return Model(names, np.concatenate([bits[landmark, b].astype(np.float32).T @ folded for b in blocks]))
 
 
 def train(labelled: DataFrame, per_language: int = 120, landmarks: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -103,7 +113,7 @@ def train(labelled: DataFrame, per_language: int = 120, landmarks: int = 40, id_
     sample = sorted(map(tuple, mapped(rows, task, fields).collect()))
     if not sample:
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join([r[3] for r in sample]), np.uint8).reshape(len(sample), -1), axis=1).astype(np.float32)
+    bits = np.unpackbits(np.frombuffer(b"".join([r[3] for r in sample]), np.uint8).reshape(len(sample), -1), axis=1)
     return fit(bits, [r[0] for r in sample], np.array([r[1] <= landmarks for r in sample]) if any(r[1] <= landmarks for r in sample) else np.ones(len(sample), bool))
 
 
