@@ -28,7 +28,7 @@ from feedloom.llm.common import arrow, buckets_of, doc_id, keyed, mapped, per_wo
 
 travels(__name__)
 
-CACHE_UNITS = 900_000
+CACHE_UNITS = 450_000
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNT_SLICES = 64
 
