@@ -5,8 +5,11 @@ grams of `gram` words, which depends on the window's content alone; an anchor st
 least as many documents as any window that chose it. First pass: every task adds the
 anchors of its documents to a count-min sketch; the partial sketches are merged by adding
 counters, so the sketch overestimates the number of documents of every window. Second
-pass: only windows whose estimate is two or more are sent, by anchor, and grouped exactly
-by 96 bits of their words' hashes. None is lost, since no estimate is too low.
+pass: only windows whose estimate is two or more are grouped, exactly, by 96 bits of their
+words' hashes. None is lost, since no estimate is too low. A map task first settles what
+it holds: of equal windows only those of the least document are sent, and the later ones
+are marked at once. Windows are spread by their own hash, not by their anchor's, so
+neither a passage in many documents nor an anchor with many surroundings fills a bucket.
 
 The sketch has two rows of `1 << bits` counters, of which only "two or more" is kept: two
 bit tables, broadcast. `bits` follows the total text length up to MAX_BITS (two tables of
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm import common
-from feedloom.llm.common import RUN, Packer, arrow, buckets_of, by_bucket, chunks, doc_bucket, doc_id, gathered, keyed, mapped, mix, pack_runs, \
+from feedloom.llm.common import FLUSH_BYTES, RUN, Packer, arrow, buckets_of, by_bucket, chunks, doc_id, gathered, keyed, mapped, mix, pack_runs, \
     per_document, rows_out, spread, texts, travels, window_hashes, window_runs, words_of
 
 travels(__name__)
@@ -72,6 +75,25 @@ def sketch(rows: DataFrame, width: int, gram: int, bits: int) -> list[np.ndarray
     return [np.packbits(t, bitorder="little") for t in tables]
 
 
+def settled(w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of the windows that a smaller document among `w` holds, and the other windows, each once."""
+    s = w[np.lexsort((w["at"], w["crc"], w["doc"], w["g"], w["h"]))]
+    new = np.r_[True, (s["h"][1:] != s["h"][:-1]) | (s["g"][1:] != s["g"][:-1])][:len(s)]
+    later = s["doc"] > s["doc"][new][np.cumsum(new) - 1]
+    once = new | np.r_[True, (s["doc"][1:] != s["doc"][:-1]) | (s["crc"][1:] != s["crc"][:-1]) | (s["at"][1:] != s["at"][:-1])][:len(s)]
+    hit, kept = s[later & once], s[~later & once]
+    hit = hit[np.lexsort((hit["at"], hit["crc"], hit["doc"]))]
+    cut = np.flatnonzero(np.r_[True, (hit["doc"][1:] != hit["doc"][:-1]) | (hit["crc"][1:] != hit["crc"][:-1]) | (hit["at"][1:] > hit["at"][:-1] + 1)][:len(hit)])
+    last = np.r_[cut[1:] - 1, len(hit) - 1][:len(cut)]
+    return (pack_runs(hit["doc"][cut], hit["crc"][cut], hit["at"][cut], hit["at"][last] + width),
+            kept[np.lexsort((kept["at"], kept["crc"], kept["doc"]))])
+
+
+def run_bucket(runs: np.ndarray, n: int) -> np.ndarray:
+    """Buckets by doc and crc, so that documents without an id part too."""
+    return spread(mix(runs["doc"].astype(np.uint64) ^ runs["crc"].astype(np.uint64) * common.PRIME), n)
+
+
 def repeated_runs(rows: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
     """(doc, crc, runs): words covered by windows that a document with a smaller id holds."""
     spark = rows.sparkSession
@@ -86,36 +108,44 @@ def repeated_runs(rows: DataFrame, width: int, gram: int, bits: int) -> DataFram
         return out
 
     def send(batches):
-        packer = Packer(n)
+        packer, held_windows, size = Packer(2 * n), [], 0
+
+        def settle(least: int):
+            nonlocal held_windows, size
+            runs, kept = settled(np.concatenate(held_windows), width)
+            yield from packer.add(runs, n + run_bucket(runs, n))
+            held_windows, size = [kept], kept.nbytes
+            if size > least:
+                yield from windows.add(kept, spread(mix(kept["h"].copy()), n))
+                yield from windows.flush()
+                held_windows, size = [], 0
+
+        windows = Packer(n)
         for doc, crcs, held in chunks(batches):
             values, owner = words_of(held)
             ends = np.searchsorted(owner, np.arange(len(held)))
             h1, h2 = window_hashes(values, width), window_hashes(values ^ common.PRIME, width, 0x9FB21C651E98DF25)
             for first, last, _, h in window_runs(values, owner, width, gram):
                 keep = twice(h)
-                first, last, h = first[keep], last[keep], h[keep]
-                size = last - first + 1
-                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                first, last = first[keep], last[keep]
+                count = last - first + 1
+                at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
                 out = np.empty(len(at), WINDOW)
                 own = owner[at]
                 out["h"], out["g"], out["doc"], out["crc"], out["at"] = h1[at], h2[at] >> np.uint64(32), doc[own], crcs[own], at - ends[own]
-                yield from packer.add(out, np.repeat(spread(mix(h), n), size))
+                held_windows.append(out)
+                size += out.nbytes
+                if size > FLUSH_BYTES:
+                    yield from settle(FLUSH_BYTES // 2)
+        if held_windows:
+            yield from settle(-1)
         yield from packer.flush()
 
     def find(batches):
         packer = Packer(n)
-        for _, w in by_bucket(batches, WINDOW):
-            order = np.lexsort((w["doc"], w["g"], w["h"]))
-            s = w[order]
-            new = np.r_[True, (s["h"][1:] != s["h"][:-1]) | (s["g"][1:] != s["g"][:-1])]
-            least = s["doc"][new][np.cumsum(new) - 1]
-            hit = s[s["doc"] > least]
-            hit = hit[np.lexsort((hit["at"], hit["crc"], hit["doc"]))]
-            if len(hit):
-                cut = np.flatnonzero(np.r_[True, (hit["doc"][1:] != hit["doc"][:-1]) | (hit["crc"][1:] != hit["crc"][:-1]) | (hit["at"][1:] > hit["at"][:-1] + 1)])
-                last = np.r_[cut[1:] - 1, len(hit) - 1]
-                runs = pack_runs(hit["doc"][cut], hit["crc"][cut], hit["at"][cut], hit["at"][last] + width)
-                yield from packer.add(runs, doc_bucket(runs["doc"].copy(), n))
+        for bucket, blob in by_bucket(batches, np.dtype("u1")):
+            runs = blob.view(RUN) if bucket >= n else settled(blob.view(WINDOW), width)[0]
+            yield from packer.add(runs, run_bucket(runs, n))
         yield from packer.flush()
 
     windows = gathered(mapped(rows, send, "bucket int, blob binary"))

@@ -394,6 +394,25 @@ def test_a_full_sketch_loses_nothing(spark, corpus):
     assert sorted(map(repr, tiny)) == sorted(map(repr, substrings.dedup_windows(docs).select("doc_id", "n_removed").collect()))
 
 
+def test_windows_of_a_hot_group_fill_no_bucket(spark, monkeypatch):
+    """Neither copies in one task nor an anchor with many surroundings send a bucket a record per occurrence."""
+    r = random.Random(5)
+    copied, common_words = prose(r, 300), prose(r, 30)
+    rows = [(None if k % 3 == 0 else k, copied, None, None) for k in range(1, 400)]
+    rows += [(k, prose(r, 60, f"x{k}") + " " + common_words + " " + prose(r, 60, f"y{k}"), None, None) for k in range(1000, 1400)]
+    by_bucket = substrings.by_bucket
+
+    def watched(batches, dtype):
+        for bucket, records in by_bucket(batches, dtype):
+            assert records.nbytes < 250_000, "a bucket holds too much"
+            yield bucket, records
+
+    monkeypatch.setattr(substrings, "by_bucket", watched)
+    got = substrings.dedup_windows(frame(spark, rows).repartition(2)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["n_words"] == 300} == {None: 300} | {k: 300 * (k > 1) for k in range(1, 400) if k % 3}
+    assert not any(r["n_removed"] for r in got if (r["doc_id"] or 0) >= 1000)
+
+
 # ---------------------------------------------------------------- 9, 10 near-duplicates
 
 def shingles(text):
