@@ -2,18 +2,19 @@
 
 A window is `width` consecutive words. Each one has an anchor, the smallest hash among its
 grams of `gram` words, which depends on the window's content alone; an anchor stands in at
-least as many documents as any window that chose it. First pass: every task adds the
-anchors of its documents to a count-min sketch; the partial sketches are merged by adding
-counters, so the sketch overestimates the number of documents of every window. Second
-pass: only windows whose estimate is two or more are grouped, exactly, by 96 bits of their
-words' hashes. None is lost, since no estimate is too low. A map task first settles what
-it holds: of equal windows only those of the least document are sent, and the later ones
-are marked at once. Windows are spread by their own hash, not by their anchor's, so
+least as many documents as any window that chose it. First pass: every task counts the
+anchors of its documents in a count-min sketch whose counters stop at two, kept as sorted
+slots; tasks by ranges of slots add the counters and pack those of two or more into bits.
+Second pass: only windows whose estimate is two or more are grouped, exactly, by 96 bits
+of their words' hashes. None is lost, since no estimate is too low. A map task first
+settles what it holds: of equal windows only those of the least document are sent, and the
+later ones are marked at once. Windows are spread by their own hash, not by their anchor's, so
 neither a passage in many documents nor an anchor with many surroundings fills a bucket.
 
 The sketch has two rows of `1 << bits` counters, of which only "two or more" is kept: two
-bit tables, broadcast. `bits` follows the total text length up to MAX_BITS (two tables of
-128 MB); beyond, more windows pass the prefilter and the result stays the same.
+bit tables, which the driver receives packed, range by range, and broadcasts. `bits`
+follows the total text length up to MAX_BITS (two tables of 128 MB, held by the driver and
+by each Python worker); beyond, more windows pass the prefilter and the result stays the same.
 
 A null text has no words. A null doc_id sorts last. Rows that share a doc_id never remove
 each other's words. Rows that repeat whole get equal results. Extra columns are ignored.
@@ -42,13 +43,32 @@ def _slots(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(h * ROWS[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def at_most_twice(slots: np.ndarray) -> np.ndarray:
+    """Sorted slots, each once or twice: counters that stop at two, of the slots that are not 0."""
+    s = np.sort(slots)
+    return s[np.r_[True, True, s[2:] != s[:-2]][:len(s)]]
+
+
 def sketch(rows: DataFrame, width: int, gram: int, bits: int) -> list[np.ndarray]:
     """Two packed bit tables: slots that the anchors of two documents or more fall on."""
-    buckets = min(buckets_of(rows.sparkSession), 1 << MIN_BITS)
+    buckets = min(buckets_of(rows.sparkSession), 1 << (bits - 3))
     n = 2 * buckets
 
     def count(batches):
-        packer = Packer(n)
+        packer, held_slots, size = Packer(n), ([], []), 0
+
+        def send(least: int):
+            nonlocal size
+            for row in range(2):
+                held_slots[row][:] = [at_most_twice(np.concatenate(held_slots[row]))]
+            size = sum(x[0].nbytes for x in held_slots)
+            if size > least:
+                for row in range(2):
+                    slots = held_slots[row].pop()
+                    yield from packer.add(slots, row * buckets + ((slots.astype(np.int64) >> 3) * buckets >> bits - 3))
+                size = 0
+                yield from packer.flush()
+
         for _, _, held in chunks(batches):
             values, owner = words_of(held)
             for first, _, _, h in window_runs(values, owner, width, gram):
@@ -57,22 +77,30 @@ def sketch(rows: DataFrame, width: int, gram: int, bits: int) -> list[np.ndarray
                 h, own = h[order], own[order]
                 once = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][:len(h)]  # a document counts once
                 for row in range(2):
-                    slots = _slots(h[once], row, bits)
-                    yield from packer.add(slots.astype("<u4"), row * buckets + (slots * buckets >> bits))
-        yield from packer.flush()
+                    held_slots[row].append(_slots(h[once], row, bits).astype("<u4"))
+                    size += held_slots[row][-1].nbytes
+                if size > FLUSH_BYTES:
+                    yield from send(FLUSH_BYTES // 2)
+        if held_slots[0]:
+            yield from send(-1)
 
-    schema = arrow("row int, slots binary")
+    schema = arrow("row int, first long, bits binary")
 
     def merge(batches):
         for bucket, slots in by_bucket(batches, np.dtype("<u4")):
             slots = np.sort(slots)
-            twice = np.unique(slots[1:][slots[1:] == slots[:-1]])
-            yield rows_out(schema, [[bucket // buckets], [twice.tobytes()]])
-
-    tables = [np.zeros(1 << bits, bool) for _ in range(2)]
-    for row, slots in mapped(gathered(mapped(rows, count, "bucket int, blob binary")), merge, "row int, slots binary").toLocalIterator():
-        tables[row][np.frombuffer(slots, "<u4")] = True  # bounded by the tables' size
-    return [np.packbits(t, bitorder="little") for t in tables]
+            twice = np.unique(slots[1:][slots[1:] == slots[:-1]]).astype(np.int64)
+            if len(twice):
+                first = int(twice[0]) & ~7
+                table = np.zeros((int(twice[-1]) >> 3) - (first >> 3) + 1, np.uint8)
+                np.bitwise_or.at(table, (twice - first) >> 3, np.uint8(1) << (twice & 7).astype(np.uint8))
+                yield rows_out(schema, [[bucket // buckets], [first], [table.tobytes()]])
+
+    tables = [np.zeros((1 << bits) + 7 >> 3, np.uint8) for _ in range(2)]
+    parts = mapped(gathered(mapped(rows, count, "bucket int, blob binary")), merge, "row int, first long, bits binary")
+    for row, first, packed in parts.toLocalIterator():      # ranges of whole bytes that don't overlap
+        tables[row][first >> 3:(first >> 3) + len(packed)] = np.frombuffer(packed, np.uint8)
+    return tables
 
 
 def settled(w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

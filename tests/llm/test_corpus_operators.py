@@ -413,6 +413,30 @@ def test_windows_of_a_hot_group_fill_no_bucket(spark, monkeypatch):
     assert not any(r["n_removed"] for r in got if (r["doc_id"] or 0) >= 1000)
 
 
+def test_sketch_stays_packed_on_the_driver(spark, corpus):
+    """The driver holds the two tables packed: an eighth of a byte a slot, not a byte."""
+    import tracemalloc
+
+    bits, rows = 26, common.keyed(frame(spark, corpus))
+    tracemalloc.start()
+    try:
+        tables = substrings.sketch(rows, 50, 10, bits)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * (2 << bits - 3)
+    slots: list[dict] = [{}, {}]
+    for i, (_, text, *_) in enumerate(corpus):
+        values, owner = common.words_of([(text or "").encode()])
+        for _, _, _, h in common.window_runs(values, owner, 50, 10):
+            for row in range(2):
+                for slot in substrings._slots(h, row, bits).tolist():
+                    slots[row].setdefault(slot, set()).add(i)
+    for row in range(2):
+        found = np.flatnonzero(np.unpackbits(tables[row], bitorder="little")).tolist()
+        assert found and found == sorted(k for k, docs in slots[row].items() if len(docs) > 1)
+
+
 # ---------------------------------------------------------------- 9, 10 near-duplicates
 
 def shingles(text):
