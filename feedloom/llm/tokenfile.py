@@ -29,6 +29,7 @@ from feedloom.llm.common import arrow, buckets_of, doc_id, keyed, mapped, per_wo
 travels(__name__)
 
 CACHE_UNITS = 450_000
+LONG_UNIT = 1 << 8      # longer pre-tokens are not kept
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNT_SLICES = 64
 
@@ -47,7 +48,7 @@ class Encoder(dict):
     it does, or which hold an added token's string, are encoded whole. A pre-token stands
     for itself after a space; in a tuple, for itself with nothing before it. Letters alone
     are one piece for the model, and so are closing marks after them, and a line feed
-    between two characters that aren't white space.
+    between two characters that aren't white space, at which longer runs of lines are cut.
     """
 
     MARKS = string.punctuation.replace("'", "")
@@ -63,6 +64,7 @@ class Encoder(dict):
         self.plain = pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.tokenizer.normalizer is None
         self.added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.runs = re.compile(f"[{SPACE}] ")
+        self.feeds = re.compile(r"(?<=\S)\n(?=\S)")
         self.letters = _byte_letters()
         self.merge = self.tokenizer.model.tokenize
         self.feed = self._whole("\n")
@@ -76,15 +78,18 @@ class Encoder(dict):
     def __missing__(self, unit) -> bytes:
         text, space = (unit[0], "") if isinstance(unit, tuple) else (unit, " ")
         stem = text.rstrip(self.MARKS)
-        left, feed, right = text.partition("\n")
+        lines = self.feeds.split(text) if "\n" in text else ()
         if stem.isalpha():
             ids = self._piece(space + stem) + (self._piece(text[len(stem):]) if len(stem) < len(text) else [])
             ids = array(self.code, ids).tobytes()
-        elif feed and left and right and not left[-1].isspace() and not right[0].isspace():
-            ids = self[left if space else (left,)] + self.feed + self[(right,)]
+        elif len(lines) > 1:
+            ids = self.feed.join([self[lines[0] if space else (lines[0],)], *[self[(line,)] for line in lines[1:]]])
         else:
             ids = self._whole(space + text)
-        self[unit] = ids
+        if len(text) <= LONG_UNIT:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = ids
         return ids
 
     def _cuts(self, text: str) -> bool:
@@ -95,8 +100,6 @@ class Encoder(dict):
         return not self.runs.search(text)
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self) > CACHE_UNITS:
-            self.clear()
         out, find = [], self.__getitem__
         for text in batch:
             if self._cuts(text):

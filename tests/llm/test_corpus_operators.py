@@ -320,6 +320,18 @@ def test_token_files_round_trip(spark, corpus, tmp_path):
     assert tokenfile.encoded_index(frame(spark, []), path).count() == 0
 
 
+def test_many_lines_without_spaces(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), tokenfile.Encoder(path)
+    rows = ["\n".join(f"{k * 7919 % 10007},{k}" for k in range(20_000)), "a\nb\nc d\ne\n\nf's\n's\n", "x" * 5000 + "\ny", "w\n1\x1c\n2\x85\n3"]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(rows)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+    assert max(len(k[0] if isinstance(k, tuple) else k) for k in encoder) <= tokenfile.LONG_UNIT
+    got = tokenfile.encoded_index(frame(spark, [(1, rows[0], None, None)]), path, str(tmp_path / "ids")).collect()
+    assert got[0]["n_tokens"] == len(tokenizer.encode(rows[0], add_special_tokens=False).ids) + 1
+
+
 def test_variable_length_codes():
     r = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
