@@ -31,7 +31,7 @@ from feedloom.llm.common import arrow, mapped, rows_out, travels
 travels(__name__)
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|iframe|svg|object|select)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<(script|style|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -43,6 +43,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section main body form aside nav td th blockquote".split())
 
+# Elements left out with all they hold. Left open, they end with their parent block, and an svg before an element that can't stand in one.
+SKIPPED = frozenset("svg object select noscript template".split())
+NO_SVG = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small
+    span strong strike sub sup table tt u ul var""".split())
+
 # Words in names of elements, by what they tell.
 NAMED = {
     "ad": "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner teaser".split(),
@@ -78,6 +83,7 @@ def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     held: list[str] = []
     linked, path, open_links = 0, (), 0
+    skipped, inner = "", []      # the element left out, and the elements opened in it
 
     def close():
         nonlocal linked
@@ -90,10 +96,24 @@ def leaf_blocks(page: str) -> list[Block]:
 
     for m in TOKEN.finditer(page):
         tag = m[3]
+        if skipped:
+            tag = (tag or "").lower()
+            if m[2] and tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag):]
+                continue
+            if m[2] and tag == skipped:
+                skipped = ""
+                continue
+            if not (m[2] and tag in BLOCKS and any(t == tag for t, _ in stack)
+                    or not m[2] and skipped == "svg" and tag in NO_SVG and "foreignobject" not in inner):
+                if not m[2] and (tag in BLOCKS and tag not in VOID or tag == "foreignobject" or tag == skipped in ("svg", "object", "template")) and not m[4].endswith("/"):
+                    inner.append(tag)
+                continue
+            skipped = ""
         if tag is None:
             raw = m[0]
             if m[1] is not None:
-                if m[1].lower() in ("select", "textarea", "object", "iframe", "svg"):
+                if m[1].lower() in ("textarea", "iframe"):
                     held.append(" ") if held else None
             elif raw[0] != "<" or raw == "<":
                 if not held:
@@ -133,6 +153,11 @@ def leaf_blocks(page: str) -> list[Block]:
                         kinds.add(k)
             if not (m[4] or "").endswith("/"):
                 stack.append((tag, frozenset(kinds)))
+        elif tag in SKIPPED:
+            if held and tag in ("select", "object", "svg"):
+                held.append(" ")
+            if not (m[4] or "").endswith("/"):
+                skipped, inner = tag, []
         elif tag == "br" or tag in ("img", "input"):
             if held:
                 held.append(" ")

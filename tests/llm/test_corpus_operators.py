@@ -288,6 +288,25 @@ def test_article_without_its_surroundings(spark, chain):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string"), chain).count() == 0
 
 
+def test_elements_left_out_end_with_their_parent():
+    def texts(page):
+        return [b.text for b in extraction.leaf_blocks(page)]
+
+    two = "<p>one</p><p>two</p></article>"
+    assert texts('<article><svg class="i"/>' + two) == ["one", "two"]
+    assert texts('<article><svg class="i"><path d="M0"/><text>no</text>' + two) == ["one", "two"]
+    assert texts("<article><svg><path/>" + two + "<p>three</p><svg><text>no</text></svg>") == ["one", "two", "three"]
+    for tag in ("select", "object", "noscript", "template"):
+        assert texts(f"<article><div>a <{tag}><option>no<p>no</p><div>no</div></div>" + two) == ["a", "one", "two"]
+        assert texts(f"<article><{tag}/>" + two) == ["one", "two"]
+        assert texts(f"<article><{tag}><p>no<li>no</{tag}>" + two) == ["one", "two"]
+    assert texts("<p>a<svg><svg/><foreignObject><div>no</div></foreignObject><text>no</text></svg>b</p>") == ["a b"]
+    assert texts("<p>a<object>no<object>no</object>no</object>b</p>") == ["a b"]
+    for tag in ("script", "style", "title", "textarea", "iframe"):
+        assert texts(f"<p>a</p><{tag}>no<p>no</p>") == ["a"]
+    assert texts("<p>a</p><!-- no <p>no</p>") == ["a"]
+
+
 def test_viterbi_finds_the_best_labels(chain):
     blocks = extraction.labelled_pages(3, seed=5)[0][0][:9]
     score = chain.scores(blocks)
