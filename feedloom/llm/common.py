@@ -57,6 +57,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = "_feedloom_row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """A work table of the rows with a number each in ROW, which tells rows of one id apart; written, so that it stays."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import FLUSH_BYTES, NO_ID, PRIME, Packer, arrow, buckets_of, by_bucket, chunks, doc_id, gathered, keyed, mapped, mix, rows_out, spread, \
+from feedloom.llm.common import FLUSH_BYTES, NO_ID, PRIME, ROW, Packer, arrow, buckets_of, by_bucket, chunks, doc_id, gathered, keyed, mapped, mix, numbered, rows_out, spread, \
     travels, window_hashes, words_of, written
 from feedloom.llm.components import components, star_forest
 
@@ -459,10 +459,8 @@ def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 # ---------------------------------------------------------------- operator
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every row."""
-    rows = keyed(docs, id_col, text_col)
-    members = written(class_table(rows, words), "shingle-classes")
+def rooted(rows: DataFrame, members: DataFrame, threshold: float, words: int) -> DataFrame:
+    """`members`, a table of classes of `rows`, with root, the same for all classes of a component."""
     first = members.where("n > 0").groupBy("cls", "n", "half").agg(F.min(F.struct("doc", "crc")).alias("first"))
     open_ = (first.join(shared_counts(rows, words), "cls", "left")
              .where(F.coalesce("shared", F.lit(0)) >= F.col("half") - (1 - threshold) * F.col("n") - 1e-6))
@@ -476,7 +474,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
     torn = written(placed.join(split, "component", "left_semi").select(F.col("id").alias("cls"), "part", F.col("component").alias("bundle")), "shingle-torn")
     rest = written(cross_links(sets, torn, threshold), "shingle-rest")
     whole = components(links.union(rest))
-    joined = members.join(whole.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
+    return members.join(whole.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every row."""
+    rows = keyed(docs, id_col, text_col)
+    joined = rooted(rows, written(class_table(rows, words), "shingle-classes"), threshold, words)
     low = joined.where("n > 0").groupBy("root").agg(F.min("doc").alias("low"))
     low_id = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc"))
     return (joined.join(low, "root", "left").select(doc_id(), F.col("n").alias("n_shingles"), F.when(low_id != NO_ID, low_id).alias("component_id")))
+
+
+def first_of_each(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, in its own columns: the one with the smallest id (null last), of several the one with the smallest crc32 of its text.
+
+    Of the rows without a shingle, one of each id and text is kept.
+    """
+    given = numbered(docs, "shingle-rows")
+    rows = keyed(given, ROW, text_col)
+    members = written(class_table(rows, words), "shingle-classes")
+    ids = given.select(F.col(ROW).alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"))
+    own = rooted(rows, members, threshold, words).join(ids, "doc").withColumn("_empty", F.when(F.col("n") == 0, F.struct("_id", "crc")))
+    kept = own.groupBy("root", "_empty").agg(F.min(F.struct("_id", "crc", "doc")).alias("_first")).select(F.col("_first.doc").alias(ROW))
+    return given.join(kept, ROW, "left_semi").select(*docs.columns)

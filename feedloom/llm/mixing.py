@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import WORDS, written
+from feedloom.llm.common import ROW, WORDS, numbered, written
 
 SLICES = 4096
 
@@ -58,12 +58,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, passes
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, passes: int = 2,
         id_col: str = "doc_id", source_col: str = "source", size: F.Column | None = None, seed: str = "mix",
-        slices: int = SLICES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (size times copies)."""
+        slices: int = SLICES, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (size times copies), and row_col if given.
+
+    A document's ticket is a hash of its id, or of all its columns if it has none.
+    """
     size = F.regexp_count(F.col("text"), F.lit(WORDS)) if size is None else size
-    ticket = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    row = [] if row_col is None else [row_col]
+    content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in row]))
+    name = F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("string")).otherwise(F.concat_ws(":", F.lit("null"), content))
+    ticket = F.md5(F.concat_ws(":", F.lit(seed), name).cast("binary"))
     sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                                F.coalesce(size, F.lit(0)).cast("long").alias("size"), ticket.alias("ticket")), "mix-sizes")
+                                F.coalesce(size, F.lit(0)).cast("long").alias("size"), ticket.alias("ticket"), *row), "mix-sizes")
     aims = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, passes), "mix-targets")
     rows = sized.join(aims.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     part = F.floor(F.conv(F.substring("ticket", 1, 8), 16, 10).cast("long") * slices / F.lit(1 << 32))
@@ -94,15 +100,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
             limit = F.struct(*[F.lit(last[k]).cast(t).alias(k) for k, t in zip(order, ("double", "int", "int", "string", "long", "long"), strict=True)])
             return ((F.col("size") > 0) & (own < limit)).cast("int")
         copies = sum((served(t) for t in range(1, passes)), served(0))
-    return queue.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return queue.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *row)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, in their own columns.
-
-    Rows that share an id are taken as often as the least of them.
-    """
-    chosen = mix(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0").select(F.col("doc_id").alias("_id"), "_copies")
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """The documents themselves, each as often as the mix takes it, in their own columns; rows that share an id are taken each by itself."""
+    rows = numbered(docs, "mix-rows")
+    chosen = mix(rows, row_col=ROW, **options).where("copies > 0").select(ROW, F.col("copies").alias("_copies"))
     turns = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_turn")
-    return joined.select(*docs.columns, turns).select(*docs.columns)
+    return rows.join(chosen, ROW).select(*docs.columns, turns).select(*docs.columns)

@@ -154,6 +154,30 @@ def test_mix_of_nothing_and_of_repeats(spark):
     assert rows.columns == frame(spark, []).columns and rows.count() == 15
 
 
+def test_mixed_rows_of_one_id_or_none_are_taken_by_themselves(spark):
+    """Rows without an id are mixed like others, as the budget of 1.5 passes shows, and spread over the queue."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"word {k}", None, "ab"[k % 2]) for k in range(300)]
+    got = mixing.mixed_rows(frame(spark, rows)).collect()
+    assert 895 <= sum(len(words(r["text"])) for r in got) <= 900
+    assert {tuple(r)[:4] for r in got} <= set(rows)
+    mixed = mixing.mix(frame(spark, rows)).collect()
+    assert sum(r["taken"] for r in mixed) == sum(len(words(r["text"])) for r in got)
+    none = [r["copies"] for r in mixed if r["doc_id"] is None]
+    assert len(none) == 100 and len(set(none)) > 1 and 120 <= sum(none) <= 180
+
+
+def test_one_row_is_kept_of_each_group(spark):
+    r = random.Random(9)
+    a, b, c, d = (prose(r, 40) for _ in range(4))
+    rows = [(1, a, "en", "x"), (1, a, "en", "x"), (None, a, "en", "y"), (None, b, "en", "x"), (None, b, "en", "x"), (None, c, "en", "x"), (3, d, "en", "x"), (1, d, "en", "y"),
+            (1, c + " end", "fr", "z"), (None, None, None, None), (None, "", "en", "x"), (5, "", None, None)]
+    got = sorted(repr((r["doc_id"], r["text"])) for r in jaccard.first_of_each(frame(spark, rows)).collect())
+    empty = [repr(x) for x in ((None, None), (None, ""), (5, ""))]
+    assert [x for x in got if x not in empty] == sorted(map(repr, [(1, a), (None, b), (1, d), (1, c + " end")]))
+    assert empty[2] in got and sum(x in got for x in empty[:2]) == 1
+    assert jaccard.first_of_each(frame(spark, [])).count() == 0
+
+
 def test_mix_has_no_python_and_no_nested_loop(spark, corpus):
     plan = mixing.mix(frame(spark, corpus))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|NestedLoop|Cartesian", plan)
