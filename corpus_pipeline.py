@@ -14,14 +14,11 @@ from feedloom.llm import decontamination, jaccard, langid, mixing, tokenfile
 from feedloom.llm.common import table, written
 from feedloom.llm.queries import tokenizer
 
-#: No language: no text, no letter, or no language ahead of chance (of four languages).
-LEAST_SCORE = 0.25
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language, as learnt from the labels of those that aren't held out."""
     model = langid.train(docs.where(~langid.held_out()))
-    known = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    known = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
     return known.select(*docs.columns)
 
 

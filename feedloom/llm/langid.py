@@ -13,6 +13,12 @@ the first `landmarks` are landmarks; it collects their bits, 8 kB a row, so its
 bounded by the number of languages. Rows with a null language, or kept out by `learn`,
 are never learnt from. Texts that are null or have no letter are `und` with score 0, and
 so is everything if there is nothing to learn from. Repeated rows get equal results.
+
+`predict` also rejects, as `und`, texts of which too few distinct n-grams are known, that
+is, stand in two rows or more of the sample of their language. The bound comes from the
+sample, each row held against the others: MARGIN times a low quantile of the known share
+of the rows that are classified right. Neither depends on the number of languages or on
+the length of a text. `identify` names the nearest language of every text.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ BITS = 16
 PIECE = 1 << 20      # characters handled at a time; pieces of a long text overlap by two
 BATCH = 32
 UNKNOWN = "und"
+QUANTILE, MARGIN = 0.01, 0.85      # of the known shares of the sample's rows
 
 
 def _letters() -> np.ndarray:
@@ -60,6 +67,8 @@ class Model:
 
     languages: list[str]
     weights: np.ndarray
+    known: np.ndarray | None = None      # bits by languages, 1 for those known
+    least: float = 0.0                   # the least known share
 
     def scores(self, bits: np.ndarray) -> np.ndarray:
         return bits @ self.weights / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
@@ -89,6 +98,19 @@ def fit(bits: np.ndarray, languages: list[str], landmark: np.ndarray, ridge: flo
     return Model(names, np.concatenate([bits[landmark, b].astype(np.float32).T @ folded for b in blocks]))
 
 
+def bound(model: Model, bits: np.ndarray, languages: list[str]) -> None:
+    """Sets the known bits of each language and the least known share."""
+    label = np.array([model.languages.index(x) for x in languages])
+    count = np.stack([bits[label == k].sum(0, dtype=np.int32) for k in range(len(model.languages))], axis=1)
+    model.known = (count >= 2).astype(np.float32)
+    shares = []
+    for row, k in zip(bits, label.tolist(), strict=True):
+        if int(model.scores(row[None].astype(np.float32)).argmax()) == k:
+            own = np.flatnonzero(row)
+            shares.append(float((count[own, k] >= 3).mean()))      # two rows besides itself
+    model.least = MARGIN * float(np.quantile(shares, QUANTILE)) if shares else 0.0
+
+
 def train(labelled: DataFrame, per_language: int = 120, landmarks: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on a bounded sample of rows with a language; None if there are none."""
     order = Window.partitionBy("lang").orderBy("ticket", "id")
@@ -114,11 +136,17 @@ def train(labelled: DataFrame, per_language: int = 120, landmarks: int = 40, id_
     if not sample:
         return None
     bits = np.unpackbits(np.frombuffer(b"".join([r[3] for r in sample]), np.uint8).reshape(len(sample), -1), axis=1)
-    return fit(bits, [r[0] for r in sample], np.array([r[1] <= landmarks for r in sample]) if any(r[1] <= landmarks for r in sample) else np.ones(len(sample), bool))
+    languages = [r[0] for r in sample]
+    model = fit(bits, languages, np.array([r[1] <= landmarks for r in sample]) if any(r[1] <= landmarks for r in sample) else np.ones(len(sample), bool))
+    bound(model, bits, languages)
+    return model
+
 
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", sharpness: float = 3.0, keep: list[str] | None = None,
+            reject: bool = True) -> DataFrame:
+    """All columns (or those of `keep`), and lang_pred and score (0 to 1) of every whole text; of one in no known language `und` and 0, if `reject`."""
+    rejects = reject and model is not None and model.known is not None
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", sharpness: float = 3.0, keep: list[str] | None = None) -> DataFrame:
-    """All columns (or those of `keep`), and lang_pred and score (0 to 1) of every whole text."""
     def task(batches):
         import pyarrow as pa
 
@@ -132,6 +160,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", sharpn
                 raw = model.scores(block[:len(part)]).astype(np.float64) * sharpness
                 raw = np.exp(raw - raw.max(1, keepdims=True))
                 share = raw / raw.sum(1, keepdims=True)
+                if rejects:
+                    seen = block[:len(part)] @ model.known / np.maximum(block[:len(part)].sum(1, keepdims=True), 1)
+                    known = [k and bool(seen[i, best] >= model.least) for i, (k, best) in enumerate(zip(known, share.argmax(1).tolist(), strict=True))]
                 for i, best in enumerate(share.argmax(1).tolist()):
                     if known[i]:
                         lang[at + i], score[at + i] = model.languages[best], float(share[i, best])
@@ -154,4 +185,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learnt from rows that aren't held out, predicted for all."""
     model = train(docs.where(~held_out(id_col)), id_col=id_col, **options)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col("text"))
-    return predict(rows, model, keep=["doc_id", "held_out"])
+    return predict(rows, model, keep=["doc_id", "held_out"], reject=False)

@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -102,3 +103,24 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, sf_dir):
         out = stage(spark, none, sf_dir)
         assert out.count() == 0
         assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+
+
+@pytest.mark.parametrize("languages", [2, 4, 6])
+def test_language_stage_rejects_unlearned_languages(spark, languages):
+    """Texts in a language that was never learnt and gibberish go, short clean ones stay, however many languages there are."""
+    r = random.Random(7)
+
+    def tongue(sounds):
+        syllables = [a + b for a in sounds for b in "aeiou"]
+        return ["".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(120)]
+
+    tongues = [tongue(x) for x in ("bdg", "ptk", "mnl", "szv", "fhj", "wrq")[:languages]]
+    other = tongue(["th", "sh", "cr", "x"])
+    rows = [(1000 * k + n, " ".join(r.choice(t) for _ in range(r.choice([4, 30, 200]))), f"l{k}") for k, t in enumerate(tongues) for n in range(80)]
+    rows += [(10_000 + k, " ".join(r.choice(t) for _ in range(3)), None) for k, t in enumerate(tongues)]
+    foreign = [(20_000 + n, " ".join(r.choice(other) for _ in range(r.choice([6, 30, 200]))), None) for n in range(30)]
+    foreign += [(30_000 + n, "".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)), None) for n in range(10)]
+    docs = spark.createDataFrame([(*x, "s", 0) for x in rows + foreign], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert not kept & {x[0] for x in foreign}
+    assert len(kept) >= 0.99 * len(rows) and {x[0] for x in rows if 10_000 <= x[0]} <= kept
