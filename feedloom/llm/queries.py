@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontamination, extraction, jaccard, langid, mixing, substrings, suffixes, tokencount, tokenfile, vectors
+from feedloom.llm import decontamination, extraction, jaccard, langid, mixing, phrases, substrings, suffixes, tokencount, tokenfile, vectors
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,33 @@ def op3(spark, sf_dir):
 @query("op4_html_extraction")
 def op4(spark, sf_dir):
     return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+PHRASE_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+worded as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, m as n, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+  from worded, (values (1), (2), (3)) t(m) where len(w) >= m),
+counted as materialized (select lang, n, phrase, count(*) as f, lang || chr(10) || phrase as key from grams group by lang, n, phrase),
+totals as (select lang, sum(f)::bigint as n from counted where n = 1 group by 1),
+frequent as materialized (select *, string_split(phrase, ' ') as w from counted where f >= 10),
+parted as (select *, unnest(range(1, n)) as k from frequent where n >= 2),
+cuts as (
+  select c.lang, c.phrase, c.n as len, c.f as a, k, l.f as l, r.f as r, ((1000000::hugeint * c.f * c.f) // (l.f::hugeint * r.f))::bigint as score
+  from parted c join frequent l on l.key = c.lang || chr(10) || array_to_string(c.w[1:k], ' ')
+  join frequent r on r.key = c.lang || chr(10) || array_to_string(c.w[k + 1:], ' ')),
+weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_phrases as (
+  select lang, array_to_string(w[s:s + 1], ' ') as phrase, max(f) as longer from (select *, unnest([1, 2]) as s from frequent where n = 3) group by 1, 2),
+kept as (select w.* from weakest w left join inner_phrases i on w.lang = i.lang and w.phrase = i.phrase where i.longer is null or 100 * i.longer < 50 * w.a)
+select k.lang, row_number() over (partition by k.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, t.n, score
+from kept k join totals t on t.lang = k.lang qualify rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", PHRASE_SQL)
+def op13(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
