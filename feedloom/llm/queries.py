@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontamination, extraction, jaccard, langid, mixing, phrases, substrings, suffixes, tokencount, tokenfile, vectors
+from feedloom.llm import decontamination, extraction, jaccard, langid, mixing, phrases, substrings, suffixes, tokencount, tokenfile, vectors, warc, whitening
 from feedloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,24 @@ from kept k join totals t on t.lang = k.lang qualify rank <= 2000
 @query("op13_phrase_collocations", PHRASE_SQL)
 def op13(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+# five hexadecimal digits are four of base 32
+ARCHIVE_SQL = """
+with sized as (select page_id, coalesce(html, '') as payload from pages),
+keyed as (select page_id, octet_length(encode(payload))::bigint as payload_bytes, sha1(payload) as hex, min(page_id) over (partition by payload) as first_page from sized),
+digits as (select *, list_transform(range(0, 8), lambda g: ('0x' || hex[5 * g + 1:5 * g + 5])::bigint) as v from keyed)
+select page_id, payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> s) & 31) + 1]), '')), '') as payload_digest,
+       case when page_id = first_page then 'response' else 'revisit' end as record_type, case when page_id <> first_page then first_page end as refers_to
+from digits
+"""
+
+
+@query("op11_warc_bundles", ARCHIVE_SQL)
+def op11(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
