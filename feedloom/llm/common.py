@@ -57,6 +57,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_alone(df: DataFrame, name: str) -> DataFrame:
+    """`written`, whose shuffle files Spark deletes as soon as the table stands; for large shuffles that nothing else reads."""
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 ROW = "_feedloom_row"
 
 

@@ -8,7 +8,7 @@ group as (fingerprint, count, place of one occurrence); phrases of other words u
 fingerprint go by themselves. The empty phrase, which stands before every word, carries the
 language's number of words. A reduce task adds the counts of a fingerprint. Only places of
 fingerprints with `least` occurrences or more return to the texts, where the phrase is read;
-counts are then added by the phrase itself. So a fingerprint only spares phrases that can't
+counts are then added by the phrase itself, packed by its hash. So a fingerprint only spares phrases that can't
 be frequent: two phrases of one fingerprint are told apart whatever its width.
 
 Per language (`und` for null), each frequent phrase of two words or more is scored by its weakest cut in two,
@@ -28,10 +28,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import BASE, PRIME, arrow, buckets_of, gathered, mapped, mix, powers, rows_out, travels, written
+from feedloom.llm.common import BASE, PRIME, arrow, buckets_of, gathered, mapped, mix, powers, rows_out, spread, travels, written, written_alone
 
 travels(__name__)
 
@@ -39,7 +40,9 @@ CHUNK = 8 << 20         # bytes of text whose phrases are grouped together
 SEGMENT = 4 << 20       # longer texts are cut
 PIECE = 1 << 20         # bytes of the text that have a power each
 FINGERPRINT_BITS = 48
-STRINGS = 16 << 20      # bytes of phrases a task counts before it sends them
+FINER = 4               # buckets per shuffle partition; a task holds one bucket at a time
+WAITING = 8 << 20       # bytes of places a task holds before it sends them
+STRINGS = 32 << 20      # bytes of phrases a task counts before it sends them
 NO_LANGUAGE = "und"
 PIECE_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 WORD_END = re.compile(rb"[ \t]")
@@ -107,21 +110,24 @@ class Words:
         inside = np.zeros(len(data) + 1, bool)
         inside[1:] = kind == 0
         edges = np.flatnonzero(inside[1:] != inside[:-1])
+        edges = edges.astype(np.int32 if len(data) < 1 << 31 else np.int64)      # places are kept narrow: tasks hold many
+        narrow = edges.dtype
         self.start, end = edges[0::2], edges[1::2]
         self.segment_start = np.cumsum([0] + [len(x) + 1 for x in held])
-        self.segment = np.searchsorted(self.segment_start, self.start, "right") - 1
-        self.offset = self.start - self.segment_start[self.segment]
-        self.owned = self.offset < np.array(own, np.int64)[self.segment] if len(held) else self.start == -1
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.start)
+        self.segment = (np.searchsorted(self.segment_start, self.start, "right") - 1).astype(narrow)
+        self.offset = (self.start - self.segment_start[self.segment]).astype(narrow)
+        self.owned = self.offset < np.array(own, np.int64)[self.segment]
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.start).astype(narrow)
         keep = inside[1:]
         keep[end] = True
         self.text = data[keep]                              # every word with one space after it
-        self.low = np.r_[0, np.cumsum(end - self.start + 1)]
+        self.low = np.zeros(len(end) + 1, narrow)
+        np.cumsum(end - self.start + 1, out=self.low[1:])
         self.text[self.low[1:] - 1] = 32
 
     def ids(self) -> np.ndarray:
         """Numbers that are equal where the words are."""
-        words = pa.BinaryArray.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(self.low.astype(np.int32)), pa.py_buffer(self.text)])
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(self.low.astype(np.int32, copy=False)), pa.py_buffer(self.text)])
         return np.asarray(words.dictionary_encode().indices)
 
     def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +201,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_co
 
     The empty phrase (n = 0) has the language's number of words.
     """
-    buckets = buckets_of(docs.sparkSession)
+    buckets = FINER * buckets_of(docs.sparkSession)
     rows = written(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
                                F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
                    .select(F.monotonically_increasing_id().alias("row"), "lang", "text"), "phrase-texts")
@@ -207,18 +213,18 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_co
             if not len(words.start):
                 continue
             names = sorted(set(lang))
-            number = np.array([names.index(x) for x in lang])[words.segment]
-            mark = np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "little") for x in names], np.uint64)[number]
+            number = np.array([names.index(x) for x in lang], np.int32)[words.segment]
+            marks = np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "little") for x in names], np.uint64)
             ids, (first, last, back) = words.ids(), words.prefixes()
             blobs: dict[int, list[bytes]] = {}
             head = row_runs(row, place)
             for n in range(longest + 1):
-                at = np.arange(len(words.start) - max(n - 1, 0))
+                at = np.arange(len(words.start) - max(n - 1, 0), dtype=np.int32)
                 at = at[words.owned[at] & (words.piece[at] == words.piece[at + max(n - 1, 0)])]
                 if not len(at):
                     continue
                 value = (last[at + n - 1] - first[at]) * back[at] if n else np.zeros(len(at), np.uint64)
-                fingerprint = mix(value + mark[at] + np.uint64(n * int(PRIME) % (1 << 64))) >> np.uint64(64 - bits)
+                fingerprint = mix(value + marks[number[at]] + np.uint64(n * int(PRIME) % (1 << 64))) >> np.uint64(64 - bits)
                 fingerprint, at, count = grouped(fingerprint, at, n, ids, number)
                 cuts = np.r_[np.searchsorted(fingerprint, np.array([(k << bits) // buckets for k in range(buckets)], np.uint64)), len(at)]
                 for k in range(buckets):
@@ -283,34 +289,45 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_co
                     if len(row):
                         waiting.append((row, offset, np.full(len(row), n), count))
                         size += 32 * len(row)
-                if size > 32 << 20:
+                if size > WAITING:
                     yield from flush()
         if waiting:
             yield from flush()
 
-    places = mapped(gathered(mapped(rows, send, "bucket int, blob binary")), frequent, "bucket int, blob binary")
+    places = written_alone(mapped(gathered(mapped(rows, send, "bucket int, blob binary")), frequent, "bucket int, blob binary"), "phrase-places")
     both = places.select("bucket", F.lit(-1).cast("long").alias("row"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), "blob").unionByName(
         rows.select(F.pmod("row", F.lit(buckets)).cast("int").alias("bucket"), "row", "lang", "text", F.lit(None).cast("binary").alias("blob")))
     both = both.repartition("bucket").sortWithinPartitions("bucket", "row")
-    named = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+    named = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def read(batches):
         counted: list[pa.Table] = []
         for wanted, texts in with_places(batches):
             for row, place, own, lang, held in chunks(texts, longest):
-                found = phrases_at(wanted, row, place, own, lang, held)
-                if found.num_rows:
-                    counted.append(found)
+                counted.append(phrases_at(wanted, row, place, own, lang, held))
                 if sum(x.nbytes for x in counted) > STRINGS:
                     counted = [summed(counted)]
                     if counted[0].nbytes > STRINGS // 2:
-                        yield from counted.pop().to_batches()
+                        yield by_hash(counted.pop())
         if counted:
-            yield from summed(counted).to_batches()
+            yield by_hash(summed(counted))
 
     def summed(tables: list[pa.Table]) -> pa.Table:
-        x = pa.concat_tables(tables).group_by(["lang", "n", "phrase"]).aggregate([("f", "sum")])
-        return pa.table([x.column("lang"), x.column("n"), x.column("phrase"), x.column("f_sum")], schema=named)
+        x = pa.concat_tables(tables).group_by(["bucket", "lang", "n", "phrase"]).aggregate([("f", "sum")])
+        return pa.table([*(x.column(c) for c in named.names[:-1]), x.column("f_sum")], schema=named)
+
+    def by_hash(counted: pa.Table) -> pa.RecordBatch:
+        """Counted phrases as one row per bucket."""
+        whole = counted.sort_by("bucket").combine_chunks()
+        bucket = np.asarray(whole.column("bucket"))
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True][:len(bucket) + 1])
+        blobs = [whole.slice(a, b - a).to_batches()[0].serialize().to_pybytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        return rows_out(schema, [bucket[cuts[:-1]], blobs])
+
+    def total(batches):
+        for blobs in bucket_blobs(batches):
+            whole = summed([pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(x), named)]) for x in blobs])
+            yield from whole.filter(pc.greater_equal(whole.column("f"), least)).drop_columns(["bucket"]).to_batches()
 
     def phrases_at(wanted: np.ndarray, row: list, place: list, own: list, lang: list, held: list[bytes]) -> pa.Table:
         """The phrases that stand at the wanted (row, offset, n, count) of these segments."""
@@ -332,10 +349,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_co
         ends = np.cumsum(length)
         letters = words.text[np.repeat(low - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
         phrase = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(letters))
-        return summed([pa.table([pa.array(lang, pa.string()).take(pa.array(segment)), pa.array(mine[2], pa.int32()), phrase, pa.array(mine[3], pa.int64())], schema=named)])
+        first, last, back = words.prefixes()
+        value = np.where(mine[2] > 0, (last[np.minimum(at + mine[2] - 1, len(last) - 1)] - first[at]) * back[at], np.uint64(0)) + mine[2].astype(np.uint64) * PRIME
+        bucket = pa.array(spread(mix(value), buckets))
+        return summed([pa.table([bucket, pa.array(lang, pa.string()).take(pa.array(segment)), pa.array(mine[2], pa.int32()), phrase, pa.array(mine[3], pa.int64())], schema=named)])
 
-    found = mapped(both, read, "lang string, n int, phrase string, f long")
-    return found.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return mapped(gathered(mapped(both, read, "bucket int, blob binary")), total, "lang string, n int, phrase string, f long")
 
 
 def bucket_blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -379,7 +398,7 @@ def scored(phrases: DataFrame, share: int = 50) -> DataFrame:
 
     A phrase of which some longer frequent phrase holds `share` percent of the occurrences, or more, is left out.
     """
-    known = written(phrases, "phrase-counts")
+    known = written_alone(phrases, "phrase-counts")
     long = known.where("n >= 2").withColumn("words", F.split("phrase", " "))
     cuts = long.select("lang", "phrase", F.col("f").alias("a"), "words", "n", F.explode(F.expr("sequence(1, n - 1)")).alias("k")).select(
         "lang", "phrase", "a", "k", F.expr("array_join(slice(words, 1, k), ' ')").alias("left"), F.expr("array_join(slice(words, k + 1, n - k), ' ')").alias("right"))
