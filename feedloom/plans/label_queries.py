@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from feedloom.operators import classifiers, labels, sampling
 from feedloom.plans import fixtures as fx
-from feedloom.plans import inputs
+from feedloom.plans import inputs, newton_sql
 from feedloom.plans.inputs import rounded
 from feedloom.plans.reference_sql import dec, digest, ratio, relation, sql_list, uniform
 from feedloom.plans.registry import register
@@ -278,6 +279,8 @@ select topic, threshold, {dec("f1", 6)} as f1 from (select *, row_number() over
 
 # ---------------------------------------------------------------- classifiers
 
+_LABELS = [f"topic_{i}" for i in range(10)]
+
 
 def _vectors(s, d):
     vectors = fx.table(s, d, "embeddings").select(
@@ -288,49 +291,109 @@ def _vectors(s, d):
     return featured, classifiers.bounded(featured.filter(~F.col("is_test")), "review_id"), featured.filter("is_test")
 
 
-_LABELS = [f"topic_{i}" for i in range(10)]
+relation("vector_rows", "select cast(vec_id as varchar) as id, cast(embedding as double[]) as x, label, vec_id % 4 <> 0 and "
+         + newton_sql.kept("(select 1 from embeddings where vec_id % 4 <> 0)", "vec_id") + " as train from embeddings", True)
+relation("topics_rows", "select id, x, train from vector_rows")
+relation("topics_marks", f"select id, topic, cast(coalesce('topic_' || label = topic, false) as integer) as y from vector_rows cross join (select unnest([{sql_list(_LABELS)}]) as topic) where train")
+newton_sql.newton("topics", 64)
+relation("churn_rows", "select id, x, train from vector_rows")
+relation("churn_marks", "select id, 'positive' as topic, cast(coalesce(label in (0, 1), false) as integer) as y from vector_rows where train")
+newton_sql.newton("churn", 64)
+_TOPIC_SQL = f"select id as review_id, topic, {dec('p', 6)} as probability from topics_chance where p >= 0.5"
 
 
 def _topic_scores(s, d):
     everything, train, _ = _vectors(s, d)
-    models = classifiers.fit_topics(train, _LABELS)
-    return classifiers.positive_topics(classifiers.topic_probabilities(models, everything))
+    model = classifiers.fit_topics(train, _LABELS)
+    return rounded(classifiers.positive_topics(classifiers.topic_probabilities(model, everything)), "probability")
 
 
-register("topic_scores", _topic_scores)
+register("topic_scores", _topic_scores, _TOPIC_SQL)
+
+
+def _saved_topic_scores(s, d):
+    """The same scores from a model that was saved, listed and loaded: a job that fits nothing."""
+    everything, train, _ = _vectors(s, d)
+    folder = scratch_path(s, "models")
+    for rows in (train.filter("topics[0] <> 'topic_9'"), train):       # the later version counts
+        classifiers.save_version(s, Pipeline(stages=[classifiers.TopicClassifier(topics=_LABELS)]).fit(rows), folder, rows.count())
+    model = classifiers.load_version(s, folder)
+    return rounded(classifiers.positive_topics(classifiers.topic_probabilities(model.stages[-1], everything)), "probability")
+
+
+register("saved_topic_scores", _saved_topic_scores, _TOPIC_SQL)
 
 
 def _churn_scores(s, d):
     everything, train, _ = _vectors(s, d)
-    return classifiers.churn_flags(classifiers.fit_binary(train, F.col("churn_intent")), everything)
+    return rounded(classifiers.churn_flags(classifiers.fit_binary(train, F.col("churn_intent")), everything), "churn_probability")
 
 
-register("churn_scores", _churn_scores)
+register("churn_scores", _churn_scores, f"select id as review_id, p >= 0.5 as churn_intent, {dec('p', 6)} as churn_probability from churn_chance")
 
 
 def _held_out(s, d):
     _, train, test = _vectors(s, d)
-    models = classifiers.fit_topics(train, _LABELS)
-    scored = classifiers.topic_probabilities(models, test, ("review_id", "topics"))
-    grid = scored.select("topic", F.array_contains("topics", F.col("topic")).cast("int").alias("truth"),
+    model = classifiers.fit_topics(train, _LABELS)
+    scored = classifiers.topic_probabilities(model, test, ("review_id", "topics"))
+    grid = scored.select("topic", F.coalesce(F.array_contains("topics", F.col("topic")), F.lit(False)).cast("int").alias("truth"),
                          (F.col("probability") >= 0.5).cast("int").alias("predicted"))
     return labels.evaluation(labels.confusion(grid))
 
 
-register("held_out_scores", _held_out)
+register("held_out_scores", _held_out, f"""
+select topic, support_test, {dec("coalesce(tp / cast(nullif(tp + fp, 0) as double), 0)", 3)} as "precision", {dec("coalesce(tp / cast(nullif(support_test, 0) as double), 0)", 3)} as recall,
+       {dec("coalesce(2.0 * tp / nullif(tp + fp + support_test, 0), 0)", 3)} as f1, case when support_test >= 5 then '' else '{labels.LOW_SUPPORT}' end as note
+from (select topic, count(*) filter (where t) as support_test, count(*) filter (where t and p >= 0.5) as tp, count(*) filter (where not t and p >= 0.5) as fp
+      from (select c.topic, c.p, coalesce('topic_' || v.label = c.topic, false) as t from topics_chance c join vector_rows v using (id) where cast(id as bigint) % 4 = 0) group by 1)""")
+
+_BUCKETS = 64
+
+
+def _texts(s, d):
+    return fx.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_text"), F.array("lang").alias("topics"))
+
+
+relation("spaced_texts", r"""
+select cast(doc_id as varchar) as id, lang, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[\x20\x09-\x0D]+', ' ', 'g')) || ' ' as t from documents""", True)
+relation("text_letters", """
+select id, c, lead(c, 1) over (partition by id order by place) as c2, lead(c, 2) over (partition by id order by place) as c3
+from (select id, unnest(string_split(t, '')) as c, generate_subscripts(string_split(t, ''), 1) as place from spaced_texts)""")
+relation("text_grams", """
+select id, kind, gram, count(*) as n from (
+  select id, 'c' as kind, c || c2 as gram from text_letters union all select id, 'c', c || c2 || c3 from text_letters
+  union all select id, 'w', unnest(string_split(trim(t, ' '), ' ')) from spaced_texts) where gram <> '' group by 1, 2, 3""", True)
+relation("text_buckets", f"""
+select id, ('0x' || h[1:8])::bigint % {_BUCKETS} as bucket, sum(case when h[9] < '8' then n else -n end) as v
+from (select id, n, md5(kind || ':' || gram) as h from text_grams) group by 1, 2""", True)
+relation("text_features", "select id, bucket, v / sqrt(sum(v * v) over (partition by id)) as v from text_buckets where v <> 0", True)
+relation("languages_rows", f"""
+select s.id, list(coalesce(f.v, 0) order by b) as x, bool_and(cast(s.id as bigint) % 4 <> 0 and {newton_sql.kept("(select 1 from documents where doc_id % 4 <> 0)", "s.id")}) as train
+from spaced_texts s cross join (select unnest(range(0, {_BUCKETS})) as b) left join text_features f on f.id = s.id and f.bucket = b group by 1""", True)
+relation("languages_marks", "select r.id, topic, cast(coalesce(lang = topic, false) as integer) as y from languages_rows r join spaced_texts using (id) cross join (select unnest(['de', 'en', 'es', 'fr']) as topic) where train")
+newton_sql.newton("languages", _BUCKETS)
+
+
+def _text_features(s, d):
+    """Hashed words and character n-grams of every text, by a saved and loaded encoder."""
+    path = scratch_path(s, "encoder")
+    classifiers.text_encoder(n_features=_BUCKETS).fit(_texts(s, d)).write().save(path)
+    encoded = classifiers.encode_text(PipelineModel.load(path), _texts(s, d))
+    return rounded(encoded.select("review_id", F.posexplode("features").alias("bucket", "value")).filter("value <> 0"), "value")
+
+
+register("text_features", _text_features, f"select id as review_id, cast(bucket as integer) as bucket, {dec('v', 6)} as value from text_features")
 
 
 def _text_topics(s, d):
-    """Language of each document from hashed words, trained on three quarters."""
-    documents = fx.table(s, d, "documents").select(
-        F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_text"), F.array("lang").alias("topics"))
-    train = classifiers.bounded(documents.filter(F.col("review_id").cast("bigint") % 4 != 0), "review_id")
-    encoder = classifiers.text_encoder().fit(train)
-    models = classifiers.fit_topics(classifiers.encode_text(encoder, train), ["de", "en", "es", "fr"])
-    return classifiers.positive_topics(classifiers.topic_probabilities(models, classifiers.encode_text(encoder, documents)))
+    """Language of each document from hashed words and character n-grams, trained on three quarters."""
+    encoded = cut_lineage(classifiers.encode_text(classifiers.text_encoder(n_features=_BUCKETS).fit(_texts(s, d)), _texts(s, d)).drop("review_text"))
+    train = classifiers.bounded(encoded.filter(F.col("review_id").cast("bigint") % 4 != 0), "review_id")
+    model = classifiers.fit_topics(train, ["de", "en", "es", "fr"])
+    return rounded(classifiers.positive_topics(classifiers.topic_probabilities(model, encoded)), "probability")
 
 
-register("text_topic_scores", _text_topics)
+register("text_topic_scores", _text_topics, f"select id as review_id, topic, {dec('p', 6)} as probability from languages_chance where p >= 0.5")
 
 
 def _leakage(s, d):

@@ -42,10 +42,13 @@ def sql_list(items) -> str:
 
 
 RELATIONS: dict[str, str] = {}
+MATERIALIZED: set[str] = set()
 
 
-def relation(name: str, sql: str) -> None:
+def relation(name: str, sql: str, materialized: bool = False) -> None:
     RELATIONS[name] = sql.strip()
+    if materialized:
+        MATERIALIZED.add(name)
 
 
 def statement(body: str) -> str:
@@ -64,7 +67,7 @@ def statement(body: str) -> str:
     own = body.strip()
     own = ",\n" + own[5:] if own.startswith("with ") else "\n" + own
     recursive = "recursive " if any(n.endswith("recursive_steps") for n in order) else ""
-    return f"with {recursive}" + ",\n".join(f"{n} as (\n{RELATIONS[n]}\n)" for n in order) + own
+    return f"with {recursive}" + ",\n".join(f"{n} as {'materialized ' * (n in MATERIALIZED)}(\n{RELATIONS[n]}\n)" for n in order) + own
 
 
 relation("raw_reviews", """
