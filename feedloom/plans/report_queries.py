@@ -4,77 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.operators import alerts, backlog, marts, measures, quality, staging
+from feedloom.operators import alerts, backlog, marts, measures, staging
 from feedloom.plans import backlog_queries, causal_queries
 from feedloom.plans import fixtures as fx
 from feedloom.plans import inputs
 from feedloom.plans.inputs import rounded
-from feedloom.plans.reference_sql import dec, ratio, relation, sql_list, values
+from feedloom.plans.reference_sql import dec, ratio, values
 from feedloom.plans.registry import register
 from feedloom.session import cut_lineage, scratch_path
 from feedloom.sources import files
 from feedloom.sources import reviews as landing
 
-_ALL_TOPICS = fx.TYPE_TOPICS + fx.NOUN_TOPICS
-
-# ---------------------------------------------------------------- quality
-
-
-def _dq_report(s, d):
-    # The null test needs a marker, not the text.
-    marker = F.when(F.col("review_text").isNotNull(), F.lit("")).alias("review_text")
-    reviews = inputs.shared_reviews(s, d, "review_hour", "reviewed_at", "review_version", marker, "rating", "is_negative")
-    topics = staging.stage_topics(fx.raw_topics(s, d), reviews)
-    flags = staging.stage_flags(fx.raw_flags(s, d), reviews)
-    daily = cut_lineage(marts.daily_app_metrics(reviews))
-    dates = marts.dim_date(reviews)
-    apps = marts.dim_app(s, fx.DIM_APP_ROWS)
-    return quality.report(
-        quality.row_checks(reviews, "stg_reviews", ("review_id", "rating", "app_key", "review_text", "reviewed_at"),
-                           {"rating": [1, 2, 3, 4, 5], "app_key": fx.APPS}),
-        quality.unique_check(reviews, "stg_reviews", "review_id"),
-        quality.row_checks(topics, "stg_review_topics", ("review_id", "topic", "app_key"), {"topic": fx.ISSUE_TOPICS}),
-        quality.row_checks(flags, "stg_review_flags", ("review_id", "churn_intent", "app_key")),
-        quality.unique_check(flags, "stg_review_flags", "review_id"),
-        quality.row_checks(daily, "fct_daily_app_metrics",
-                           ("app_key", "review_date", "n_reviews", "negative_share", "avg_rating", "is_complete_day"),
-                           ranges={"avg_rating": (1, 5), "negative_share": (0, 1)}),
-        quality.row_checks(dates, "dim_date", ("date",)), quality.unique_check(dates, "dim_date", "date"),
-        quality.reference_check(daily, "fct_daily_app_metrics", "app_key", apps, "app_key"))
-
-
-def _checks(table: str, rel: str, checks: list[tuple[str, str, str]]) -> list[str]:
-    return [f"select '{table}' as table_name, '{n}' as check_name, '{c}' as column_name, cast(({e}) as bigint) as n_violations from {rel}"
-            for n, c, e in checks]
-
-
-def _nulls(*cols: str) -> list[tuple[str, str, str]]:
-    return [("not_null", c, f"count(*) filter (where {c} is null)") for c in cols]
-
-
-def _unique(table: str, rel: str, c: str) -> list[str]:
-    return _checks(table, f"(select {c} from {rel} where {c} is not null group by 1 having count(*) > 1)", [("unique", c, "count(*)")])
-
-
-relation("dates", "select cast(d as date) as date from generate_series((select min(review_date) from stg_reviews), (select max(review_date) from stg_reviews), interval 1 day) as t(d)")
-
-_DQ = (
-    _checks("stg_reviews", "stg_reviews", _nulls("review_id", "rating", "app_key", "review_text", "reviewed_at") + [
-        ("accepted_values", "rating", "count(*) filter (where rating not in (1, 2, 3, 4, 5))"),
-        ("accepted_values", "app_key", f"count(*) filter (where app_key not in ({sql_list(fx.APPS)}))")])
-    + _unique("stg_reviews", "stg_reviews", "review_id")
-    + _checks("stg_review_topics", "stg_topics", _nulls("review_id", "topic", "app_key") + [
-        ("accepted_values", "topic", f"count(*) filter (where topic not in ({sql_list(fx.ISSUE_TOPICS)}))")])
-    + _checks("stg_review_flags", "stg_flags", _nulls("review_id", "churn_intent", "app_key"))
-    + _unique("stg_review_flags", "stg_flags", "review_id")
-    + _checks("fct_daily_app_metrics", "daily", _nulls("app_key", "review_date", "n_reviews", "negative_share", "avg_rating", "is_complete_day") + [
-        ("in_range", "avg_rating", "count(*) filter (where avg_rating < 1 or avg_rating > 5)"),
-        ("in_range", "negative_share", "count(*) filter (where negative_share < 0 or negative_share > 1)")])
-    + _checks("dim_date", "dates", _nulls("date")) + _unique("dim_date", "dates", "date")
-    + _checks("fct_daily_app_metrics", "daily", [("relationships", "app_key", f"count(*) filter (where app_key not in ({sql_list(fx.APPS)}))")]))
-
-register("dq_report", _dq_report, "select *, n_violations = 0 as passed from (" + "\nunion all ".join(_DQ) + ")")
-
 # ---------------------------------------------------------------- measures
 
 _W = "sum({v} * n_reviews) / sum(n_reviews)"
