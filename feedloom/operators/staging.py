@@ -25,7 +25,13 @@ def latest_copy(rows: DataFrame, key: str = "review_id", recency: str = "scraped
 
 
 def stage_reviews(raw: DataFrame, tie_break: tuple[str, ...] = TIE_BREAK) -> DataFrame:
-    """One typed row per review with text; the latest scrape wins.
+    """One typed row per review with text; the latest scrape wins."""
+    # Tested after the deduplication: an empty latest copy hides older ones.
+    return latest_copy(typed_reviews(raw), tie_break=tie_break).filter(F.col("text_length") > 0)
+
+
+def typed_reviews(raw: DataFrame) -> DataFrame:
+    """Typed columns of every copy.
 
     Columns are derived before the deduplication, so a query that needs only
     the length of a text or whether there is one never shuffles the text.
@@ -33,7 +39,7 @@ def stage_reviews(raw: DataFrame, tie_break: tuple[str, ...] = TIE_BREAK) -> Dat
     text = F.trim("content")
     rating = F.col("score").cast("int")
     at = F.col("at").cast("timestamp_ntz")
-    typed = raw.select(
+    return raw.select(
         F.col("reviewId").alias("review_id"),
         "app_key",
         "user_hash",
@@ -48,8 +54,6 @@ def stage_reviews(raw: DataFrame, tie_break: tuple[str, ...] = TIE_BREAK) -> Dat
         F.length(text).alias("text_length"),
         (rating <= 2).alias("is_negative"),
         "scraped_at")
-    # Tested after the deduplication: an empty latest copy hides older ones.
-    return latest_copy(typed, tie_break=tie_break).filter(F.col("text_length") > 0)
 
 
 def stage_topics(topics: DataFrame, reviews: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
