@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from re import _constants as kinds
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.columns import bind
+
 # For folded text: Unicode word classes, and only "\\n" ends a line.
 FLAGS = "(?Ud)"
 
@@ -44,10 +49,43 @@ def mentions_any(text: Column, variants) -> Column:
     return found & text.rlike(f"(?<![a-z])(?:{any_of(variants)})(?![a-z])")
 
 
+def needed_literals(pattern: str) -> list[str] | None:
+    """Strings of which every match of a (case-sensitive) pattern holds one; None if nothing can be said."""
+    def of_sequence(items) -> list[str] | None:
+        choices, run = [], ""
+        for kind, value in [*items, (None, None)]:
+            if kind is kinds.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                choices.append([run])
+                run = ""
+            if kind is kinds.SUBPATTERN:
+                choices.append(of_sequence(value[3]))
+            elif kind is kinds.BRANCH:
+                parts = [of_sequence(p) for p in value[1]]
+                choices.append(None if None in parts else sorted({x for p in parts for x in p}))
+            elif kind is kinds.MAX_REPEAT and value[0] > 0:
+                choices.append(of_sequence(value[2]))
+        # the set whose shortest string is longest spares most
+        return max((c for c in choices if c), key=lambda c: min(map(len, c)), default=None)
+
+    return of_sequence(_parser.parse(pattern))
+
+
+def matches(text: Column, pattern: str, flags: str = "") -> Column:
+    """`rlike`, run only on texts that hold one of the strings a match needs."""
+    found = text.rlike(flags + pattern)
+    some = [F.contains(text, F.lit(x)) for x in needed_literals(pattern) or []]
+    return reduce(Column.__or__, some) & found if some else found
+
+
 def labels_matching(text: Column, patterns: dict[str, str], flags: str = "") -> Column:
     """Labels, in dictionary order, whose pattern occurs in the text."""
-    hits = [F.when(text.rlike(flags + pattern), F.lit(label)) for label, pattern in patterns.items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    def hits(t: Column) -> Column:
+        return F.array(*[F.when(matches(t, pattern, flags), F.lit(label)) for label, pattern in patterns.items()])
+
+    return F.filter(bind(text, hits), lambda x: x.isNotNull())
 
 
 def word_count(text: Column) -> Column:
@@ -57,3 +95,8 @@ def word_count(text: Column) -> Column:
 
 def one_line(text: Column) -> Column:
     return F.translate(text, "\n", " ")
+
+
+def snippet(text: Column, length: int = 140) -> Column:
+    """The first characters of a text, on one line, for reports."""
+    return one_line(F.substring(text, 1, length))

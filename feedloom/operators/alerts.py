@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.columns import floor_to_bin, hours_between, literal_map, ratio
 from feedloom.functions.stats import poisson_tail, sorted_median
+from feedloom.session import cut_lineage
 
 BASELINE_DAYS = 14
 MIN_HISTORY = 5
@@ -36,11 +37,17 @@ def review_bins(reviews: DataFrame, bin_hours: dict[str, int], default: int = 3)
 
 
 def fill_bins(counted: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
-    """Complete each key's bin sequence from its first to its last bin with zeros."""
-    span = counted.groupBy(*keys).agg(F.min("bin_start").alias("lo"), F.max("bin_start").alias("hi"))
-    steps = F.sequence(F.col("lo"), F.col("hi"), F.make_interval(hours=F.col("bin_hours")))
-    calendar = span.select(*keys, F.explode(steps).alias("bin_start"))
-    return (calendar.join(counted, [*keys, "bin_start"], "left").fillna(0, counts)
+    """Complete each key's bin sequence from its first to its last bin with zeros.
+
+    Every counted bin also gives the empty ones up to the next, so the counts are read once.
+    """
+    following = F.lead("bin_start").over(Window.partitionBy(*keys).orderBy("bin_start"))
+    width = F.make_interval(hours=F.col("bin_hours"))
+    until = F.coalesce(following - width, F.col("bin_start"))
+    steps = counted.withColumn("_until", until).withColumn("_bin", F.explode(F.sequence(F.col("bin_start"), F.col("_until"), width)))
+    own = F.col("_bin") == F.col("bin_start")
+    return (steps.withColumns({c: F.when(own, F.col(c)).otherwise(F.lit(0)) for c in counts})
+            .select(*keys, F.col("_bin").alias("bin_start"), *[c for c in counted.columns if c not in (*keys, "bin_start")])
             .withColumn("hour_of_day", F.hour("bin_start")))
 
 
@@ -219,6 +226,17 @@ def hour_of_week_bins(reviews: DataFrame, bin_hours: dict[str, int], default: in
             .withColumn("alert", F.coalesce(F.col("z") > Z_THRESHOLD, F.lit(False))))
 
 
+def near_incidents(found: DataFrame, incidents: DataFrame, before_hours: int, after_hours: int) -> DataFrame:
+    """Episodes beside the incidents of their app and day; `inside` where one starts within the hours around an incident."""
+    watch = incidents.select(
+        "incident_id", "app_key", "first_public_report_ist",
+        F.expr(f"timestampadd(HOUR, -{before_hours}, start_time_ist)").alias("lo"),
+        F.expr(f"timestampadd(HOUR, {after_hours}, start_time_ist)").alias("hi"))
+    watch = watch.select("*", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("_day"))
+    paired = found.withColumn("_day", F.to_date("start")).join(watch, ["app_key", "_day"], "left")
+    return paired.withColumn("inside", F.coalesce((F.col("start") >= F.col("lo")) & (F.col("start") <= F.col("hi")), F.lit(False)))
+
+
 def scorecard(found: DataFrame, incidents: DataFrame, before_hours: int = 2, after_hours: int = 12,
               keys: tuple[str, ...] = ()) -> DataFrame:
     """Event recall, alert precision and median lead time of episodes against incidents.
@@ -227,13 +245,8 @@ def scorecard(found: DataFrame, incidents: DataFrame, before_hours: int = 2, aft
     before and `after_hours` after it, in one of its apps. Extra `keys` (for
     example a threshold setting) give one scorecard per key.
     """
-    watch = incidents.select(
-        "incident_id", "app_key", "first_public_report_ist",
-        F.expr(f"timestampadd(HOUR, -{before_hours}, start_time_ist)").alias("lo"),
-        F.expr(f"timestampadd(HOUR, {after_hours}, start_time_ist)").alias("hi"))
-    watch = watch.select("*", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("_day"))
-    paired = found.withColumn("_day", F.to_date("start")).join(watch, ["app_key", "_day"], "left")
-    inside = F.coalesce((F.col("start") >= F.col("lo")) & (F.col("start") <= F.col("hi")), F.lit(False))
+    paired = near_incidents(found, incidents, before_hours, after_hours)
+    inside = F.col("inside")
     per_episode = paired.groupBy(*keys, "app_key", "start").agg(F.max(inside).alias("matched"))
     caught = (paired.filter(inside).groupBy(*keys, "incident_id")
               .agg(F.max(hours_between(F.col("start"), F.col("first_public_report_ist"))).alias("lead")))
@@ -258,3 +271,50 @@ def threshold_sweep(scored: DataFrame, settings: list[tuple[float, int, float]])
     spread = scored.withColumn("_s", F.explode(grid)).select("*", "_s.*").drop("_s")
     flagged = flag_alerts(spread, F.col("alpha"), F.col("min_count"), F.col("z_threshold"))
     return episodes(flagged, keys=("alpha", "min_count", "z_threshold", "app_key"))
+
+
+SETTING = ("alpha", "min_count", "z_threshold")
+
+
+def operating_curve(scored: DataFrame, incidents: DataFrame, settings: list[tuple[float, int, float]], most_false: float = 1.0,
+                    before_hours: int = 2, after_hours: int = 12) -> DataFrame:
+    """Recall against false alerts per app and week for every detector setting, and the setting to use.
+
+    A setting is allowed if its unmatched episodes stay within `most_false` per app and week. Of
+    the allowed ones (else of all) the highest recall is chosen, then the fewest false alerts,
+    then the strictest thresholds. With few incidents the choice is tried by leaving each one
+    out: `n_chosen_without` counts the incidents without which this setting would have been
+    chosen, `n_held_out_caught` those of them that it then catches. The scored bins are read
+    once for all settings, and once for the span of each app.
+    """
+    keys = list(SETTING)
+    grid = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(int(m)).alias("min_count"), F.lit(float(z)).alias("z_threshold")) for a, m, z in settings])
+    paired = cut_lineage(near_incidents(threshold_sweep(scored, settings), incidents, before_hours, after_hours)
+                         .groupBy(*keys, "app_key", "start", F.when(F.col("inside"), F.col("incident_id")).alias("incident_id")).agg(F.max("inside").alias("inside")))
+    per_episode = paired.groupBy(*keys, "app_key", "start").agg(F.max("inside").alias("matched"))
+    episodes_of = per_episode.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_episodes"), F.count_if(~F.col("matched")).alias("n_false"))
+    caught = paired.filter("inside").select(*keys, "incident_id").distinct()
+    days = F.floor(hours_between(F.min("bin_start"), F.max("bin_start")) / 24.0)
+    weeks = scored.groupBy("app_key").agg((days / 7.0).alias("w")).agg(F.sum("w")).scalar()
+    names = incidents.select("incident_id").distinct()
+    total = names.agg(F.count(F.lit(1))).scalar()
+    # one row per incident and setting, both few
+    cells = (names.select("incident_id", F.explode(grid).alias("s")).select("incident_id", "s.*")
+             .join(caught.withColumn("hit", F.lit(1)), [*keys, "incident_id"], "left").fillna(0, ["hit"])
+             .join(episodes_of, keys, "left").fillna(0, ["n_episodes", "n_false"]))
+    setting = Window.partitionBy(*keys)
+    cells = (cells.withColumn("n_caught", F.sum("hit").over(setting)).withColumn("n_incidents", total)
+             .withColumn("false_per_app_week", ratio(F.col("n_false"), weeks)))
+
+    def rank(hits: Column) -> Column:
+        allowed = F.coalesce(F.col("false_per_app_week") <= most_false, F.lit(False))
+        return F.struct((~allowed).alias("a"), F.when(allowed, -hits).otherwise(0).alias("b"), F.col("n_false").alias("c"), (-hits).alias("d"),
+                        F.col("alpha").alias("e"), (-F.col("min_count")).alias("f"), (-F.col("z_threshold")).alias("g"))
+
+    all_rank, own_rank = rank(F.col("n_caught")), rank(F.col("n_caught") - F.col("hit"))
+    best = F.row_number().over(Window.partitionBy("incident_id").orderBy(own_rank)) == 1
+    first = F.row_number().over(Window.partitionBy("incident_id").orderBy(all_rank)) == 1
+    return (cells.withColumn("_left_out", best).withColumn("_first", first)
+            .groupBy(*keys, "n_episodes", "n_false", "n_caught", "n_incidents", "false_per_app_week")
+            .agg(F.max("_first").alias("chosen"), F.count_if("_left_out").alias("n_chosen_without"), F.count_if(F.col("_left_out") & (F.col("hit") == 1)).alias("n_held_out_caught"))
+            .withColumn("recall", ratio(F.col("n_caught"), F.col("n_incidents"))))

@@ -108,6 +108,14 @@ def agreement(counts: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
                          F.col("support_predicted").alias("support_ai"), note.alias("note"))
 
 
+def flag_agreement(pairs: DataFrame, human: str, other: str) -> DataFrame:
+    """Kappa and positives of a yes/no flag set by a person and by another labeller; a null counts as no."""
+    cell = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(n) for c, n in ((human, "truth"), (other, "predicted"))]
+    scored = precision_recall(confusion(pairs.select(F.lit(human).alias("topic"), *cell)))
+    return scored.select((F.col("tp") + F.col("fn")).alias("human_positives"), (F.col("tp") + F.col("fp")).alias("other_positives"),
+                         (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_rows"), stable_round(F.col("kappa"), 3).alias("kappa"))
+
+
 def macro_agreement(per_topic: DataFrame) -> DataFrame:
     """Mean kappa and F1 over the scoreable topics."""
     ok = F.col("kappa").isNotNull()
@@ -136,13 +144,17 @@ def overall_f1(counts: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
 def best_thresholds(scores: DataFrame, grid: list[float]) -> DataFrame:
     """Per topic the probability threshold of the grid with the highest F1.
 
-    `scores` holds (topic, truth, probability). Each row adds to the counts of
-    the thresholds it passes; ties go to the lowest threshold.
+    `scores` holds (topic, truth, probability). Rows are counted by the number of thresholds
+    they pass, and only those few counts meet every threshold; ties go to the lowest one.
     """
-    steps = literal_array([float(g) for g in grid])
-    spread = scores.withColumn("threshold", F.explode(steps)).withColumn(
-        "predicted", (F.col("probability") >= F.col("threshold")).cast("int"))
-    scored = precision_recall(confusion(spread, "threshold"))
+    steps = sorted(float(g) for g in grid)
+    passed = F.size(F.filter(literal_array(steps), lambda g: F.col("probability") >= g))
+    cells = scores.groupBy("topic", passed.alias("_passed")).agg(F.count_if(F.col("truth") == 1).alias("p"), F.count_if(F.col("truth") == 0).alias("n"))
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("threshold")) for i, g in enumerate(steps)])
+    above = F.col("_passed") > F.col("s.i")
+    counts = cells.withColumn("s", F.explode(every)).groupBy("topic", F.col("s.threshold").alias("threshold")).agg(
+        *[F.sum(F.when(side, F.col(c)).otherwise(0)).alias(name) for name, side, c in (("tp", above, "p"), ("fp", above, "n"), ("fn", ~above, "p"), ("tn", ~above, "n"))])
+    scored = precision_recall(counts)
     order = Window.partitionBy("topic").orderBy(F.col("f1").desc(), "threshold")
     return (scored.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1)
             .select("topic", "threshold", "f1"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.columns import ratio, share_of
 from feedloom.functions.seeded import seeded_digest
+from feedloom.session import cut_lineage
 from feedloom.sources import schemas
 
 INCOMPLETE_DAYS = 2
@@ -53,14 +54,15 @@ def version_adoption(reviews: DataFrame, min_share: float = 0.05, min_reviews: i
     A version counts as adopted on the first complete day it holds `min_share`
     of its app's versioned reviews.
     """
-    return adoption_from_cells(day_cells(reviews), min_share, min_reviews, incomplete_days)
+    return adoption_from_cells(cut_lineage(day_cells(reviews)), min_share, min_reviews, incomplete_days)
 
 
 def adoption_from_cells(cells: DataFrame, min_share: float = 0.05, min_reviews: int = 200,
                         incomplete_days: int = INCOMPLETE_DAYS) -> DataFrame:
+    """The same from day cells, which are read twice: a written table serves best."""
     # The cutoff counts versionless reviews, the share does not.
-    last = F.max("review_date").over(Window.partitionBy("app_key"))
-    complete = (cells.withColumn("_last", last)
+    last = cells.groupBy("app_key").agg(F.max("review_date").alias("_last"))
+    complete = (cells.join(last, "app_key")
                 .filter(F.col("review_version").isNotNull()
                         & is_complete(F.col("_last"), F.col("review_date"), incomplete_days)))
     day_total = F.sum("n").over(Window.partitionBy("app_key", "review_date"))

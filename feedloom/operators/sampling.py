@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.seeded import seeded_digest, weighted_key
-from feedloom.functions.text import labels_matching
+from feedloom.functions.columns import bind
+from feedloom.functions.text import labels_matching, matches
 
 PER_STRATUM = 67
 SAMPLE_SIZE = 600
@@ -120,7 +121,7 @@ def churn_sample(reviews: DataFrame, used: DataFrame, pattern: str, size: int =
                  seed: int = 123) -> DataFrame:
     """`size` unused reviews with leaving language."""
     pool = (reviews.select("review_id", "app_key", "rating", "review_text", "text_length")
-            .filter(F.lower("review_text").rlike(pattern))
+            .filter(bind(F.lower("review_text"), lambda t: matches(t, pattern)))
             .join(used.select("review_id"), "review_id", "left_anti"))
     return (pool.orderBy(seeded_digest(seed, F.col("review_id")), "review_id").limit(size)
             .withColumn("split", F.lit("churn_boost")))

@@ -56,15 +56,28 @@ def typed_reviews(raw: DataFrame) -> DataFrame:
         "scraped_at")
 
 
+def topic_counts(topics: DataFrame) -> DataFrame:
+    """One row per review and topic: highest probability and number of rows.
+
+    Counted before the join to the reviews, a review has at most as many rows as there are topics,
+    however often one was labelled. Enough for all that counts reviews by topic.
+    """
+    return topics.groupBy("review_id", "topic").agg(F.max("probability").alias("probability"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def stage_topics(topics: DataFrame, reviews: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Review-topic pairs with the review's app and dates (and `extra` columns)."""
+    """Review-topic pairs with the review's app and dates (and `extra` columns).
+
+    With `reviews` a written table, both sides of the join are plain exchanges, so Spark splits a
+    review id with very many topic rows.
+    """
     attributes = reviews.select("review_id", "app_key", "review_date", "review_hour", *extra)
     return topics.join(attributes, "review_id").select(
         "review_id", "app_key", "review_date", "review_hour", "topic", "probability", *extra)
 
 
 def stage_flags(flags: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Churn flags with the review's app and date."""
+    """Churn flags with the review's app and date; as with topics, write the reviews first where an id may repeat often."""
     attributes = reviews.select("review_id", "app_key", "review_date")
     return flags.join(attributes, "review_id").select(
         "review_id", "app_key", "review_date", "churn_intent", "churn_probability")

@@ -74,11 +74,20 @@ def mentioned(text: Column, aliases: dict[str, list[str]]) -> Column:
     return F.filter(bind(folded(text), named), lambda x: x.isNotNull())
 
 
-def mention_candidates(reviews: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """Reviews that name a product other than their own."""
+def with_mentions(reviews: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """All reviews with the other products they name, and the texts of those that name one.
+
+    Written once, it serves the relations and the totals of each app from one pass over the texts.
+    """
     others = F.array_remove(mentioned(F.col("review_text"), aliases), F.col("app_key"))
-    return (reviews.withColumn("other_mentions", others)
-            .filter(F.size("other_mentions") > 0)
+    return reviews.withColumn("other_mentions", others).select(
+        "review_id", "app_key", "rating", "review_date", "other_mentions", F.when(F.size("other_mentions") > 0, F.col("review_text")).alias("review_text"))
+
+
+def mention_candidates(reviews: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Reviews that name a product other than their own; `reviews` may come from `with_mentions`."""
+    named = reviews if "other_mentions" in reviews.columns else with_mentions(reviews, aliases)
+    return (named.filter(F.size("other_mentions") > 0)
             .select("review_id", "app_key", "rating", "review_text", "review_date", "other_mentions",
                     F.array_join("other_mentions", ";").alias("other_mentions_str"),
                     F.size("other_mentions").alias("n_other_mentions")))

@@ -192,3 +192,32 @@ with spread as (select b.app_key, b.bin_start, b.bin_hours, p.alpha, p.min_count
                        then 1 else 0 end as opens from spread window w as (partition by alpha, min_count, z_threshold, app_key order by bin_start))
 select cast(alpha as double) as alpha, min_count, cast(z_threshold as double) as z_threshold, app_key, cast(sum(opens) as bigint) as n_events
 from marked group by 1, 2, 3, 4""")
+
+
+def _operating_curve(s, d):
+    return rounded(alerts.operating_curve(_scored(s, d), fx.incidents(s), _SETTINGS, 2.0, 48, 48), "recall", "false_per_app_week")
+
+
+register("alert_operating_curve", _operating_curve, f"""
+with settings as (select cast(alpha as double) as alpha, min_count, cast(z_threshold as double) as z_threshold from {values(_SETTINGS)} as p(alpha, min_count, z_threshold)),
+     spread as (select b.app_key, b.bin_start, b.bin_hours, p.* from scored b join settings p on b.n_negative >= p.min_count and (b.poisson_p < p.alpha or b.z > p.z_threshold)),
+     numbered as (select *, sum(opens) over (partition by alpha, min_count, z_threshold, app_key order by bin_start rows unbounded preceding) as episode from (
+       select *, case when lag(bin_start) over w is null or date_diff('second', lag(bin_start) over w, bin_start) / 3600.0 > 3 + bin_hours then 1 else 0 end as opens
+       from spread window w as (partition by alpha, min_count, z_threshold, app_key order by bin_start))),
+     found as (select alpha, min_count, z_threshold, app_key, episode, min(bin_start) as start_time from numbered group by 1, 2, 3, 4, 5),
+     pairs as (select f.*, i.incident_id from found f left join incident_log i on i.app_key = f.app_key
+               and f.start_time between i.start_time_ist - interval 48 hour and i.start_time_ist + interval 48 hour),
+     counted as (select alpha, min_count, z_threshold, count(*) as n_episodes, count(*) filter (where not matched) as n_false from (
+       select alpha, min_count, z_threshold, app_key, episode, bool_or(incident_id is not null) as matched from pairs group by 1, 2, 3, 4, 5) group by 1, 2, 3),
+     weeks as (select sum(w) as w from (select floor(date_diff('second', min(bin_start), max(bin_start)) / 86400.0) / 7.0 as w from bins group by app_key)),
+     names as (select distinct incident_id from incident_log),
+     cells as (select n.incident_id, s.*, coalesce(c.n_episodes, 0) as n_episodes, coalesce(c.n_false, 0) as n_false,
+                      cast(exists (select 1 from pairs p where p.alpha = s.alpha and p.min_count = s.min_count and p.z_threshold = s.z_threshold and p.incident_id = n.incident_id) as integer) as hit
+               from names n cross join settings s left join counted c on c.alpha = s.alpha and c.min_count = s.min_count and c.z_threshold = s.z_threshold),
+     rated as (select *, sum(hit) over (partition by alpha, min_count, z_threshold) as n_caught, n_false / (select w from weeks) as rate from cells),
+     ranked as (select *, row_number() over (partition by incident_id order by rate > 2, case when rate <= 2 then -(n_caught - hit) else 0 end, n_false, -(n_caught - hit), alpha, -min_count, -z_threshold) as own,
+                       row_number() over (partition by incident_id order by rate > 2, case when rate <= 2 then -n_caught else 0 end, n_false, -n_caught, alpha, -min_count, -z_threshold) as overall from rated)
+select alpha, min_count, z_threshold, n_episodes, n_false, cast(max(n_caught) as bigint) as n_caught, (select count(*) from names) as n_incidents, {dec("max(rate)", 6)} as false_per_app_week,
+       bool_or(overall = 1) as chosen, count(*) filter (where own = 1) as n_chosen_without, count(*) filter (where own = 1 and hit = 1) as n_held_out_caught,
+       {dec("max(n_caught) / cast((select count(*) from names) as double)", 6)} as recall
+from ranked group by 1, 2, 3, 4, 5""")

@@ -78,8 +78,8 @@ select i.*, q.q_value, coalesce(q.q_value <= 0.10, false) as is_significant from
 class _Study:
     """The frames all release queries share; one pass over the reviews feeds them."""
 
-    def __init__(self, s, d):
-        self.reviews = inputs.reviews(s, d)
+    def __init__(self, s, d, reviews=None):
+        self.reviews = inputs.reviews(s, d) if reviews is None else reviews
         self.cells = cut_lineage(marts.day_cells(self.reviews))
         self.daily = marts.daily_from_cells(self.cells)
         self.adoption = marts.adoption_from_cells(self.cells)
@@ -148,8 +148,11 @@ from releases r join daily p on p.is_complete_day and p.review_date between r.ad
 
 
 def _topic_shift(s, d):
-    study = _Study(s, d)
-    topic_daily = marts.daily_topic_metrics(inputs.topics(s, d), study.daily)
+    staged = inputs.shared_reviews(s, d, "review_hour", "review_version", "rating", "is_negative")
+    study = _Study(s, d, staged)
+    topics = staging.stage_topics(staging.topic_counts(fx.raw_topics(s, d)), staged)
+    # read for the topics' counts and for the days' volumes
+    topic_daily = cut_lineage(marts.daily_topic_metrics(topics, study.daily))
     return rounded(causal.topic_shift(topic_daily, study.windows, _F), "pre_share", "post_share", "change_pp")
 
 

@@ -21,7 +21,7 @@ def shared_reviews(spark: SparkSession, d: str, *columns: str | Column) -> DataF
 
 
 def topics(spark: SparkSession, d: str, *extra: str) -> DataFrame:
-    return staging.stage_topics(fx.raw_topics(spark, d), reviews(spark, d), extra)
+    return staging.stage_topics(fx.raw_topics(spark, d), shared_reviews(spark, d, "review_hour", *extra), extra)
 
 
 def with_texts(spark: SparkSession, d: str, chosen: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def both_dailies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Topic mart and app mart over one staging of the reviews."""
     staged = shared_reviews(spark, d, "review_hour", "review_version", "rating", "is_negative")
     app_daily = cut_lineage(marts.daily_app_metrics(staged))
-    return marts.daily_topic_metrics(staging.stage_topics(fx.raw_topics(spark, d), staged), app_daily), app_daily
+    return marts.daily_topic_metrics(staging.stage_topics(staging.topic_counts(fx.raw_topics(spark, d)), staged), app_daily), app_daily
 
 
 def topic_daily(spark: SparkSession, d: str) -> DataFrame:

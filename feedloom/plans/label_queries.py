@@ -229,6 +229,19 @@ register("macro_agreement", lambda s, d: rounded(labels.macro_agreement(
 select count(*) as n_scoreable, {dec("avg(kappa)", 6)} as macro_kappa, {dec("avg(f1)", 6)} as macro_f1 from ({_AGREE_SQL}) where kappa is not null""")
 
 
+def _churn_agreement(s, d):
+    marked = fx.table(s, d, "labels").join(fx.table(s, d, "documents").select("doc_id"), "doc_id")
+    return labels.flag_agreement(marked.select(F.when(F.col("doc_id") % 7 != 0, F.col("toxic")).alias("human"), (F.col("doc_id") % 3 == 0).alias("other")), "human", "other")
+
+
+register("churn_agreement", _churn_agreement, f"""
+select t as human_positives, p as other_positives, n as n_rows,
+       {dec("(cast(n - t - p + 2 * tp as double) / n - e) / nullif(1 - e, 0)", 3)} as kappa
+from (select *, (cast(t as double) * p + cast(n - t as double) * (n - p)) / (cast(n as double) * n) as e
+      from (select count(*) filter (where h) as t, count(*) filter (where o) as p, count(*) filter (where h and o) as tp, count(*) as n
+            from (select coalesce(case when l.doc_id % 7 <> 0 then toxic end, 0) = 1 as h, l.doc_id % 3 = 0 as o from labels l join documents d on l.doc_id = d.doc_id)))""")
+
+
 def _merge_check(s, d):
     """All documents against the labelled ones, which are fewer: rows are lost."""
     return labels.merge_checked(fx.table(s, d, "documents").select("doc_id"), fx.table(s, d, "labels"), "doc_id")[1]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom.functions import text
 from feedloom.operators import explore, marts, staging
 from feedloom.plans import fixtures as fx
 from feedloom.plans import inputs
 from feedloom.plans.inputs import rounded
 from feedloom.plans.reference_sql import dec, digest, ratio
 from feedloom.plans.registry import register
+from feedloom.session import cut_lineage
 from feedloom.sources import reviews as landing
 
 # ---------------------------------------------------------------- staging
@@ -38,7 +40,7 @@ register("stg_topics", lambda s, d: rounded(inputs.topics(s, d), "probability"),
 select review_id, app_key, review_date, review_hour, topic, {dec("probability", 6)} as probability from stg_topics""")
 
 register("stg_flags", lambda s, d: rounded(
-    staging.stage_flags(fx.raw_flags(s, d), inputs.reviews(s, d)), "churn_probability"), f"""
+    staging.stage_flags(fx.raw_flags(s, d), inputs.shared_reviews(s, d)), "churn_probability"), f"""
 select review_id, app_key, review_date, churn_intent, {dec("churn_probability", 6)} as churn_probability from stg_flags""")
 
 # ---------------------------------------------------------------- marts
@@ -111,6 +113,32 @@ register("length_percentiles", lambda s, d: rounded(explore.length_percentiles(i
 register("text_length_percentiles", lambda s, d: rounded(explore.length_percentiles(fx.text_reviews(s, d)), *_LENGTHS),
          _length_sql("text_reviews"))
 
+
+
+def _sketch_errors(s, d):
+    """Stored sketches per app and day, merged for the whole span and for the last 60 days, against exact ranks."""
+    reviews = inputs.shared_reviews(s, d, "text_length")
+    sketches = cut_lineage(explore.length_sketches(reviews))
+    last = reviews.agg(F.max("review_date")).scalar()
+
+    def spans(df):
+        recent = F.col("review_date") > F.date_sub(last, 60)
+        return df.withColumn("span", F.explode(F.array(F.lit("all"), F.when(recent, F.lit("last_60"))))).filter("span is not null")
+    keys = ("app_key", "span")
+    errors = explore.rank_errors(spans(reviews), explore.sketched_percentiles(spans(sketches), keys=keys), keys)
+    return errors.select(*keys, "percentile", "n", (F.col("rank_error") <= 0.02).alias("within_bound"))
+
+
+register("length_sketch_errors", _sketch_errors, """
+select app_key, span, p as percentile, count(*) as n, true as within_bound
+from (select app_key, 'all' as span from stg_reviews union all
+      select app_key, 'last_60' from stg_reviews where review_date > (select max(review_date) from stg_reviews) - interval 60 day),
+     (select cast(unnest([0.5, 0.9, 0.99]) as double) as p)
+group by 1, 2, 3""")
+
+register("text_snippets", lambda s, d: fx.text_reviews(s, d).select("review_id", text.snippet(F.col("review_text")).alias("snippet")), """
+select review_id, replace(substr(review_text, 1, 140), chr(10), ' ') as snippet from text_reviews""")
+
 register("first_topic_cohort", lambda s, d: explore.first_topic_cohort(inputs.topics(s, d, "rating")), f"""
 select app_key, topic as first_topic, strftime(review_date, '%Y-%m') as cohort_month, count(distinct review_id) as n_reviewers,
        {dec("avg(cast(rating as double))", 2)} as avg_rating

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import any_of
@@ -11,6 +13,7 @@ from feedloom.plans.inputs import rounded
 from feedloom.plans.reference_sql import dec, ratio, relation, sql_list, uniform, values
 from feedloom.plans.registry import register
 from feedloom.session import cut_lineage
+from feedloom.sources import files
 
 
 def _q(text: str) -> str:
@@ -68,13 +71,21 @@ def _relations(s, d):
     return switching.relations(_candidates(s, d), fx.ALIASES)
 
 
-def _totals(s, d):
-    return fx.text_reviews(s, d).groupBy("app_key").agg(F.count(F.lit(1)).alias("n"))
+def _named(s, d):
+    """Mentions and totals from one pass over the texts."""
+    named = cut_lineage(switching.with_mentions(fx.text_reviews(s, d), fx.ALIASES))
+    return switching.relations(switching.mention_candidates(named, fx.ALIASES), fx.ALIASES), named.groupBy("app_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _flows(s, d):
     # One row per pair of products, read two or three times by what follows.
-    return cut_lineage(switching.flow_counts(switching.flows(_relations(s, d)), _totals(s, d)))
+    relations, totals = _named(s, d)
+    return cut_lineage(switching.flow_counts(switching.flows(relations), totals))
+
+
+def _monthly(s, d):
+    relations, totals = _named(s, d)
+    return switching.monthly_flows(cut_lineage(relations), fx.text_topics(s, d), totals, _GENERIC)
 
 
 register("mention_candidates", lambda s, d: _candidates(s, d).drop("other_mentions", "review_text"), """
@@ -84,6 +95,14 @@ select review_id, app_key, rating, review_date, array_to_string(other_mentions,
 register("mention_counts", lambda s, d: switching.mention_counts(_candidates(s, d)), """
 select other_app, count(*) as n from (select unnest(other_mentions) as other_app from mention_rows) group by 1""")
 
+_ALIAS_FILE = Path(__file__).with_name("aliases.yaml")
+_CONFIGURED = files.read_dictionary(str(_ALIAS_FILE))
+
+register("configured_mentions", lambda s, d: switching.mention_counts(switching.mention_candidates(
+    fx.text_reviews(s, d), files.read_dictionary(str(_ALIAS_FILE)))), f"""
+select other_app, count(*) as n from (select unnest(other_mentions) as other_app from mention_rows)
+where other_app in ({sql_list(list(_CONFIGURED))}) group by 1""")
+
 register("candidate_share", lambda s, d: rounded(switching.candidate_share(fx.text_reviews(s, d), fx.ALIASES), "pct"), f"""
 select app_key, count(*) as n_reviews, count(*) filter (where len(other_mentions) > 0) as n_candidates,
        {dec("100.0 * count(*) filter (where len(other_mentions) > 0) / count(*)", 6)} as pct from mention_rows group by 1""")
@@ -123,8 +142,7 @@ select source, dest, topic, n, cast(rk as integer) as "rank" from (
     where r.relation = 'switching_away' and t.topic not in ({sql_list(_GENERIC)}) group by 1, 2, 3))
 where rk <= 6""")
 
-register("monthly_flows", lambda s, d: rounded(switching.monthly_flows(
-    _relations(s, d), fx.text_topics(s, d), _totals(s, d), _GENERIC), "per_10k"), f"""
+register("monthly_flows", lambda s, d: rounded(_monthly(s, d), "per_10k"), f"""
 with dated as (select *, strftime(review_date, '%Y-%m') as month from moves),
      reasons as (select d.month, d.source, d.dest, t.topic, count(*) as k from dated d join text_topics t on d.review_id = t.review_id
                  where t.topic not in ({sql_list(_GENERIC)}) group by 1, 2, 3, 4),
