@@ -487,7 +487,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
 
 
 def first_of_each(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, in its own columns: the one with the smallest id (null last), of several the one with the smallest crc32 of its text.
+    """One row of each component, in its own columns: the one with the smallest id (null last), of several the one with the smallest hash of its text.
 
     Of the rows without a shingle, one of each id and text is kept.
     """

@@ -36,7 +36,7 @@ travels(__name__)
 
 MIN_BITS, MAX_BITS = 20, 30
 ROWS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("at", "<u4")])
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("crc", "<i8"), ("at", "<u4")])
 
 
 def _slots(h: np.ndarray, row: int, bits: int) -> np.ndarray:

@@ -17,7 +17,7 @@ that can have an equal are sorted, and only through `depth` bytes:
 
 Texts are UTF-8 bytes, a null text is empty, and matches never cross documents. A null
 doc_id sorts last. Rows that repeat doc_id and text are one document with one result;
-rows with equal doc_id and other texts are ordered by their text's crc32. Extra columns
+rows with equal doc_id and other texts are ordered by their text's hash. Extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -33,7 +33,7 @@ from feedloom.llm.common import FLUSH_BYTES, RUN, Packer, arrow, buckets_of, by_
 
 travels(__name__)
 
-ANCHOR = np.dtype([("h", "<u4"), ("doc", "<i8"), ("crc", "<u4"), ("first", "<u4")])     # the bucket holds the hash's upper bits
+ANCHOR = np.dtype([("h", "<u4"), ("doc", "<i8"), ("crc", "<i8"), ("first", "<u4")])     # the bucket holds the hash's upper bits
 REPLY = 1 << 18     # suffixes a sorting task handles at a time, if no anchor has more
 
 
@@ -101,7 +101,7 @@ def _equal_groups(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, dept
     return keep, groups
 
 
-HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("first", "<u4"), ("n", "<u4"), ("size", "<u4")])
+HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("crc", "<i8"), ("first", "<u4"), ("n", "<u4"), ("size", "<u4")])
 
 
 def _sorted_runs(head: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:

@@ -177,7 +177,7 @@ def _frequencies(ids: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise whole texts and write `folder`/ids and `folder`/vocab."""
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col).withColumn("crc", F.crc32("text"))
     bounds = _bounds(rows, buckets_of(spark))
     raw = arrow("part int, doc long, crc long, n long, ids binary")
 
