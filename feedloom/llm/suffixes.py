@@ -86,15 +86,23 @@ def repeated_anchors(rows: DataFrame, depth: int, gram: int) -> DataFrame:
 def _equal_groups(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Most-significant-digit passes: (index, group) of suffixes equal to another through `depth` bytes."""
     keep = np.arange(len(starts))
+    # a digit is the 8 bytes from a place on, read by one look-up
+    digits = np.ndarray((max(len(data) - 7, 0),), ">u8", data, strides=(1,))
     for at in [*range(0, depth - 8, 8), depth - 8]:
         if not len(keep):
             break
-        digit = np.zeros(len(keep), np.uint64)
-        for k in range(8):
-            digit |= data[starts[keep] + (at + k)].astype(np.uint64) << np.uint64(56 - 8 * k)
-        order = np.lexsort((digit, groups))
-        digit, groups, keep = digit[order], groups[order], keep[order]
-        new = np.r_[True, (digit[1:] != digit[:-1]) | (groups[1:] != groups[:-1])]
+        digit = digits[starts[keep] + at].astype(np.uint64)
+        together = groups[1:] == groups[:-1]
+        differs = together & (digit[1:] != digit[:-1])
+        if differs.any():       # only groups in which this digit differs are sorted
+            number = np.cumsum(np.r_[True, ~together]) - 1
+            mixed = np.zeros(number[-1] + 1, bool)
+            mixed[number[1:][differs]] = True
+            rows = np.flatnonzero(mixed[number])
+            order = rows[np.lexsort((digit[rows], number[rows]))]
+            digit[rows], keep[rows] = digit[order], keep[order]
+            together &= digit[1:] == digit[:-1]
+        new = np.r_[True, ~together]
         alone = new & np.r_[new[1:], True]
         groups = np.cumsum(new)[~alone]
         keep = keep[~alone]
