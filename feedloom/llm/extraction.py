@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,9 +31,9 @@ from feedloom.llm.common import arrow, mapped, rows_out, travels
 
 travels(__name__)
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+OPENED = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
+UPTO_VALUE = re.compile(r"[^>=]*+(?:(>)|=\s*+)")         # to the end of the tag, or to a value
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "iframe")}
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -77,6 +78,55 @@ class Block:
     linked: int
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> int | None:
+    """Place of the `>` that ends a tag whose attributes begin at `at`; quotes count only at the start of a value."""
+    while found := UPTO_VALUE.match(page, at):
+        if found[1]:
+            return found.end() - 1
+        at = found.end()
+        quote = page[at:at + 1]
+        if quote in ('"', "'") and at < last[quote]:
+            at = page.index(quote, at + 1) + 1
+    return None
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, str, str | None, str]]:
+    """(text, name of an element read as raw text, "/" of a closing tag, tag, attributes) of a page in order; comments are left out.
+
+    Every character is looked at a bounded number of times. A `<` with no `>` after it is text. If a tag's quotes
+    swallow the rest of the page, it ends at the next `>`, and so do the tags after it.
+    """
+    last = {c: page.rfind(c) for c in "\"'>"}
+    at, n, quoted = 0, len(page), True
+    while at < n:
+        start = page.find("<", at)
+        if start != at:
+            yield page[at:start if start >= 0 else n], None, "", None, ""
+            if start < 0:
+                return
+        found = OPENED.match(page, start) if start < last[">"] else None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+        elif not found:
+            yield "<", None, "", None, ""
+            at = start + 1
+        elif found[2] is None:
+            at = page.index(">", start) + 1
+        else:
+            end = tag_end(page, found.end(), last) if quoted else None
+            if end is None:
+                quoted, end = False, page.index(">", found.end())
+            at = end + 1
+            name = found[2].lower()
+            if name in RAW_END and not found[1]:
+                close = RAW_END[name].search(page, at)
+                at = close.end() if close else n
+                yield "", name, "", None, ""
+            else:
+                yield "", None, found[1], found[2], page[found.end():end]
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order; path holds (tag, kinds named) of the open elements."""
     stack: list[tuple[str, frozenset]] = []
@@ -94,28 +144,26 @@ def leaf_blocks(page: str) -> list[Block]:
             held.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        tag = m[3]
+    for raw, special, closing, tag, attributes in tokens(page):
         if skipped:
             tag = (tag or "").lower()
-            if m[2] and tag in inner:
+            if closing and tag in inner:
                 del inner[len(inner) - 1 - inner[::-1].index(tag):]
                 continue
-            if m[2] and tag == skipped:
+            if closing and tag == skipped:
                 skipped = ""
                 continue
-            if not (m[2] and tag in BLOCKS and any(t == tag for t, _ in stack)
-                    or not m[2] and skipped == "svg" and tag in NO_SVG and "foreignobject" not in inner):
-                if not m[2] and (tag in BLOCKS and tag not in VOID or tag == "foreignobject" or tag == skipped in ("svg", "object", "template")) and not m[4].endswith("/"):
+            if not (closing and tag in BLOCKS and any(t == tag for t, _ in stack)
+                    or not closing and skipped == "svg" and tag in NO_SVG and "foreignobject" not in inner):
+                if not closing and (tag in BLOCKS and tag not in VOID or tag == "foreignobject" or tag == skipped in ("svg", "object", "template")) and not attributes.endswith("/"):
                     inner.append(tag)
                 continue
             skipped = ""
         if tag is None:
-            raw = m[0]
-            if m[1] is not None:
-                if m[1].lower() in ("textarea", "iframe"):
+            if special is not None:
+                if special in ("textarea", "iframe"):
                     held.append(" ") if held else None
-            elif raw[0] != "<" or raw == "<":
+            else:
                 if not held:
                     if raw.isspace():
                         continue
@@ -125,7 +173,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     linked += len(raw.strip())
             continue
         tag = tag.lower()
-        if m[2]:
+        if closing:
             if tag == "a":
                 open_links = max(0, open_links - 1)
             elif tag in BLOCKS:
@@ -147,16 +195,16 @@ def leaf_blocks(page: str) -> list[Block]:
                 elif stack[at][0] in SCOPES:
                     break
             kinds = set()
-            for a in ATTRIBUTE.finditer(m[4] or ""):
+            for a in ATTRIBUTE.finditer(attributes):
                 for w in NAME.findall(a[2] or a[3] or a[4] or ""):
                     if (k := KIND.get(w.lower())) is not None:
                         kinds.add(k)
-            if not (m[4] or "").endswith("/"):
+            if not attributes.endswith("/"):
                 stack.append((tag, frozenset(kinds)))
         elif tag in SKIPPED:
             if held and tag in ("select", "object", "svg"):
                 held.append(" ")
-            if not (m[4] or "").endswith("/"):
+            if not attributes.endswith("/"):
                 skipped, inner = tag, []
         elif tag == "br" or tag in ("img", "input"):
             if held:
