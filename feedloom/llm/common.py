@@ -13,7 +13,6 @@ id, or without an id: among a billion without an id it fails with a chance of 3
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,6 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.session import shared_folder
+
 NO_ID = (1 << 63) - 1        # stands for a null id inside the operators
 WORDS = r"[^\x20\x09-\x0D]+"
 FLUSH_BYTES = 24 << 20       # packed records a map task holds before it sends them
@@ -41,12 +42,8 @@ travels(__name__)
 # ---------------------------------------------------------------- work tables
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="feedloom-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The shared folder of the session; where none is set, a session in one process gets a temporary one and a cluster an error."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

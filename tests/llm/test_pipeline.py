@@ -124,3 +124,12 @@ def test_language_stage_rejects_unlearned_languages(spark, languages):
     kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert not kept & {x[0] for x in foreign}
     assert len(kept) >= 0.99 * len(rows) and {x[0] for x in rows if 10_000 <= x[0]} <= kept
+
+
+def test_given_columns_of_predicted_names_keep_their_values(spark):
+    rows = [(i, "the cat and the house of the river " * 5 if i % 2 else "der Hund und das Haus am Fluss " * 5, ["de", "en"][i % 2], "s", 1, float(i), "mine") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = {(r.doc_id, r.score, r.lang_pred) for r in kept.collect()}
+    assert got and got <= {(i, float(i), "mine") for i in range(40)}
