@@ -18,8 +18,10 @@ from feedloom.llm.queries import tokenizer
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language, as learnt from the labels of those that aren't held out."""
     model = langid.train(docs.where(~langid.held_out()))
-    known = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
-    return known.select(*docs.columns)
+    # a given column of a name that the prediction adds keeps its values
+    aside = {c: f"_given_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    known = langid.predict(docs.withColumnsRenamed(aside), model).where(F.col("lang_pred") != langid.UNKNOWN)
+    return known.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
