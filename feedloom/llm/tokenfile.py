@@ -18,6 +18,7 @@ import string
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from feedloom.llm.common import arrow, buckets_of, doc_id, keyed, mapped, per_wo
 travels(__name__)
 
 CACHE_UNITS = 450_000
+CACHE_TAILS = 10_000
+CODED_IDS = 1 << 19     # that are packed or unpacked together
 LONG_UNIT = 1 << 8      # longer pre-tokens are not kept
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNT_SLICES = 64
@@ -68,28 +71,51 @@ class Encoder(dict):
         self.letters = _byte_letters()
         self.merge = self.tokenizer.model.tokenize
         self.feed = self._whole("\n")
+        self.old: dict = {}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, text: str) -> list[int]:
-        return [t.id for t in self.merge(text.encode().decode("latin-1").translate(self.letters))]
+    def _piece(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+        return array(self.code, [t.id for t in self.merge(text.translate(self.letters))]).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        """Ids of closing marks; few strings of them occur."""
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self._piece(marks)
+            if len(marks) <= 8 and len(self.tails) < CACHE_TAILS:
+                self.tails[marks] = ids
+        return ids
 
-    def __missing__(self, unit) -> bytes:
-        text, space = (unit[0], "") if isinstance(unit, tuple) else (unit, " ")
+    def _ids(self, text: str, space: str) -> bytes:
         stem = text.rstrip(self.MARKS)
-        lines = self.feeds.split(text) if "\n" in text else ()
         if stem.isalpha():
-            ids = self._piece(space + stem) + (self._piece(text[len(stem):]) if len(stem) < len(text) else [])
-            ids = array(self.code, ids).tobytes()
-        elif len(lines) > 1:
-            ids = self.feed.join([self[lines[0] if space else (lines[0],)], *[self[(line,)] for line in lines[1:]]])
-        else:
-            ids = self._whole(space + text)
-        if len(text) <= LONG_UNIT:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[unit] = ids
+            if len(stem) == len(text):
+                return self._piece(space + stem)
+            key = stem if space else (stem,)
+            found = self.get(key) or self.old.get(key)
+            return (found or self._piece(space + stem)) + self._tail(text[len(stem):])
+        lines = self.feeds.split(text) if "\n" in text else ()
+        if len(lines) > 1:
+            return self.feed.join([self[lines[0] if space else (lines[0],)], *[self[(line,)] for line in lines[1:]]])
+        return self._whole(space + text)
+
+    def __missing__(self, unit) -> bytes:
+        """Two halves of a cache: what is met again moves to the young one, and the old one goes when that is full."""
+        ids = self.old.get(unit)
+        if ids is None:
+            text, space = (unit[0], "") if isinstance(unit, tuple) else (unit, " ")
+            ids = self._ids(text, space)
+            if len(text) > LONG_UNIT:
+                return ids
+        if len(self) >= CACHE_UNITS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = ids
         return ids
 
     def _cuts(self, text: str) -> bool:
@@ -116,21 +142,34 @@ class Encoder(dict):
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.int64)
 
 
-def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of 32-bit ranks."""
-    ranks = ranks.astype("<u4")
+def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each id's length stands if every document starts a new control byte, and the first control byte of each document and after the last."""
+    control = np.r_[0, np.cumsum(-(-counts // 4))]
+    return np.arange(counts.sum()) + np.repeat(4 * control[:-1] - (np.cumsum(counts) - counts), counts), control
+
+
+def pack_documents(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of documents whose ranks stand one after another."""
+    ranks = ranks.astype("<u4", copy=False)
     more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[:len(ranks)] = more
-    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
-    return control.tobytes(), data.tobytes()
+    at, control_at = places(counts)
+    padded = np.zeros(4 * control_at[-1], np.uint8)
+    padded[at] = more
+    control = (padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]].tobytes()
+    data_at = np.r_[0, np.cumsum(more, dtype=np.int64) + np.arange(1, len(more) + 1)][np.r_[0, np.cumsum(counts)]]
+    return _slices(control, control_at), _slices(data, data_at)
 
 
-def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+def _slices(joined: bytes, at: np.ndarray) -> list[bytes]:
+    return [joined[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def unpack_documents(control: list[bytes], data: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The ranks of documents, one after another."""
+    lengths = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()[places(counts)[0]]
     starts = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    raw = np.frombuffer(b"".join(data) + b"\0\0\0", np.uint8)
     ranks = raw[starts].astype(np.uint32)
     for k in (1, 2, 3):
         at = np.flatnonzero(lengths > k)
@@ -140,6 +179,25 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
+def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of one document's ranks."""
+    control, data = pack_documents(ranks, np.array([len(ranks)]))
+    return control[0], data[0]
+
+
+def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    return unpack_documents([control], [data], np.array([n]))
+
+
+def runs_of(counts: np.ndarray) -> Iterator[slice]:
+    """Documents taken together, about CODED_IDS ids at a time or one with more."""
+    ends, lo = np.cumsum(counts), 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CODED_IDS, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
 # ---------------------------------------------------------------- files
 
 def _bounds(rows: DataFrame, n: int) -> np.ndarray:
@@ -202,8 +260,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0
 
     def code(batches):
         for batch in batches:
-            both = [pack_ranks(rank[np.frombuffer(x, dtype)]) for x in batch.column(4).to_pylist()]
-            yield rows_out(coded, [*batch.columns[:4], [c for c, _ in both], [d for _, d in both]])
+            counts, ids = np.asarray(batch.column(3)), batch.column(4).to_pylist()
+            for part in runs_of(counts):
+                control, data = pack_documents(rank[np.frombuffer(b"".join(ids[part]), dtype)], counts[part])
+                yield rows_out(coded, [*(c.slice(part.start, part.stop - part.start) for c in batch.columns[:4]), control, data])
 
     (mapped(ids, code, "part int, doc long, crc long, n long, control binary, data binary").repartition("part")
      .sortWithinPartitions("part", "doc", "crc").write.option("compression", "zstd").parquet(f"{folder}/ids"))
@@ -219,8 +279,11 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
 
     def decode(batches):
         for batch in batches:
-            ids = [to_id[unpack_ranks(c, d, n)].astype("<u4").tobytes() for n, c, d in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
-            yield rows_out(schema, [*batch.columns[:4], [zlib.crc32(x) for x in ids] if digest else ids])
+            counts, control, data = np.asarray(batch.column(3)), batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            for part in runs_of(counts):
+                ids = to_id[unpack_documents(control[part], data[part], counts[part])].astype("<u4", copy=False)
+                ids = _slices(ids.tobytes(), 4 * np.r_[0, np.cumsum(counts[part])])
+                yield rows_out(schema, [*(c.slice(part.start, part.stop - part.start) for c in batch.columns[:4]), [zlib.crc32(x) for x in ids] if digest else ids])
 
     return mapped(spark.read.schema("part int, doc long, crc long, n long, control binary, data binary").parquet(f"{folder}/ids"), decode, fields)
 
