@@ -25,8 +25,8 @@ HEADLINE = [
     "top_weekly_risers", "length_percentiles", "first_topic_cohort", "topic_cooccurrence", "marker_share",
     "alert_detectors", "alert_episodes", "incident_match", "did_effects", "release_impact", "topic_shift",
     "rollout_overlap", "mention_candidates", "relations", "switching_matrix", "flow_reasons", "rating_penalties",
-    "issue_cost", "rice_stability", "stratified_sample", "keyword_sample", "label_agreement", "topic_scores",
-    "dq_report", "kpi_30d"]
+    "issue_cost", "rice_stability", "stratified_sample", "keyword_sample", "label_agreement", "topic_scores", "text_topic_scores",
+    "alert_operating_curve", "dq_report", "published_tables", "kpi_30d"]
 
 
 def run(spark, name: str, sf_dir: str) -> float:
