@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,48 +19,76 @@ from pyspark.sql import functions as F
 
 CHARACTERS = 1 << 20     # that are hashed together
 LONGEST_GRAM = 3         # three code points fit into 63 bits
+DENSE = 1 << 22          # numbers of grams up to which a table finds the distinct ones; above, they are sorted
+KEPT_GRAMS = 1 << 18     # whose places a worker keeps
 
 
 def spaced(text: Column) -> Column:
     """Lower case, white space as single spaces, one space at either end; null counts as empty."""
-    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")
+    blanks = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", " " * 5)
+    flat = F.regexp_replace(blanks, " {2,}", " ")       # only runs are replaced, not the space after every word
     return F.concat(F.lit(" "), F.trim(flat), F.lit(" "))
 
 
+@lru_cache(KEPT_GRAMS)
 def bucket_and_sign(kind: str, gram: str, n: int) -> tuple[int, int]:
     """First 32 bits of the digest choose the bucket, the next one the sign."""
     digest = hashlib.md5(f"{kind}:{gram}".encode()).digest()
     return int.from_bytes(digest[:4], "big") % n, 1 - 2 * (digest[4] >> 7)
 
 
-def hashed(texts: pa.Array, sizes: list[int], words: bool, n: int) -> np.ndarray:
-    """Row per text: signed counts of its grams by bucket, scaled to unit length (all zero if they cancel out)."""
-    out = np.zeros(len(texts) * n)
+def by_distinct(values: np.ndarray, size: int, found: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """`found(values)`, worked out once per distinct value; all values lie below `size`."""
+    if size > DENSE:
+        distinct, which = np.unique(values, return_inverse=True)
+        return found(distinct)[which]
+    seen = np.zeros(size, bool)
+    seen[values] = True
+    distinct = np.flatnonzero(seen)
+    table = np.zeros(size, np.int64)
+    table[distinct] = found(distinct)
+    return table[values]
 
-    def add(kind: str, grams: list[str], which: np.ndarray, row: np.ndarray) -> None:
-        places = np.array([bucket_and_sign(kind, g, n) for g in grams], np.int64).reshape(-1, 2)
-        out[:] += np.bincount(row * n + places[which, 0], places[which, 1].astype(float), len(out))
 
-    codes = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts.to_pylist()]
-    joined = np.concatenate(codes).astype(np.uint64) if codes else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+def hashed(texts: pa.Array, sizes: list[int], words: bool, n: int) -> np.ndarray:
+    """Row per text: signed counts of its grams by bucket, scaled to unit length (all zero if they cancel out)."""
+    # Cells of a text: n buckets of added grams, n of subtracted ones; the last cell takes what is not counted.
+    cells, dropped = np.zeros(len(texts) * 2 * n + 1, np.int64), len(texts) * 2 * n
+
+    def places(kind: str, grams: Iterable[str]) -> np.ndarray:
+        return np.array([b if s > 0 else b + n for b, s in (bucket_and_sign(kind, g, n) for g in grams)], np.int64)
+
+    joined = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4")
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(lengths), np.arange(len(texts)) * 2 * n
+    start = np.repeat(first, lengths)
+    alphabet = np.flatnonzero(np.bincount(joined, minlength=1))
+    letter = by_distinct(joined, 0x110000, lambda distinct: np.arange(len(distinct)))
+    of = max(1, len(alphabet))
     for size in sizes:
         last = len(joined) - size + 1
         if last < 1:
             continue
-        packed = sum(joined[k:last + k] << np.uint64(21 * (size - 1 - k)) for k in range(size))
-        whole = row[:last] == row[size - 1:]
-        distinct, which = np.unique(packed[whole], return_inverse=True)
-        letters = [[chr(c) for c in (distinct >> np.uint64(21 * (size - 1 - k)) & np.uint64(0x1FFFFF)).tolist()] for k in range(size)]
-        add("c", list(map("".join, zip(*letters, strict=True))), which, row[:last][whole])
+
+        def grams(distinct: np.ndarray, size: int = size) -> np.ndarray:
+            letters = [map(chr, alphabet[distinct // of ** (size - 1 - k) % of].tolist()) for k in range(size)]
+            return places("c", map("".join, zip(*letters, strict=True)))
+
+        packed = sum(letter[k:last + k] * of ** (size - 1 - k) for k in range(size))
+        cell = start[:last] + by_distinct(packed, of ** size, grams)
+        crossing = (ends[:, None] - np.arange(1, size)).ravel()     # starts of grams that would end in a later text
+        cell[crossing[(crossing >= 0) & (crossing < last)]] = dropped
+        cells += np.bincount(cell, minlength=len(cells))
     if words:
         split = pc.split_pattern(pc.utf8_trim(texts, " "), " ")
-        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         found = split.flatten().dictionary_encode()
-        row, which = np.repeat(np.arange(len(texts)), counts), found.indices.to_numpy()
-        empty = np.array([w == "" for w in found.dictionary.to_pylist()] or [False])
-        add("w", found.dictionary.to_pylist(), which[~empty[which]], row[~empty[which]])
-    out = out.reshape(len(texts), n)
+        distinct, which = found.dictionary.to_pylist(), found.indices.to_numpy()
+        cell = np.repeat(first, pc.list_value_length(split).to_numpy(zero_copy_only=False)) + places("w", distinct)[which]
+        if "" in distinct:
+            cell[which == distinct.index("")] = dropped
+        cells += np.bincount(cell, minlength=len(cells))
+    cells = cells[:-1].reshape(len(texts), 2, n)
+    out = (cells[:, 0] - cells[:, 1]).astype(float)
     length = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 

@@ -132,3 +132,23 @@ def test_saved_encoder_is_the_same_encoder(spark, tmp_path):
     fitted = classifiers.text_encoder(n_features=16).fit(df)
     loaded = PipelineModel.load(save(fitted, tmp_path / "encoder"))
     assert loaded.transform(df).select(F.to_json("features")).first() == fitted.transform(df).select(F.to_json("features")).first()
+
+
+def test_grams_by_table_and_by_sorting_agree(monkeypatch):
+    texts = pa.array([" ab cd ", "", "x", " \u00e9t\u00e9 \U0001f600\u4e00 \U0010ffff ", " aa  aa ", " "])
+    by_table = encoders.hashed(texts, [1, 2, 3], True, 32)
+    monkeypatch.setattr(encoders, "DENSE", 0)
+    assert np.array_equal(by_table, encoders.hashed(texts, [1, 2, 3], True, 32))
+    for text, row in zip(texts.to_pylist(), by_table):
+        expected = np.zeros(32)
+        for kind, gram in [("c", text[k:k + n]) for n in (1, 2, 3) for k in range(len(text) - n + 1)] + [("w", w) for w in text.strip(" ").split(" ") if w]:
+            bucket, sign = encoders.bucket_and_sign(kind, gram, 32)
+            expected[bucket] += sign
+        assert np.allclose(row, expected / (np.sqrt(expected @ expected) or 1.0))
+
+
+def test_text_features_encode_each_text_once(spark, sf_dir):
+    import __spark_entry__ as contract
+
+    plan = contract.queries()["text_features"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
