@@ -40,7 +40,8 @@ def both_dailies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Topic mart and app mart over one staging of the reviews."""
     staged = shared_reviews(spark, d, "review_hour", "review_version", "rating", "is_negative")
     app_daily = cut_lineage(marts.daily_app_metrics(staged))
-    return marts.daily_topic_metrics(staging.stage_topics(staging.topic_counts(fx.raw_topics(spark, d)), staged), app_daily), app_daily
+    topics = staging.stage_topics(staging.topic_counts(fx.raw_topics(spark, d)), staged)
+    return cut_lineage(marts.daily_topic_metrics(topics, app_daily)), app_daily
 
 
 def topic_daily(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +58,44 @@ def shared_folder(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+# Bytes that a task of a written frame reads from files and from shuffles. Rows of few columns are
+# 20 to 40 times as large in a sort or a hash map as in compressed files.
+PIECES = {"spark.sql.files.maxPartitionBytes": 8 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20}
+PARTITIONS = 1000       # of a shuffle, before AQE joins small ones
+
+
+def _bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside read at most `PIECES` per task, so their memory per task does not grow with the input.
+
+    Smaller settings of the session stay. Where AQE does not join small partitions, their number stays too.
+    """
+    old = {k: spark.conf.get(k) for k in (*PIECES, "spark.sql.shuffle.partitions")}
+    new = {k: f"{min(v, _bytes(old[k]))}b" for k, v in PIECES.items()}
+    if all(spark.conf.get(f"spark.sql.adaptive.{k}") == "true" for k in ("enabled", "coalescePartitions.enabled")):
+        new["spark.sql.shuffle.partitions"] = str(max(PARTITIONS, int(old["spark.sql.shuffle.partitions"])))
+    try:
+        for key, value in new.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key in new:
+            spark.conf.set(key, old[key])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A frame that several jobs read, written once as Parquet below the shared folder.
+    """A frame that several jobs read, or that follows from a large shuffle, written once as Parquet below the shared folder.
 
     Readers of the result prune columns and push filters as with any table.
     """
     path = scratch_path(df.sparkSession, "frame")
-    df.write.parquet(path)
+    with small_tasks(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

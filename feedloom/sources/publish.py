@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.session import shared_folder
+from feedloom.session import shared_folder, small_tasks
 
 REPORT = "table_name string, check_name string, column_name string, n_violations long, passed boolean"
 Tables = dict[str, DataFrame]
@@ -85,7 +85,8 @@ class Run:
         seen = Observation(f"{model.name}-{self.id}")
         df = df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count_if(e).alias(f"c{i}") for i, (_, _, e) in enumerate(checks)])
         path = f"{self.root}/{model.name}/{self.id}"
-        df.select(*columns).write.parquet(path)
+        with small_tasks(self.spark):
+            df.select(*columns).write.parquet(path)
         found = seen.get
         self.report += [(model.name, name, c, found[f"c{i}"], found[f"c{i}"] == 0) for i, (name, c, _) in enumerate(checks)]
         self.counts[model.name], self.paths[model.name] = found["n"], path

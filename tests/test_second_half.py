@@ -156,3 +156,39 @@ HEAVY = {"dq_report", "published_tables", "saved_topic_scores", "topic_scores",
 def test_no_plan_compares_all_pairs(spark, sf_dir, name):
     plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+# ---------------------------------------------------------------- size of tasks
+
+def test_written_frames_run_in_small_tasks(spark):
+    from feedloom import session
+
+    keys, seen = (*session.PIECES, "spark.sql.shuffle.partitions"), {}
+
+    class Probe:
+        def __init__(self, df):
+            self.df, self.sparkSession, self.schema, self.write = df, df.sparkSession, df.schema, self
+
+        def parquet(self, path):
+            seen.update({k: spark.conf.get(k) for k in keys})
+            self.df.write.parquet(path)
+
+    before = {k: spark.conf.get(k) for k in keys}
+    assert session.cut_lineage(Probe(spark.range(3))).count() == 3
+    assert [seen[k] for k in keys] == [*(f"{v}b" for v in session.PIECES.values()), str(session.PARTITIONS)]
+    assert {k: spark.conf.get(k) for k in keys} == before
+
+    spark.conf.set(keys[1], "64k")          # smaller pieces stay, also after a job that fails
+    try:
+        with pytest.raises(ZeroDivisionError), session.small_tasks(spark):
+            assert spark.conf.get(keys[1]) == f"{64 << 10}b"
+            raise ZeroDivisionError
+        assert spark.conf.get(keys[1]) == "64k"
+    finally:
+        spark.conf.set(keys[1], before[keys[1]])
+
+
+@pytest.mark.parametrize("name", ["topic_cooccurrence", "topic_quality_metrics", "topic_coverage", "daily_topic_metrics", "first_topic_cohort", "topic_prevalence"])
+def test_joins_of_all_topic_rows_are_written(spark, sf_dir, name):
+    plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
