@@ -57,7 +57,7 @@ register("version_adoption", lambda s, d: inputs.adoption(s, d), "select * from
 register("daily_topic_metrics", lambda s, d: inputs.topic_daily(s, d), "select * from topic_daily")
 
 register("topic_quality_metrics", lambda s, d: rounded(
-    marts.topic_quality_metrics(inputs.topics(s, d, "rating"), fx.raw_flags(s, d)), "avg_rating_topic", "churn_intent_rate"), f"""
+    cut_lineage(marts.topic_quality_metrics(inputs.topics(s, d, "rating"), fx.raw_flags(s, d))), "avg_rating_topic", "churn_intent_rate"), f"""
 select t.app_key, t.review_date, t.topic, count(distinct t.review_id) as n_topic_reviews,
        {dec("avg(cast(t.rating as double))", 6)} as avg_rating_topic,
        {dec("avg(case when f.churn_intent then cast(1 as double) else 0 end)", 6)} as churn_intent_rate
@@ -139,13 +139,13 @@ group by 1, 2, 3""")
 register("text_snippets", lambda s, d: fx.text_reviews(s, d).select("review_id", text.snippet(F.col("review_text")).alias("snippet")), """
 select review_id, replace(substr(review_text, 1, 140), chr(10), ' ') as snippet from text_reviews""")
 
-register("first_topic_cohort", lambda s, d: explore.first_topic_cohort(inputs.topics(s, d, "rating")), f"""
+register("first_topic_cohort", lambda s, d: cut_lineage(explore.first_topic_cohort(inputs.topics(s, d, "rating"))), f"""
 select app_key, topic as first_topic, strftime(review_date, '%Y-%m') as cohort_month, count(distinct review_id) as n_reviewers,
        {dec("avg(cast(rating as double))", 2)} as avg_rating
 from (select *, row_number() over (partition by review_id order by review_date, topic) as rn from stg_topics)
 where rn = 1 group by 1, 2, 3""")
 
-register("topic_cooccurrence", lambda s, d: explore.topic_cooccurrence(inputs.topics(s, d), "widget"), f"""
+register("topic_cooccurrence", lambda s, d: cut_lineage(explore.topic_cooccurrence(inputs.topics(s, d), "widget")), f"""
 select t.topic as co_occurring_topic, count(*) as n_co_occurrences,
        {dec("100.0 * count(*) / (select count(*) from stg_topics where topic = 'widget')", 2)} as pct_of_topic_reviews
 from stg_topics t join (select review_id from stg_topics where topic = 'widget') a on t.review_id = a.review_id
@@ -207,14 +207,14 @@ from stg_reviews group by app_key""")
 
 def _topic_prevalence(s, d):
     staged = inputs.shared_reviews(s, d, "review_hour")
-    return explore.topic_prevalence(staging.stage_topics(fx.raw_topics(s, d), staged), staged)
+    return cut_lineage(explore.topic_prevalence(staging.stage_topics(fx.raw_topics(s, d), staged), staged))
 
 
 register("topic_prevalence", _topic_prevalence, f"""
 select topic, count(*) as n, {dec("100.0 * count(*) / (select count(*) from stg_reviews)", 1)} as pct
 from stg_topics group by topic""")
 
-register("topic_coverage", lambda s, d: explore.topic_coverage(inputs.topics(s, d)), """
+register("topic_coverage", lambda s, d: cut_lineage(explore.topic_coverage(inputs.topics(s, d))), """
 select count(*) as n_pairs, count(distinct review_id) as n_reviews from stg_topics""")
 
 register("marker_share", lambda s, d: explore.marker_share(fx.text_reviews(s, d), fx.MARKERS), f"""
