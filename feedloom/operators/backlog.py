@@ -19,6 +19,7 @@ from feedloom.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRAILING_DAYS = 90
+WORD_BITS = 62        # topics whose marks fit into one number
 RIGHT_SIDE = "="      # stands for the rating in the sums of products
 
 INTERCEPT, LOG_LENGTH = "intercept", "log_len"
@@ -40,15 +41,22 @@ def review_cells(reviews: DataFrame, topics: DataFrame, vocabulary: list[str]) -
     of products of rating (y) and log length (l) below carry everything: column
     `y1l2` is the sum of y * l^2. The reviews are read once; the cells number
     apps x months x topic sets, however many reviews there are. The topic set
-    is a sorted array, so a vocabulary may have any size.
+    is a sorted array, so a vocabulary may have any size; until the cells are
+    summed it stands as bits in numbers, which plain hash aggregates work on.
     """
-    sets = (topics.filter(F.col("topic").isin(*vocabulary)).groupBy("review_id")
-            .agg(F.array_sort(F.collect_set("topic")).alias("topic_set")))
+    words = sorted(set(vocabulary)) or [""]
+    bits = [(f"_b{k}", words[at:at + WORD_BITS]) for k, at in enumerate(range(0, len(words), WORD_BITS))]
+    marks = [F.bit_or(F.coalesce(literal_map({t: 1 << i for i, t in enumerate(part)})[F.col("topic")].cast("bigint"), F.lit(0).cast("bigint"))).alias(b)
+             for b, part in bits]
+    sets = topics.filter(F.col("topic").isin(*vocabulary)).groupBy("review_id").agg(*marks)
     powers = [F.sum(_power("y", i) * _power("l", j)).alias(f"y{i}l{j}") for i, j in _MOMENTS]
-    return (reviews.select("review_id", "app_key", F.date_format("review_date", "yyyy-MM").alias("month"),
-                           F.log1p(F.col("text_length").cast("double")).alias("l"), F.col("rating").cast("double").alias("y"))
-            .join(sets, "review_id", "left")
-            .groupBy("app_key", "month", F.coalesce("topic_set", F.array().cast("array<string>")).alias("topic_set")).agg(*powers))
+    cells = (reviews.select("review_id", "app_key", F.date_format("review_date", "yyyy-MM").alias("month"),
+                            F.log1p(F.col("text_length").cast("double")).alias("l"), F.col("rating").cast("double").alias("y"))
+             .join(sets, "review_id", "left")
+             .groupBy("app_key", "month", *[F.coalesce(b, F.lit(0).cast("bigint")).alias(b) for b, _ in bits]).agg(*powers))
+    found = [F.when(F.getbit(b, F.lit(i)) == 1, F.lit(t)) for b, part in bits for i, t in enumerate(part)]
+    topic_set = F.filter(F.array(*found), lambda t: t.isNotNull()).cast("array<string>")
+    return cells.select("app_key", "month", topic_set.alias("topic_set"), *[f"y{i}l{j}" for i, j in _MOMENTS])
 
 
 _MOMENTS = [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)]

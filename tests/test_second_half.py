@@ -192,3 +192,18 @@ def test_written_frames_run_in_small_tasks(spark):
 def test_joins_of_all_topic_rows_are_written(spark, sf_dir, name):
     plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_cells_of_a_vocabulary_of_more_topics_than_a_number_has_bits(spark):
+    from feedloom.operators import backlog
+
+    words = [f"t{k}" for k in range(150)]
+    sets = {"a": ["t0", "t9", "t149", "t75"], "b": ["t61", "t62", "t63"], "c": [], "d": ["t0", "t9", "t149", "t75"]}
+    reviews = spark.createDataFrame([(r, "app", dt.date(2024, 1, 5), 10, 4) for r in sets], "review_id string, app_key string, review_date date, text_length int, rating int")
+    topics = spark.createDataFrame([(r, t) for r, ts in sets.items() for t in [*ts, *ts, "other", None]], "review_id string, topic string")
+    cells = backlog.review_cells(reviews, topics, words)
+    assert {(tuple(c.topic_set), c.y0l0, c.y1l0) for c in cells.collect()} == {
+        (tuple(sorted(sets["a"])), 2.0, 8.0), (tuple(sorted(sets["b"])), 1.0, 4.0), ((), 1.0, 4.0)}
+    empty = backlog.review_cells(reviews, topics, [])
+    assert [(c.topic_set, c.y0l0) for c in empty.collect()] == [([], 4.0)]
+    assert "ObjectHashAggregate" not in cells._jdf.queryExecution().executedPlan().toString()
