@@ -16,6 +16,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.session import shared_folder
+from feedloom.session import shared_folder, size_in_bytes
 
 NO_ID = (1 << 63) - 1        # stands for a null id inside the operators
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -46,11 +47,28 @@ def work_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20        # of rows that go to a Python worker at once; more only for one longer row
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside hand at most BATCH_BYTES of rows to Python at once; a smaller setting of the session stays."""
+    before = spark.conf.get(ARROW_BYTES)
+    given = size_in_bytes(before)
+    spark.conf.set(ARROW_BYTES, f"{min(BATCH_BYTES, given) if given > 0 else BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write a table below the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/feedloom-llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -112,7 +130,11 @@ def rows_out(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def mapped(df: DataFrame, task: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: str) -> DataFrame:
-    return df.mapInArrow(task, fields)
+    def trimmed(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()     # workers live on; what they keep counts beside the next stage
+
+    return df.mapInArrow(trimmed, fields)
 
 
 def per_worker(name: str, make: Callable[[], object]) -> object:

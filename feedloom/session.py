@@ -64,8 +64,8 @@ PIECES = {"spark.sql.files.maxPartitionBytes": 8 << 20, "spark.sql.adaptive.advi
 PARTITIONS = 1000       # of a shuffle, before AQE joins small ones
 
 
-def _bytes(setting: str) -> int:
-    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+def size_in_bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
     return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
@@ -76,7 +76,7 @@ def small_tasks(spark: SparkSession) -> Iterator[None]:
     Smaller settings of the session stay. Where AQE does not join small partitions, their number stays too.
     """
     old = {k: spark.conf.get(k) for k in (*PIECES, "spark.sql.shuffle.partitions")}
-    new = {k: f"{min(v, _bytes(old[k]))}b" for k, v in PIECES.items()}
+    new = {k: f"{min(v, size_in_bytes(old[k]))}b" for k, v in PIECES.items()}
     if all(spark.conf.get(f"spark.sql.adaptive.{k}") == "true" for k in ("enabled", "coalescePartitions.enabled")):
         new["spark.sql.shuffle.partitions"] = str(max(PARTITIONS, int(old["spark.sql.shuffle.partitions"])))
     try:

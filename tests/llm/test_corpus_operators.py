@@ -587,3 +587,20 @@ def test_suffix_bounds_lose_no_pair():
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
     i, j = vectors.linked_pairs(a, b, 0.9)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.9))))
+
+
+def test_python_gets_a_written_table_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from feedloom.llm.common import arrow, mapped, rows_out, written
+
+    def sizes(batches):
+        for batch in batches:
+            yield rows_out(arrow("n long, size long"), [[batch.num_rows], [batch.nbytes]])
+
+    ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    before = spark.conf.get(ARROW_BYTES)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 8192).alias("text"))
+    seen = written(mapped(rows, sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) <= BATCH_BYTES + (1 << 20)
+    assert spark.conf.get(ARROW_BYTES) == before
