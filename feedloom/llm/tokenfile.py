@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import arrow, buckets_of, doc_id, keyed, mapped, per_worker, rows_out, travels, work_folder, written
+from feedloom.llm.common import arrow, buckets_of, doc_id, keyed, mapped, per_worker, rows_out, small_batches, travels, work_folder, written
 
 travels(__name__)
 
-CACHE_UNITS = 450_000
+CACHE_UNITS = 1_000_000     # some 200 MB in a worker
 CACHE_TAILS = 10_000
 CODED_IDS = 1 << 19     # that are packed or unpacked together
 LONG_UNIT = 1 << 8      # longer pre-tokens are not kept
@@ -51,7 +51,9 @@ class Encoder(dict):
     it does, or which hold an added token's string, are encoded whole. A pre-token stands
     for itself after a space; in a tuple, for itself with nothing before it. Letters alone
     are one piece for the model, and so are closing marks after them, and a line feed
-    between two characters that aren't white space, at which longer runs of lines are cut.
+    between two characters that aren't white space. Texts whose line feeds all stand so are
+    cut there too, and a pre-token then begins with the line feed before it; in others,
+    longer runs of lines are cut.
     """
 
     MARKS = string.punctuation.replace("'", "")
@@ -68,6 +70,7 @@ class Encoder(dict):
         self.added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.runs = re.compile(f"[{SPACE}] ")
         self.feeds = re.compile(r"(?<=\S)\n(?=\S)")
+        self.beside = re.compile(f"\n(?:(?=[{SPACE}\x1c-\x1f])|(?<=[{SPACE}\x1c-\x1f]\n))")    # a line feed next to other white space
         self.letters = _byte_letters()
         self.merge = self.tokenizer.model.tokenize
         self.feed = self._whole("\n")
@@ -108,8 +111,12 @@ class Encoder(dict):
         """Two halves of a cache: what is met again moves to the young one, and the old one goes when that is full."""
         ids = self.old.get(unit)
         if ids is None:
-            text, space = (unit[0], "") if isinstance(unit, tuple) else (unit, " ")
-            ids = self._ids(text, space)
+            if isinstance(unit, tuple):
+                text, ids = unit[0], self._ids(unit[0], "")
+            elif unit[:1] == "\n":
+                text, ids = unit, self.feed + self._ids(unit[1:], "")
+            else:
+                text, ids = unit, self._ids(unit, " ")
             if len(text) > LONG_UNIT:
                 return ids
         if len(self) >= CACHE_UNITS // 2:
@@ -129,7 +136,13 @@ class Encoder(dict):
         out, find = [], self.__getitem__
         for text in batch:
             if self._cuts(text):
-                units = text.split(" ")
+                if "\n" not in text:
+                    units = text.split(" ")
+                elif not self.beside.search(text):
+                    units = text.replace("\n", " \n").split(" ")
+                else:
+                    units = [u if u[:1] != "\n" else (" " + u,) for u in text.split(" ")]
+                    units[0] = text.partition(" ")[0]
                 units[0] = (units[0],)
                 out.append(b"".join(map(find, units)))
             else:
@@ -214,8 +227,7 @@ def _frequencies(ids: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
     def count(batches):
         total = np.zeros(width * COUNT_SLICES, np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(blob, dtype), minlength=len(total))
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=len(total))
         yield rows_out(partial, [range(COUNT_SLICES), [x.tobytes() for x in total.reshape(COUNT_SLICES, width)]])
 
     def add(batches):
@@ -227,7 +239,9 @@ def _frequencies(ids: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
 
     parts = mapped(mapped(ids.select("ids"), count, "slice int, blob binary").repartition("slice"), add, "slice int, blob binary")
     out = np.zeros(width * COUNT_SLICES, np.int64)
-    for k, blob in parts.collect():  # as long as the vocabulary
+    with small_batches(ids.sparkSession):
+        found = parts.collect()  # as long as the vocabulary
+    for k, blob in found:
         out[k * width:(k + 1) * width] = np.frombuffer(blob, np.int64)
     return out[:size]
 

@@ -39,3 +39,19 @@ def test_a_small_cache_gives_the_same_ids(monkeypatch, units):
     want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
     assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
     assert len(encoder) <= units and len(encoder.old) <= units and len(encoder.tails) <= 2
+
+
+def test_line_feeds_between_words_cut_a_text():
+    encoder = tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    marks = ["\n", "\n", "\n\n", " \n", "\n ", "\t\n", "\n\t", "\n\xa0", "\u2003\n", "\n\x1c", "\x1c\x1c\n", "\x85\n", " ", " ", "  ", ""]
+    words = ["the", "river.", "né,", "日本", "it's", "12", "...", "x" * 300, "", "End"]
+    texts = ["a.\nB c\nd", "\na", "a\n", "a \nb\nc", "\n", "\n\n", "a\n\n", " \n\na\nb"]
+    texts += ["".join(r.choice(words) + r.choice(marks) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+    assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
+
+    encoder = tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    encoder.encode(["\n".join([a, b]) + " " + b for a in words for b in words])      # kept by word, not by pair of words
+    assert len(encoder) <= 3 * len(words)
