@@ -169,11 +169,12 @@ def issue_cost(reviews: DataFrame, topics: DataFrame, flags: DataFrame, penaltie
                trailing_days: int = TRAILING_DAYS) -> DataFrame:
     """Prevalence, churn rate and cost per app and topic over the trailing days.
 
-    Every app gets a row for every topic with a penalty, also when it has none.
+    Every app gets a row for every topic with a penalty, also when it has none. Topics and flags
+    that carry their review's `review_date` are cut to those days before they are joined.
     """
-    last = reviews.agg(F.max("review_date")).scalar()
-    recent = (reviews.filter(F.col("review_date") >= F.date_sub(last, trailing_days))
-              .select("review_id", "app_key"))
+    first = F.date_sub(reviews.agg(F.max("review_date")).scalar(), trailing_days)
+    topics, flags = (x.filter(F.col("review_date") >= first) if "review_date" in x.columns else x for x in (topics, flags))
+    recent = reviews.filter(F.col("review_date") >= first).select("review_id", "app_key")
     totals = recent.groupBy("app_key").agg(F.count(F.lit(1)).alias("n_total_reviews_90d"))
     churned = flags.select("review_id", "churn_intent")
     # Only the trailing days' topics are made distinct.

@@ -127,6 +127,22 @@ def dim_version(adoption: DataFrame, impact: DataFrame) -> DataFrame:
         "impact_analysis_usable", "real_effect", "q_value", "is_significant")
 
 
+def worst_rated(topics: DataFrame, per_group: int = 8) -> DataFrame:
+    """Rows that can be among the first `per_group` of their app, topic and month by rating, worst first.
+
+    Ratings are counted first; where the worse ones fill a group, its other rows need not be ranked.
+    The rows are read twice: a written table serves best.
+    """
+    keys = {"_app": F.col("app_key"), "_topic": F.col("topic"), "_month": F.date_format("review_date", "yyyy-MM")}
+    worse = Window.partitionBy(*keys).orderBy("rating").rowsBetween(Window.unboundedPreceding, -1)
+    needed = (topics.groupBy(*[c.alias(k) for k, c in keys.items()], "rating").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_worse", F.coalesce(F.sum("_n").over(worse), F.lit(0)))
+              .filter(F.col("_worse") < per_group).groupBy(*keys).agg(F.max("rating").alias("_last")))
+    same_group = [c.eqNullSafe(F.col(k)) for k, c in keys.items()]
+    return (topics.join(cut_lineage(needed), same_group).filter(F.col("rating").isNull() | (F.col("rating") <= F.col("_last")))
+            .select(*topics.columns))
+
+
 def review_samples(topics: DataFrame, per_group: int = 8, seed: int = 8) -> DataFrame:
     """Up to `per_group` example reviews per app, topic and month, worst ratings first.
 

@@ -180,6 +180,32 @@ def test_issue_cost_keeps_zero_cells(spark):
     assert (out["b"].n_topic_reviews_90d, out["b"].prevalence, out["b"].churn_intent_rate) == (0, 0.0, 0.0)
 
 
+def test_issue_cost_is_the_same_from_labels_with_dates_and_joins_only_those_days(spark):
+    days = [("1", dt.date(2024, 5, 1)), ("2", dt.date(2024, 5, 1)), ("3", dt.date(2024, 1, 1)), ("4", None), ("5", dt.date(2024, 2, 1))]
+    reviews = spark.createDataFrame([(i, "a", d) for i, d in days], "review_id string, app_key string, review_date date")
+    topics = spark.createDataFrame([(i, t) for i, _ in days for t in ("t", "u") if i != "2" or t == "t"], "review_id string, topic string")
+    flags = spark.createDataFrame([("1", True), ("2", None), ("3", True), ("5", True)], "review_id string, churn_intent boolean")
+    pen = spark.createDataFrame([(t, -1.0, -1.5, -0.5) for t in "tu"], "topic string, penalty double, penalty_ci_low double, penalty_ci_high double")
+    dated = [x.join(reviews.drop("app_key"), "review_id") for x in (topics, flags)]
+    plain, cut = (sorted(map(tuple, backlog.issue_cost(reviews, *x, pen).collect())) for x in ((topics, flags), dated))
+    assert plain == cut and [r[1:4] for r in cut] == [("t", 1.0, 3), ("u", 2 / 3, 2)]
+    plan = backlog.issue_cost(reviews, *dated, pen)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("review_date#") and len(re.findall(r"Filter .*>= date_sub\(scalar-subquery", plan)) >= 3
+
+
+def test_only_ratings_that_can_be_sampled_are_ranked(spark):
+    def row(i):
+        rating = None if i % 41 == 0 else i % 5 + 1
+        return (str(i), None if i % 7 == 0 else "ab"[i % 2], None if i % 11 == 0 else "tuv"[i % 3], dt.date(2024, 1 + i % 4, 1 + i % 28) if i % 13 else None, rating)
+
+    rows = [row(i) for i in range(3000)] + [row(i) for i in range(0, 3000, 9)] + [(f"n{i}", "z", "t", dt.date(2024, 1, 1), None if i < 12 else 1) for i in range(20)]
+    topics = spark.createDataFrame(rows, "review_id string, app_key string, topic string, review_date date, rating int")
+    ranked = marts.worst_rated(topics)
+    assert ranked.columns == topics.columns and ranked.count() < 2100 and ranked.filter("app_key = 'z'").count() == 12
+    want, got = ([tuple(r) for r in marts.review_samples(x).collect()] for x in (topics, ranked))
+    assert sorted(want, key=str) == sorted(got, key=str)
+
+
 def test_impact_and_confidence_steps(spark):
     df = spark.createDataFrame([(.03, .6), (.015, .45), (.005, .44), (.001, None), (.0009, .7)], "lift double, f1 double")
     out = df.select(backlog.impact_score(F.col("lift")).alias("i"), backlog.confidence_score(F.col("f1")).alias("c")).collect()
