@@ -145,6 +145,11 @@ def per_worker(name: str, make: Callable[[], object]) -> object:
     return getattr(state, name)
 
 
+def forget(name: str) -> None:
+    """Drop a worker's object, so that its memory is free in later stages."""
+    vars(sys.modules.setdefault("feedloom_worker_state", types.ModuleType("feedloom_worker_state"))).pop(name, None)
+
+
 def texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
     """(doc, crc, UTF-8 bytes) of a batch of `keyed` rows."""
     data = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())

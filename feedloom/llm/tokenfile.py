@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import arrow, buckets_of, doc_id, keyed, mapped, per_worker, rows_out, small_batches, travels, work_folder, written
+from feedloom.llm.common import arrow, buckets_of, doc_id, forget, keyed, mapped, per_worker, rows_out, small_batches, travels, work_folder, written
 
 travels(__name__)
 
@@ -219,12 +219,13 @@ def _bounds(rows: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.array(found or [], np.int64))
 
 
-def _frequencies(ids: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
-    """How often each id occurs over all documents; one entry per id of the vocabulary."""
+def _frequencies(ids: DataFrame, size: int, dtype: np.dtype, done: str = "") -> np.ndarray:
+    """How often each id occurs over all documents; one entry per id of the vocabulary. Workers drop the object `done`."""
     width = -(-size // COUNT_SLICES)
     partial, summed = arrow("slice int, blob binary"), arrow("slice int, blob binary")
 
     def count(batches):
+        forget(done)
         total = np.zeros(width * COUNT_SLICES, np.int64)
         for batch in batches:
             total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=len(total))
@@ -266,7 +267,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0
     encoder = Encoder(tokenizer_path)
     size, dtype = max(encoder.tokenizer.get_vocab_size(), end_id + 1), encoder.dtype
     ids = written(mapped(rows, encode, "part int, doc long, crc long, n long, ids binary"), "token-ids")
-    counts = _frequencies(ids, size, dtype)
+    counts = _frequencies(ids, size, dtype, f"encoder_{tokenizer_path}")
     order = np.lexsort((np.arange(size), -counts))
     rank = np.empty(size, np.uint32)
     rank[order] = np.arange(size, dtype=np.uint32)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from feedloom.llm import tokenfile
+from feedloom.llm import common, tokenfile
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -55,3 +55,11 @@ def test_line_feeds_between_words_cut_a_text():
     words = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
     encoder.encode(["\n".join([a, b]) + " " + b for a in words for b in words])      # kept by word, not by pair of words
     assert len(encoder) <= 3 * len(words)
+
+
+def test_a_worker_drops_what_is_forgotten():
+    common.per_worker("test_kept", list).append(1)
+    assert common.per_worker("test_kept", list) == [1]
+    common.forget("test_kept")
+    common.forget("test_kept")
+    assert common.per_worker("test_kept", list) == []
