@@ -19,6 +19,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ CACHE_UNITS = 1_000_000     # some 200 MB in a worker
 CACHE_TAILS = 10_000
 CODED_IDS = 1 << 19     # that are packed or unpacked together
 LONG_UNIT = 1 << 8      # longer pre-tokens are not kept
+UNITS = 1 << 15         # pre-tokens looked up together, of several texts or of a part of one
+PIECES = 64             # words the model merges in one call
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNT_SLICES = 64
 
@@ -54,6 +57,9 @@ class Encoder(dict):
     between two characters that aren't white space. Texts whose line feeds all stand so are
     cut there too, and a pre-token then begins with the line feed before it; in others,
     longer runs of lines are cut.
+
+    Pre-tokens of many texts are looked up together. The letters of those not met yet go to
+    the model in runs, a byte between them that it never merges, so that a run costs one call.
     """
 
     MARKS = string.punctuation.replace("'", "")
@@ -68,91 +74,166 @@ class Encoder(dict):
         pre = repr(self.tokenizer.pre_tokenizer)
         self.plain = pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.tokenizer.normalizer is None
         self.added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.runs = re.compile(f"[{SPACE}] ")
+        self.runs = re.compile(f" (?<=[{SPACE}] )")
         self.feeds = re.compile(r"(?<=\S)\n(?=\S)")
         self.beside = re.compile(f"\n(?:(?=[{SPACE}\x1c-\x1f])|(?<=[{SPACE}\x1c-\x1f]\n))")    # a line feed next to other white space
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u2")
         self.merge = self.tokenizer.model.tokenize
+        self.bar = self._bar(letters[0])
         self.feed = self._whole("\n")
         self.old: dict = {}
         self.tails: dict[str, bytes] = {}
 
+    def _bar(self, letter: str) -> int | None:
+        """The id of the zero byte's letter, which stands in no word, if pieces on its two sides get the ids they get alone."""
+        model, vocab = self.tokenizer.model, self.tokenizer.get_vocab(with_added_tokens=False)
+        alone = letter in vocab and sum(letter in token for token in vocab) == 1
+        settings = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "ignore_merges")
+        return vocab[letter] if alone and type(model).__name__ == "BPE" and not any(getattr(model, x) for x in settings) else None
+
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        if not text.isascii():
-            text = text.encode().decode("latin-1")
-        return array(self.code, [t.id for t in self.merge(text.translate(self.letters))]).tobytes()
+    def _merged(self, text: str) -> list[int]:
+        return [t.id for t in self.merge(self.letters[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le"))]
+
+    def _pieces(self, texts: list[str], lead: str = "") -> list[bytes]:
+        """Ids of texts that are one piece each with `lead` before them."""
+        if self.bar is None:
+            return [array(self.code, self._merged(lead + t)).tobytes() for t in texts]
+        ids = array(self.code)
+        for at in range(0, len(texts), PIECES):
+            ids.extend(self._merged(lead + f"\0{lead}".join(texts[at:at + PIECES])))
+            ids.append(self.bar)
+        ends = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.bar)
+        starts = np.r_[0, ends[:-1] + 1] * self.dtype.itemsize
+        joined, ends = ids.tobytes(), ends * self.dtype.itemsize
+        return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
     def _tail(self, marks: str) -> bytes:
         """Ids of closing marks; few strings of them occur."""
         ids = self.tails.get(marks)
         if ids is None:
-            ids = self._piece(marks)
+            ids = self._pieces([marks])[0]
             if len(marks) <= 8 and len(self.tails) < CACHE_TAILS:
                 self.tails[marks] = ids
         return ids
 
-    def _ids(self, text: str, space: str) -> bytes:
-        stem = text.rstrip(self.MARKS)
-        if stem.isalpha():
-            if len(stem) == len(text):
-                return self._piece(space + stem)
-            key = stem if space else (stem,)
-            found = self.get(key) or self.old.get(key)
-            return (found or self._piece(space + stem)) + self._tail(text[len(stem):])
-        lines = self.feeds.split(text) if "\n" in text else ()
-        if len(lines) > 1:
-            return self.feed.join([self[lines[0] if space else (lines[0],)], *[self[(line,)] for line in lines[1:]]])
-        return self._whole(space + text)
-
-    def __missing__(self, unit) -> bytes:
+    def _keep(self, units: dict) -> None:
         """Two halves of a cache: what is met again moves to the young one, and the old one goes when that is full."""
-        ids = self.old.get(unit)
-        if ids is None:
-            if isinstance(unit, tuple):
-                text, ids = unit[0], self._ids(unit[0], "")
-            elif unit[:1] == "\n":
-                text, ids = unit, self.feed + self._ids(unit[1:], "")
-            else:
-                text, ids = unit, self._ids(unit, " ")
-            if len(text) > LONG_UNIT:
-                return ids
-        if len(self) >= CACHE_UNITS // 2:
+        half = CACHE_UNITS // 2
+        if len(self) + len(units) > half:
             self.old = dict(self)
             self.clear()
-        self[unit] = ids
+        self.update(units if len(units) <= half else islice(units.items(), half))
+
+    def _learn(self, units: dict) -> None:
+        """Fill in the ids of pre-tokens that the young cache lacks. A word met first is kept without its closing marks."""
+        old, kept = self.old, {}
+        words, others, marked, lined = [], {}, [], []
+        for unit in units:
+            ids = old.get(unit)
+            if ids is not None:
+                units[unit] = kept[unit] = ids
+                continue
+            if unit.__class__ is str:
+                if unit.isalpha() and len(unit) <= LONG_UNIT:
+                    words.append(unit)
+                    continue
+                before, text, lead = (self.feed, unit[1:], "") if unit[:1] == "\n" else (b"", unit, " ")
+            else:
+                before, text, lead = b"", unit[0], ""
+            stem = text.rstrip(self.MARKS)
+            if stem.isalpha():
+                key = stem if lead else (stem,)
+                ids = self.get(key) or old.get(key)
+                if ids is None:
+                    if not lead or key not in units or len(key) > LONG_UNIT:
+                        others[key] = lead + stem
+                    marked.append((unit, before, key, text[len(stem):]))
+                    continue
+                if len(stem) < len(text):
+                    ids += self._tail(text[len(stem):])
+                ids = before + ids
+            else:
+                lines = self.feeds.split(text) if "\n" in text else ()
+                if len(lines) > 1:
+                    lined.append((unit, before, [lines[0] if lead else (lines[0],), *[(line,) for line in lines[1:]]]))
+                    continue
+                ids = before + self._whole(lead + text)
+            units[unit] = ids
+            if len(text) <= LONG_UNIT:
+                kept[unit] = ids
+        if words:
+            found = dict(zip(words, self._pieces(words, " "), strict=True))
+            units.update(found)
+            kept.update(found)
+        if others:
+            others = dict(zip(others, self._pieces(list(others.values())), strict=True))
+            kept.update((key, ids) for key, ids in others.items() if len(key if key.__class__ is str else key[0]) <= LONG_UNIT)
+        for unit, before, key, tail in marked:
+            ids = before + (others[key] if key in others else units[key])
+            units[unit] = ids + self._tail(tail) if tail else ids
+        self._keep(kept)
+        if lined:
+            found = iter(self._found([line for _, _, lines in lined for line in lines]))
+            for unit, before, lines in lined:
+                units[unit] = before + self.feed.join(islice(found, len(lines)))
+            self._keep({unit: units[unit] for unit, _, _ in lined if len(unit if unit.__class__ is str else unit[0]) <= LONG_UNIT})
+
+    def _found(self, units: list) -> list[bytes]:
+        ids = list(map(self.get, units))
+        at = [i for i, x in enumerate(ids) if x is None]
+        if at:
+            missing = dict.fromkeys([units[i] for i in at])
+            self._learn(missing)
+            for i in at:
+                ids[i] = missing[units[i]]
         return ids
 
-    def _cuts(self, text: str) -> bool:
-        if not self.plain or any(a in text for a in self.added):
-            return False
-        if text.isascii():
-            return not ("  " in text or "\n " in text or "\t " in text or "\r " in text or "\v " in text or "\f " in text)
-        return not self.runs.search(text)
+    def _units(self, text: str) -> list | None:
+        """The pre-tokens of a text; none if it has to be encoded whole."""
+        if not self.plain or any(a in text for a in self.added) or self.runs.search(text):
+            return None
+        if "\n" not in text:
+            units = text.split(" ")
+        elif not self.beside.search(text):
+            units = text.replace("\n", " \n").split(" ")
+        else:
+            units = [u if u[:1] != "\n" else (" " + u,) for u in text.split(" ")]
+            units[0] = text.partition(" ")[0]
+        units[0] = (units[0],)
+        return units
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        out, find = [], self.__getitem__
-        for text in batch:
-            if self._cuts(text):
-                if "\n" not in text:
-                    units = text.split(" ")
-                elif not self.beside.search(text):
-                    units = text.replace("\n", " \n").split(" ")
-                else:
-                    units = [u if u[:1] != "\n" else (" " + u,) for u in text.split(" ")]
-                    units[0] = text.partition(" ")[0]
-                units[0] = (units[0],)
-                out.append(b"".join(map(find, units)))
+        out: list = [None] * len(batch)
+        units, spans = [], []
+
+        def join() -> None:
+            ids = self._found(units)
+            for i, a, b in spans:
+                out[i] = b"".join(ids[a:b])
+
+        for i, text in enumerate(batch):
+            own = self._units(text)
+            if own is None:
+                out[i] = self._whole(text)
+            elif len(own) > UNITS:
+                out[i] = b"".join([b"".join(self._found(own[at:at + UNITS])) for at in range(0, len(own), UNITS)])
             else:
-                out.append(self._whole(text))
+                if len(units) + len(own) > UNITS:
+                    join()
+                    units, spans = [], []
+                spans.append((i, len(units), len(units) + len(own)))
+                units += own
+        join()
         return out
 
 
 # ---------------------------------------------------------------- coding
 
-LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.int64)
+LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.uint8)
 
 
 def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +244,20 @@ def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_documents(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """Control bytes and data bytes of documents whose ranks stand one after another."""
-    ranks = ranks.astype("<u4", copy=False)
-    more = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    wide = int(ranks.max(initial=0)) > 0xFFFF
+    ranks = ranks.astype("<u4" if wide else "<u2", copy=False)
+    more = (ranks > 0xFF).astype(np.uint8)
+    if wide:
+        more += ranks > 0xFFFF
+        more += ranks > 0xFFFFFF
     at, control_at = places(counts)
     padded = np.zeros(4 * control_at[-1], np.uint8)
     padded[at] = more
-    control = (padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6).tobytes()
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]].tobytes()
-    data_at = np.r_[0, np.cumsum(more, dtype=np.int64) + np.arange(1, len(more) + 1)][np.r_[0, np.cumsum(counts)]]
+    four = padded.view("<u4")       # two bits of each byte
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, ranks.itemsize)[np.arange(ranks.itemsize) <= more[:, None]].tobytes()
+    ends = np.r_[0, np.cumsum(counts)]
+    data_at = ends + np.r_[0, np.cumsum(more, dtype=np.int64)][ends]
     return _slices(control, control_at), _slices(data, data_at)
 
 
@@ -181,7 +268,7 @@ def _slices(joined: bytes, at: np.ndarray) -> list[bytes]:
 def unpack_documents(control: list[bytes], data: list[bytes], counts: np.ndarray) -> np.ndarray:
     """The ranks of documents, one after another."""
     lengths = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()[places(counts)[0]]
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     raw = np.frombuffer(b"".join(data) + b"\0\0\0", np.uint8)
     ranks = raw[starts].astype(np.uint32)
     for k in (1, 2, 3):

@@ -63,3 +63,31 @@ def test_a_worker_drops_what_is_forgotten():
     common.forget("test_kept")
     common.forget("test_kept")
     assert common.per_worker("test_kept", list) == []
+
+
+def test_new_words_of_many_texts_share_calls_of_the_model(monkeypatch):
+    encoder = tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    calls, merge = [], encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda text: calls.append(text) or merge(text))
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdeéßж") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(w + r.choice(["", "", ",", "."]) for w in words[a:a + 50]) for a in range(0, 3000, 50)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+    assert encoder.encode(texts) == want and len(calls) < 100
+    assert encoder.encode(texts) == want and len(calls) < 100
+
+
+@pytest.mark.parametrize("units, pieces", [(1, 1), (3, 2), (1 << 15, 64)])
+def test_texts_looked_up_in_parts_have_the_same_ids(monkeypatch, units, pieces):
+    monkeypatch.setattr(tokenfile, "UNITS", units)
+    monkeypatch.setattr(tokenfile, "PIECES", pieces)
+    r = random.Random(11)
+    words = ["The", "river", "river,", "né!", "\0", "a\0b", "日本", "x" * 300, "x" * 300 + ".", "it's", "a\nb", "a\nb\n\nc", "12", "", "Ā", "ĀĠ,", "<|endoftext|>", "ab\t"]
+    texts = ["", *[" ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(500)]]
+    for bar in (True, False):
+        encoder = tokenfile.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+        assert encoder.bar is not None
+        if not bar:     # a vocabulary that merges every byte: word by word
+            encoder.bar = None
+        want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+        assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
